@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import table
-from cutweave.llm import fingerprints, mixing, url_filter
+from cutweave.llm import bpe, chat, embeddings, fingerprints, jaccard, language_model, line_dedup, mixing, quality, url_filter
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIX_WEIGHTS = (5, 2, 1)
+QUALITY_FOLDS, QUALITY_SCORE = 5, 0.3
+
+
+def vocabulary() -> str:
+    """Path of the public vocabulary file with word ends; CUTWEAVE_TOKENIZER names another one."""
+    if given := os.environ.get("CUTWEAVE_TOKENIZER"):
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +38,37 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES).drop("url")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
+    return out.select("doc_id", "lines_removed", F.col("n_chars").alias("chars_left"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+OP3_SQL = """
+with l as (
+  select doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line
+  from documents where doc_id is not null and text is not null),
+k as (select *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from l),
+b as (select body, min(doc_id) as first_doc from k where body <> '' group by body having count(distinct coalesce('=' || source, '')) >= 6),
+f as (select k.*, b.body is not null and k.doc_id <> b.first_doc as gone from k left join b on k.body = b.body),
+d as (select doc_id, sum(gone::int)::int as lines_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text from f group by doc_id)
+select documents.doc_id, coalesce(lines_removed, 0)::int as lines_removed,
+       case when coalesce(lines_removed, 0) = 0 then n_chars else length(d.text) end::bigint as chars_left, md5(coalesce(d.text, '')) as text_md5
+from documents left join d on documents.doc_id = d.doc_id"""
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, vocabulary(), ids=False, digests=True).drop("text")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS).drop("source")
 
@@ -55,7 +97,39 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+with t as (select conv_id, turn, role, text,
+    coalesce(length(role)::varchar || ':' || role, '-') || '|' || coalesce(length(text)::varchar || ':' || text, '-') as part,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k from conversations),
+p as (select conv_id, k, string_agg(part, '|') over (partition by conv_id order by k rows between unbounded preceding and current row) as prefix,
+             count(*) over (partition by conv_id) as n from t),
+w as (select prefix, min(conv_id) as conv_id, count(*)::bigint as n_equal, any_value(n)::bigint as n_turns from p where k = n group by prefix),
+m as (select * from w where prefix not in (select prefix from p where k < n)),
+r as (select conv_id, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by k) as text from t group by conv_id)
+select m.conv_id, m.n_turns, m.n_equal, r.text from m join r on m.conv_id is not distinct from r.conv_id"""
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = table(spark, sf_dir, "labels").where(quality.fold(F.col("doc_id"), QUALITY_FOLDS) != 0)
+    scored = quality.score_documents(docs, quality.train(docs, learnt))
+    held = quality.fold(F.col("doc_id"), QUALITY_FOLDS) == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= QUALITY_SCORE, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op6_source_mixing, op7_document_fingerprints)
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_jaccard_join, op3_line_dedup, op4_bpe_encoding, op5_embedding_near_dedup,
+        op6_source_mixing, op7_document_fingerprints, op8_lm_scoring, op9_chat_formatting, op10_quality_classifier,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op6_source_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op9_chat_formatting": OP9_SQL}
