@@ -71,12 +71,10 @@ def _tile(threshold: float):
         side = table.column("side").to_numpy()
         x = table.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(len(ids), -1)
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        diagonal = not len(two) or table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        if diagonal:
-            one = np.arange(len(ids))
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
             left, right = tile_links(x, None, threshold)
         else:
-            a, b = tile_links(x[one], x[two], threshold) if len(one) else (np.zeros(0, np.int64),) * 2
+            a, b = tile_links(x[one], x[two], threshold) if len(one) and len(two) else (np.zeros(0, np.int64),) * 2
             left, right = one[a], two[b]
         links = np.bincount(np.concatenate([left, right]), minlength=len(ids))
         some = links > 0
