@@ -41,6 +41,7 @@ HEAD = 1_000_000
 #: Documents whose tokens the starting weights are learnt from.
 START = 256
 SLICE = 8 << 20
+ASCII_SPACE = b" \t\n\v\f\r"
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -48,7 +49,8 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
     A-Z are lower-cased; words are runs of characters other than ASCII white space.
     """
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Lower-cased as bytes, so only A-Z change; Arrow's own kernel gives wrong offsets for sliced arrays.
+    texts = pa.array([(t or "").encode().lower().strip(ASCII_SPACE).decode() for t in texts.to_pylist()], pa.large_string())
     words = pc.ascii_split_whitespace(texts)
     offsets = words.offsets.to_numpy()
     coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
