@@ -61,7 +61,8 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     Words are runs of characters other than ASCII white space, in lower case.  A text of fewer
     words than ``size`` is one shingle; null texts and those without words have the empty set.
     """
-    texts = pc.ascii_trim_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Python's own lower and strip: Arrow's kernels give wrong offsets for sliced arrays.
+    texts = pa.array([(t or "").lower().strip(" \t\n\v\f\r") for t in texts.to_pylist()], pa.large_string())
     words = pc.ascii_split_whitespace(texts)
     offsets = words.offsets.to_numpy()
     flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -256,7 +257,8 @@ def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD, size:
     # Candidates: representatives that share a band and agree in enough minima.
     member = reps.select("id", F.explode("bands").alias("bucket"))
     shared = materialise(member.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-buckets")
-    member = member.join(shared, "bucket").join(reps.select("id", "low"), "id")
+    # Shuffled whatever the size, so that a plan seen on little data is that of much data.
+    member = member.join(shared.hint("merge"), "bucket").join(reps.select("id", "low").hint("merge"), "id")
     tiles = _tiles(member, F.ceil(F.col("k") / block), ["bucket", "id", "low"])
     tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
     candidate = tiles.mapInArrow(_alike(agreement(threshold, bands * rows)), "a long, b long")
@@ -266,7 +268,7 @@ def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD, size:
     inside = clusters.join(reps.select("id", "copies", "n"), "id")
     weight = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
     inside = materialise(inside.join(materialise(weight, "jaccard-weights"), "cluster").select("id", "cluster", "copies", "blocks"), "jaccard-inside")
-    rows_ = named.join(inside, "id")
+    rows_ = named.join(inside.hint("merge"), "id")
     rows_ = _tiles(rows_, F.col("blocks"), ["cluster", "id", "copies", "text"])
     rows_ = rows_.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     found = materialise(rows_.mapInArrow(_verify(threshold, size), "id long, links long, reached long"), "jaccard-links")
