@@ -26,14 +26,14 @@ ERRORS = 6
 
 def line_key(line: Column) -> Column:
     """128 bits of a hash of the line without white space at its ends; null for blank lines."""
-    body = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    body = F.btrim(line, F.lit(" \t\n\v\f\r"))
     return F.when(body != "", F.struct(F.xxhash64(F.lit(1), body).alias("a"), F.xxhash64(F.lit(2), body).alias("b")))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """One row per line that is not blank: doc_id, site, pos, a, b."""
-    lines = documents.select("doc_id", F.col("source").alias("site"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
-    return lines.select("doc_id", "site", "pos", line_key(F.col("line")).alias("key")).where("key is not null").select("doc_id", "site", "pos", "key.a", "key.b")
+    """One row per line that is not blank: doc_id, version (hash of the text), site, pos, a, b."""
+    lines = documents.select("doc_id", F.xxhash64("text").alias("version"), F.col("source").alias("site"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "version", "site", "pos", line_key(F.col("line")).alias("key")).where("key is not null").select("doc_id", "version", "site", "pos", "key.a", "key.b")
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
@@ -59,18 +59,17 @@ def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int =
 
     With ``keep_first`` the document of the smallest id that holds a boilerplate line keeps it, so
     that no text vanishes from the corpus.  Null and empty texts stay as they are; blank lines are
-    never boilerplate; a null source is a site of its own.  Rows are matched by doc_id: rows that
-    repeat an id lose the lines that any of them loses, by position and hash; rows with a null id
-    lose none.  Other columns are carried along (``n_chars`` is counted anew where lines went).
+    never boilerplate; a null source is a site of its own.  Rows are matched by doc_id and text, so
+    rows that repeat an id are handled each; rows with a null id lose no line.  Other columns are carried along (``n_chars`` is counted anew where lines went).
     """
     lines = materialise(_lines(documents.where("doc_id is not null")), "line-keys")
     bad = materialise(boilerplate(lines, sites, lg_k), "line-boilerplate")
     # Each boilerplate line is one row on the right, so a hot line can be split on the left.
     hit = lines.join(bad, ["a", "b"]).where(~(F.lit(keep_first) & (F.col("doc_id") == F.col("first_doc"))))
-    drop = hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
+    drop = hit.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     cut = F.pandas_udf(_without, T.StringType())
-    drop = drop.withColumnRenamed("doc_id", "_id")
-    df = documents.join(drop, documents["doc_id"] == drop["_id"], "left")
+    drop = drop.withColumnRenamed("doc_id", "_id").withColumnRenamed("version", "_version")
+    df = documents.join(drop, (documents["doc_id"] == drop["_id"]) & (F.xxhash64(documents["text"]) == drop["_version"]), "left")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_drop")))
     df = df.withColumn("_text", text).withColumn("lines_removed", F.coalesce(F.size("_drop"), F.lit(0)))
     kept = {"text": F.col("_text"), "n_chars": F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length("_text")).cast("long") if "n_chars" in documents.columns else None}
