@@ -7,15 +7,19 @@ the canonical bytes are compared, and where they differ the fingerprints get tol
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import materialise
 
-#: Rows of the table of repeated hashes that may be broadcast, 16 bytes each; beyond, a shuffled join.
+#: Rows of repeated hashes, or of chunk heads, that may be broadcast (some 16 bytes each); beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Ranges of ids: bounds are held as literals, in two levels of this many.
 LEVEL = 32
+#: Rows of a chunk of ids, about.
+CHUNK_ROWS = 20_000
 
 
 def canonical(text: Column) -> Column:
@@ -71,6 +75,8 @@ def told_apart(df: DataFrame, bad: DataFrame, h: str, canon: str) -> DataFrame:
 def id_ranges(ids: DataFrame, column: str) -> list[int]:
     """Up to LEVEL**2 - 1 bounds that cut the ids into ranges of about equal numbers of rows."""
     parts = [i / LEVEL**2 for i in range(1, LEVEL**2)]
+    if not parts:
+        return []
     found = ids.agg(F.percentile_approx(column, parts, 10 * LEVEL**2).alias("q")).first()["q"] or []
     return sorted(set(found))
 
@@ -87,29 +93,47 @@ def range_number(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), -1).otherwise(out).cast("int")
 
 
-def with_next(documents: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """Adds ``next_<c>`` for each of ``columns``: that of the next row in descending ``order``.
+def chunks(documents: DataFrame, order: str, rows: int = CHUNK_ROWS) -> tuple[Column, Column]:
+    """(range, part): together a chunk of the ids in order, of about ``rows`` rows.
 
-    After the last row comes the first.  Null ids come last; equal ids are ordered by
-    ``columns``.  Ids are cut into ranges, each range gets a copy of the first row of the range
-    after it, and a window runs over each range: one shuffle, and no task sees more than a range.
+    Ranges come from quantiles (LEVEL**2 at most, held as literals); each is cut evenly between its
+    bounds into as many parts as the number of all rows asks for, so chunks don't grow with the input.
     """
+    value = F.col(order)
+    low, high, count = documents.agg(F.min(order), F.max(order), F.count("*")).first()
     bounds = id_ranges(documents, order)
-    df = documents.withColumn("_range", range_number(F.col(order), bounds))
-    heads = df.groupBy("_range").agg(F.max(order).alias("_head")).orderBy(F.desc("_range")).collect()  # LEVEL**2 + 1 rows at most
-    if not heads:
-        return df.select(*documents.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
-    numbers = [r["_range"] for r in heads]
-    # The head of each range also goes to the range before it, the first head to the last range.
-    before = {n: numbers[i - 1] for i, n in enumerate(numbers)}
-    send = F.element_at(F.create_map(*[x for r in heads for x in (F.lit(r["_range"]), F.lit(r["_head"]).cast("long"))]), F.col("_range"))
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    tie = [F.col(c).asc_nulls_first() for c in columns]
-    df = df.withColumn("_to", F.when(F.col(order).eqNullSafe(send), F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("late")), F.struct(to.alias("at"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("late")))))
-    df = df.withColumn("_to", F.explode("_to")).select("*", "_to.at", "_to.late")
-    w = Window.partitionBy("at").orderBy("late", F.col(order).desc_nulls_last(), *tie)
-    df = df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return df.where("late = 0").select(*documents.columns, *[f"next_{c}" for c in columns])
+    number = range_number(value, bounds)
+    parts = math.ceil(count / (rows * LEVEL**2))
+    if parts <= 1 or low is None:
+        return number, F.lit(0).cast("int")
+    edges = [low - 1, *bounds, high]
+    at = lambda shift: F.element_at(F.array(*[F.lit(x).cast("long") for x in edges]), F.greatest(number, F.lit(0)) + 1 + shift)
+    share = (value - at(0) - 1) / F.greatest(at(1) - at(0), F.lit(1))
+    return number, F.coalesce(F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))), F.lit(0)).cast("int")
+
+
+def with_next(documents: DataFrame, columns: list[str], order: str, *, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``next_<c>`` for each of ``columns``: that of the next row in descending ``order``.
+
+    After the last row comes the first.  Null ids come last; equal ids are ordered by ``columns``.
+    Rows are dealt out by chunks of ids; the first row of each chunk also goes to the chunk before it,
+    and a window runs over each chunk: one shuffle of the rows, and no task sees more than some chunks.
+    """
+    number, part = chunks(documents, order, rows)
+    df = documents.withColumn("_range", number).withColumn("_part", part)
+    # One row per chunk: a chunk's head is sent to the chunk before it, the first head to the last chunk.
+    heads = materialise(df.groupBy("_range", "_part").agg(F.max(order).alias("_head")), "fingerprint-heads")
+    down = Window.orderBy(F.desc("_range"), F.desc("_part"))
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    to = F.coalesce(F.lag(F.struct("_range", "_part")).over(down), F.last(F.struct("_range", "_part")).over(whole))
+    sent = materialise(heads.select("_head", to.alias("_to")), "fingerprint-sent")
+    small = sent.count() <= BROADCAST_ROWS
+    copies = documents.join(F.broadcast(sent) if small else sent, F.col(order).eqNullSafe(F.col("_head")))
+    copies = copies.select(*documents.columns, F.col("_to._range").alias("_range"), F.col("_to._part").alias("_part"), F.lit(1).alias("_late"))
+    both = df.withColumn("_late", F.lit(0)).unionByName(copies)
+    w = Window.partitionBy("_range", "_part").orderBy("_late", F.col(order).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns])
+    both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    return both.where("_late = 0").select(*documents.columns, *[f"next_{c}" for c in columns])
 
 
 def compare_edited(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -163,6 +163,8 @@ def test_lines_equal_brute_force(spark):
         want = t if not gone else "\n".join(kept)
         assert got[i] == (want, gone, n if not gone else len(want))
     assert bad == {"boiler", "shared 0", "shared 1", "shared 2"}
+    twice = line_dedup.remove_boilerplate(make(spark, rows + [doc(0, "new\nboiler\nlines"), doc(39, "new\nboiler")])).where("doc_id in (0, 39)").collect()
+    assert {r["text"] for r in twice} == {got[0][0], got[39][0], "new\nboiler\nlines", "new"}
     assert line_dedup.remove_boilerplate(make(spark, [])).count() == 0
 
 
@@ -332,6 +334,15 @@ def test_fingerprint_edges(spark):
     assert kept.select("fingerprint").distinct().count() == 2
 
 
+@pytest.mark.parametrize("level", [1, 2])
+def test_next_over_many_chunks(spark, monkeypatch, level):
+    monkeypatch.setattr(fingerprints, "LEVEL", level)
+    ids = sorted({int(x) for x in np.random.default_rng(4).integers(-50, 100_000, 200)} | {5, 6, 7})
+    df = make(spark, [(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df, ["text"], "doc_id", rows=7).collect()}
+    assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
+
+
 def test_collisions_are_told_apart(spark):
     df = make(spark, [("h", "a"), ("h", "b"), ("g", "c"), ("g", "c")], "h string, canon string")
     bad = fingerprints.collided(df)
