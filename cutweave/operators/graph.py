@@ -29,7 +29,7 @@ class Graph:
         """From any table of vertex pairs; without ``vertices`` those are the ends of the pairs (loops too)."""
         edges = normalise_edges(pairs, u, v)
         if vertices is None:
-            ends = pairs.select(F.explode(F.array(F.col(u), F.col(v))).cast("long").alias("id"))
+            ends = pairs.select(F.explode(F.array(F.col(u).cast("long"), F.col(v).cast("long"))).alias("id"))
             vertices = ends.where("id is not null").distinct()
         return cls(vertices.select(F.col("id").cast("long").alias("id")), edges)
 

@@ -14,7 +14,7 @@ from cutweave.operators import components as cc
 from cutweave.operators import decompose as dec
 from cutweave.operators import experiments as ex
 from cutweave.operators import graph as gr
-from cutweave.operators import heuristics, outcomes, sweeps, traversal
+from cutweave.operators import heuristics, outcomes, studies, sweeps, traversal
 from cutweave.operators.cut_matching import Cluster, Parameters
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
@@ -653,3 +653,31 @@ def potential_medians(spark, d):
 def experiment_matrix(spark, d):
     names = [r["n_name"] for r in table(spark, d, "nation").collect()]  # 25 names
     return ex.configurations(spark, names, [0.01, 0.005, 0.0025]).select("graph", "phi", "step", "seed")
+
+
+# -- studies on planted graphs -------------------------------------------------------------------
+
+
+@query()
+def study_certificate(spark, d):
+    return studies.certificate_study(spark, [0.001, 0.01], repeats=2)
+
+
+@query()
+def study_cut_balance(spark, d):
+    return studies.balance_study(spark, [2, 4])
+
+
+@query()
+def study_potentials(spark, d):
+    return studies.potential_study(spark, seeds=1)
+
+
+@query()
+def study_expected_cut(spark, d):
+    return studies.expected_cut_study(spark, [2, 3])
+
+
+@query()
+def study_iterations(spark, d):
+    return studies.iterations_study(spark, [("clique", 10), ("margulis", 3)], seeds=2)
