@@ -1,8 +1,9 @@
 """Expander decomposition: rounds over a work list of clusters instead of a recursion.
 
 In each round all open clusters are split into components (distributed), then every component is
-worked on by the cut-matching kernel in a group of its own; what that finds is either a final part
-or two smaller clusters for the next round.  Clusters with more than ``max_arcs`` arcs, too large
+worked on by the cut-matching kernel in a group of its own.  Clusters of up to ``local_arcs`` arcs are
+decomposed to the end there; of larger ones one step is made, which gives a final part or two smaller
+clusters for the next round, so that those are worked on in parallel.  Clusters with more than ``max_arcs`` arcs, too large
 for one worker, are cut by distributed PageRank sweeps until they fit or no sparse cut is found.
 """
 
@@ -27,10 +28,12 @@ from cutweave.operators.traversal import personalised_pagerank
 log = logging.getLogger("cutweave")
 #: Arcs of a cluster that one worker takes.
 MAX_ARCS = 2_000_000
+#: Arcs of a cluster that a worker decomposes to the end instead of handing back its two sides.
+LOCAL_ARCS = 100_000
 _OUT = "id long, child long, final boolean, congestion long, kind string"
 
 
-def kernel(phi: float, p: Parameters, seed: int):
+def kernel(phi: float, p: Parameters, seed: int, local_arcs: int = LOCAL_ARCS):
     """One cluster -> per vertex: child cluster (its smallest id), is it final, congestion, kind of outcome."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,6 +48,11 @@ def kernel(phi: float, p: Parameters, seed: int):
         order = np.lexsort((dst[once], src[once]))
         c = Cluster(ids, gdeg, left[once][order], right[once][order])
         rng = np.random.default_rng([seed, int(ids[0]) & 0x7FFFFFFF, len(ids)])
+        if len(c.left) + int(c.inner.sum()) <= local_arcs:
+            label, congestion, kinds = local_decompose(c, phi, p, rng)
+            first = np.full(len(congestion), np.iinfo(np.int64).max)
+            np.minimum.at(first, label, ids)
+            return pd.DataFrame({"id": ids, "child": first[label], "final": True, "congestion": np.array(congestion)[label], "kind": np.array(kinds, object)[label]})
         final, removed, congestion, kind = solve(c, phi, p, rng)
         child = np.empty(len(ids), np.int64)
         for mask in (removed, ~removed):
@@ -77,7 +85,54 @@ def solve(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> tu
     return kept, ~kept, 0, out.kind
 
 
-def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *, seed: int = 555, max_arcs: int = MAX_ARCS, max_rounds: int = 200) -> DataFrame:
+def local_decompose(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> tuple[np.ndarray, list[int], list[str]]:
+    """A cluster's decomposition inside one worker, by a work list: part of each vertex, congestion and kind of each part."""
+    label = np.full(len(c.ids), -1)
+    congestions: list[int] = []
+    kinds: list[str] = []
+    todo = [np.arange(len(c.ids))]
+    while todo:
+        members = todo.pop()
+        pieces = _pieces(members, c)
+        if len(pieces) > 1:
+            todo += pieces
+            continue
+        inside = np.full(len(c.ids), -1)
+        inside[members] = np.arange(len(members))
+        a, b = inside[c.left], np.where(c.inner, inside[c.right], -1)
+        touch = (a >= 0) | (b >= 0)
+        left, right = np.where(a >= 0, a, b)[touch], np.where((a >= 0) & (b >= 0), b, -1)[touch]
+        final, removed, congestion, kind = solve(Cluster(members, c.gdeg[members], left, right), phi, p, rng)
+        if final.any():
+            label[members[final]] = len(congestions)
+            congestions.append(congestion)
+            kinds.append(kind)
+        if not final.all():
+            todo += [x for x in ([members[~final]] if final.any() else [members[removed], members[~removed]]) if len(x)]
+    return label, congestions, kinds
+
+
+def _pieces(members: np.ndarray, c: Cluster) -> list[np.ndarray]:
+    """Connected components of the members, by smallest labels."""
+    label = np.full(len(c.ids), -1)
+    label[members] = members
+    e = c.inner & (label[c.left] >= 0) & (label[np.maximum(c.right, 0)] >= 0)
+    left, right = c.left[e], c.right[e]
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new[members] = new[new[members]]
+        if np.array_equal(new, label):
+            break
+        label = new
+    order = np.argsort(label[members], kind="stable")
+    own = label[members][order]
+    return np.split(members[order], np.flatnonzero(own[1:] != own[:-1]) + 1)
+
+
+def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *, seed: int = 555, max_arcs: int = MAX_ARCS, local_arcs: int = LOCAL_ARCS, max_rounds: int = 200) -> DataFrame:
     """(id, cluster, congestion): each vertex in exactly one cluster, named by its smallest id.
 
     ``congestion`` 0 means that the cluster came from trimming and has no certificate.
@@ -104,7 +159,7 @@ def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *,
         rows = label.select("cluster", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "gdeg")
         ends = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u").select("cluster", F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("gdeg"))
         small = rows.unionAll(ends).where(~is_large)
-        found = small.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number), _OUT)
+        found = small.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
         for c in large:
             found = found.unionAll(_cut_large(tagged, label.where(F.col("cluster") == c), phi))
         found = materialise(found, "decompose-found")

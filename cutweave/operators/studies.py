@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.operators.cut_matching import Cluster, Parameters, play
-from cutweave.operators.decompose import solve
+from cutweave.operators.decompose import local_decompose
 from cutweave.sources.generators import MARGULIS
 
 PARAMETERS = "kind string, n int, k int, r int, phi double, strategy string, balance double, seed int"
@@ -77,53 +77,12 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdf.itertuples(index=False):
             began = time.time()
             c = local_graph(p.kind, p.n, p.k, p.r, p.seed)
-            label, certificates = local_decompose(c, p.phi, _options(p.strategy, p.balance), p.seed)
-            rows.append((*p, len(c.left), int((label[c.left] != label[c.right]).sum()), len(certificates), int(np.bincount(label).max()), min(certificates), time.time() - began))
+            label, congestion, _ = local_decompose(c, p.phi, _options(p.strategy, p.balance), np.random.default_rng(p.seed))
+            worst = min(1 / x if x else 0.0 for x in congestion)
+            rows.append((*p, len(c.left), int((label[c.left] != label[c.right]).sum()), len(congestion), int(np.bincount(label).max()), worst, time.time() - began))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")])
 
 
-def local_decompose(c: Cluster, phi: float, p: Parameters, seed: int) -> tuple[np.ndarray, list[float]]:
-    """A whole decomposition inside one worker, by a work list: labels and each part's certificate."""
-    rng, label = np.random.default_rng(seed), np.full(len(c.ids), -1)
-    certificates, todo = [], [np.arange(len(c.ids))]
-    while todo:
-        members = todo.pop()
-        pieces = _components(members, c)
-        if len(pieces) > 1:
-            todo += pieces
-            continue
-        inside = np.full(len(c.ids), -1)
-        inside[members] = np.arange(len(members))
-        a, b = inside[c.left], inside[c.right]
-        touch = (a >= 0) | (b >= 0)
-        l, r = np.where(a >= 0, a, b)[touch], np.where((a >= 0) & (b >= 0), b, -1)[touch]
-        final, removed, congestion, _ = solve(Cluster(members, c.gdeg[members], l, r), phi, p, rng)
-        if final.any():
-            label[members[final]] = len(certificates)
-            certificates.append(1 / congestion if congestion else 0.0)
-        if not final.all():
-            todo += [x for x in ([members[~final]] if final.any() else [members[removed], members[~removed]]) if len(x)]
-    return label, certificates or [1.0]
-
-
-def _components(members: np.ndarray, c: Cluster) -> list[np.ndarray]:
-    label = np.full(len(c.ids), -1)
-    label[members] = members
-    e = (label[c.left] >= 0) & (label[c.right] >= 0)
-    l, r = c.left[e], c.right[e]
-    while True:
-        low = np.minimum(label[l], label[r])
-        new = label.copy()
-        np.minimum.at(new, l, low)
-        np.minimum.at(new, r, low)
-        new[members] = new[new[members]]
-        if np.array_equal(new, label):
-            break
-        label = new
-    own = label[members]
-    return [members[own == x] for x in np.unique(own)]
-
-
 def _table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     df = spark.createDataFrame(rows, PARAMETERS)
     return df.repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism))

@@ -234,7 +234,7 @@ def excess_residual(spark, d):
 
 # -- flow vectors --------------------------------------------------------------------------------
 
-VEC = SP + """, vec as (select cluster, (src * 100003 + dst)::bigint as eid, k, ((((src * 100003 + dst) % 1000003) * 1103515245 + 12345 + k * 7919) % 2147483648) / 2147483648.0 as x
+VEC = SP + """, vec as (select cluster, (src * 100003 + dst)::bigint as eid, k, ((((src * 100003 + dst) % 1000003) * (1103515245 + k * 7919) + 12345) % 2147483648) / 2147483648.0 as x
   from e join a on src = id, (select unnest([0, 1, 2]) as k)),
 m as (select cluster, k, avg(x) as avg, count(*)::bigint as s from vec group by cluster, k),
 c as (select vec.*, avg, s, x - avg as d from vec join m on vec.cluster = m.cluster and vec.k = m.k)"""
@@ -243,7 +243,7 @@ c as (select vec.*, avg, s, x - avg as d from vec join m on vec.cluster = m.clus
 def vectors(spark, d) -> DataFrame:
     g = supplier_part(spark, d)
     e = g.edges.join(quarters(g).withColumnRenamed("id", "src"), "src").select("cluster", (F.col("src") * 100003 + F.col("dst")).alias("eid"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
-    return e.withColumn("x", ((F.col("eid") % 1000003 * F.lit(1103515245) + 12345 + F.col("k") * 7919) % F.lit(2147483648)) / 2147483648.0)
+    return e.withColumn("x", ((F.col("eid") % 1000003 * (F.lit(1103515245) + F.col("k") * 7919) + 12345) % F.lit(2147483648)) / 2147483648.0)
 
 
 @query(VEC + " select cluster, eid, k, round(d, 9) as d from c")

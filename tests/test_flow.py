@@ -98,6 +98,11 @@ def test_heuristics_find_the_planted_cut(spark):
     assert cut.conductance >= best
 
 
+def test_rounds_equal_planted_parts(spark):
+    got = decompose(generators.clique_path(spark, 20, 3), 0.01, Parameters(num_flow_vectors=5), local_arcs=0)
+    assert {r["id"]: r["cluster"] for r in got.collect()} == {i: i - i % 20 for i in range(60)}
+
+
 @pytest.mark.parametrize("options", [{}, {"use_cut_heuristics": True}, {"adaptive": True, "warm_start": True, "stop_flow_at_fraction": True}, {"krv_step_first": True, "trim_with_max_flow_first": True, "kahan_error": True}])
 def test_decompose_clique_path(spark, options):
     g = generators.clique_path(spark, 20, 5)
@@ -117,5 +122,5 @@ def test_decompose_edges(spark):
 
 def test_large_clusters_are_cut_by_sweeps(spark):
     g = generators.clique_path(spark, 20, 4)
-    got = decompose(g, 0.01, Parameters(num_flow_vectors=5), max_arcs=500)
+    got = decompose(g, 0.01, Parameters(num_flow_vectors=5), max_arcs=500, local_arcs=300)
     assert {r["id"]: r["cluster"] for r in got.collect()} == {i: i - i % 20 for i in range(80)}

@@ -6,6 +6,7 @@ import pytest
 from cutweave.functions.timing import Phases
 from cutweave.operators import studies
 from cutweave.operators.cut_matching import Parameters
+from cutweave.operators.decompose import local_decompose
 from cutweave.sources import generators
 
 
@@ -26,8 +27,8 @@ def test_volumes_add_up(spark):
 
 
 def test_local_decomposition_covers_all():
-    label, certificates = studies.local_decompose(studies.local_graph("clique-path", 20, 4), 0.01, Parameters(num_flow_vectors=5), 1)
-    assert sorted(np.bincount(label)) == [20] * 4 and len(certificates) == 4
+    label, congestion, _ = local_decompose(studies.local_graph("clique-path", 20, 4), 0.01, Parameters(num_flow_vectors=5), np.random.default_rng(1))
+    assert sorted(np.bincount(label)) == [20] * 4 and len(congestion) == 4
     assert studies.fewest_vectors(studies.local_graph("clique", 8), 0.01, Parameters()) is not None
 
 
