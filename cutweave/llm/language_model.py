@@ -27,20 +27,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import materialise
-from cutweave.llm.kernels import in_slices
+from cutweave.llm.kernels import bounded_batches, hand_back, in_slices, mixed
 
 #: Single-word classes, classes by ending; one more is the end of a document.
 SINGLE, ENDINGS, ENDING = 31, 64, 3
 END = SINGLE
 CLASSES = SINGLE + 1 + ENDINGS
 HIDDEN, WINDOW, LANES = 16, 16, 512
+#: Rows of class scores that are held at once, so that they stay in a core's cache.
+ROWS = 1024
 #: Training cuts documents into stretches of this many tokens, each from the zero state; all are learnt from.
 STRETCH = 1024
 #: Words with counts that are broadcast, at most: 12 bytes each.
 HEAD = 1_000_000
 #: Documents whose tokens the starting weights are learnt from.
 START = 256
-SLICE = 8 << 20
+SLICE = 4 << 20
 ASCII_SPACE = b" \t\n\v\f\r"
 
 
@@ -64,8 +66,26 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return offsets, coded.dictionary, codes
 
 
+_TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def hashes_of(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+    """A 64-bit hash of each word: a sum of a random number per byte times a power per place, mixed with the length."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    length = np.diff(offsets)
+    starts = offsets[:-1] - offsets[0]
+    place = np.arange(len(raw)) - np.repeat(starts, length)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max(initial=0)), _BASE)]), dtype=np.uint64)
+    out = np.zeros(len(words), np.uint64)
+    some = length > 0
+    if some.any():
+        out[some] = np.add.reduceat(_TABLE[raw] * powers[place], starts[some])
+    return mixed(out + length.astype(np.uint64) * _BASE)
 
 
 def ending_classes(words: pa.Array) -> np.ndarray:
@@ -139,16 +159,22 @@ class Gru:
 
     def log_probabilities(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the classes' probabilities, some thousand rows at a time."""
-        out = np.empty(len(y))
-        for a in range(0, len(y), 8192):
-            e = states[a : a + 8192] @ self.O
-            e += self.b
-            own = e[np.arange(len(e)), y[a : a + 8192]].astype(float)
-            e -= (top := e.max(axis=1, keepdims=True))
+        out, ones = np.empty(len(y)), np.ones(CLASSES, np.float32)
+        for a in range(0, len(y), ROWS):
+            e = self.logits(states[a : a + ROWS])
+            own = e[np.arange(len(e)), y[a : a + ROWS]].astype(float)
             np.exp(e, out=e)
-            out[a : a + 8192] = own - top[:, 0] - np.log(e.sum(axis=1))
+            out[a : a + ROWS] = own - np.log(e @ ones)
         return out
 
+    def logits(self, states: np.ndarray) -> np.ndarray:
+        """Scores of the classes; kept below 60, so that sums of their exponentials fit into float32."""
+        e = states @ self.O
+        e += self.b
+        if float(np.abs(self.O).sum(axis=0).max() + np.abs(self.b).max()) > 60:  # states are within -1 and 1
+            np.clip(e, -60, 60, out=e)
+        return e
+
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """log10 of the classes' probability of each document, its state carried through all windows."""
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
@@ -219,13 +245,7 @@ class Trainer:
         lanes = len(y)
         S = np.concatenate(states)
         Y, V = y.T.ravel(), valid.T.ravel()
-        p = S @ g.O
-        p += g.b
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(Y)), Y] -= 1
-        p *= (V / max(1, V.sum())).astype(np.float32)[:, None]
+        weight, ones = (V / max(1, V.sum())).astype(np.float32), np.ones(CLASSES, np.float32)
         grad = np.zeros_like(g.flat)
         d = Gru.__new__(Gru)
         at = 0
@@ -233,9 +253,17 @@ class Trainer:
             n = math.prod(shape)
             setattr(d, name, grad[at : at + n].reshape(shape))
             at += n
-        d.O += S.T @ p
-        d.b += p.sum(axis=0)
-        dS = (p @ g.O.T).reshape(steps, lanes, HIDDEN)
+        dS, back = np.empty_like(S), np.ascontiguousarray(g.O.T)
+        for a in range(0, len(Y), ROWS):
+            part = slice(a, min(a + ROWS, len(Y)))
+            p = g.logits(S[part])
+            np.exp(p, out=p)
+            p *= (weight[part] / (p @ ones))[:, None]
+            p[np.arange(len(p)), Y[part]] -= weight[part]
+            d.O += S[part].T @ p
+            d.b += p.sum(axis=0)
+            np.matmul(p, back, out=dS[part])
+        dS = dS.reshape(steps, lanes, HIDDEN)
         rows, carry = [], np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 2, -1, -1):
             gates, n, hun = held[t]
@@ -249,10 +277,10 @@ class Trainer:
             carry = up * z + da @ g.U.T
             rows.append(np.concatenate([dz, dr, dn], axis=1))
         if rows:
-            dx = np.concatenate(rows)
+            dx = np.concatenate(rows).T.astype(float, order="C")
             of = np.concatenate([y[:, t] for t in range(steps - 2, -1, -1)])
             for k in range(3 * HIDDEN):
-                d.X[:, k] += np.bincount(of, dx[:, k], CLASSES)
+                d.X[:, k] += np.bincount(of, dx[k], CLASSES)
         self.apply(grad)
         self.tokens += int(V.sum())
         return s
@@ -276,6 +304,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _slices(batch.column(0)):
             _, words, codes = split_words(texts)
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["word", "n"])
+    hand_back()
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -347,6 +376,7 @@ def train(training: DataFrame, lex: Lexicon, *, seed: int = 0, start_rate: float
             if trainer.tokens:
                 flat = trainer.gru.flat.astype(float) * trainer.tokens
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), trainer.tokens))], ["k", "w", "n"])
+            hand_back()
 
         return run
 
@@ -366,7 +396,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     one token, the end.  Null ids count as the empty text in the fold; repeated rows are scored
     each and all learnt from; other columns are ignored; an empty table gives an empty result.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("_held", held_out(F.col("doc_id"), folds, fold)).withColumn("_row", F.xxhash64("doc_id"))
     training = docs.where(~F.col("_held")).select("_row", "text")
     lex, rare = lexicon(training, head=head)
@@ -400,6 +430,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     ["doc_id", "held", "uid", "n", "known", "base", "score", "rare"],
                 )
                 at += len(n)
+        hand_back()
 
     schema = "doc_id long, held boolean, uid long, n long, known long, base double, score double, rare array<struct<word:string,n:long,class:int>>"
     done = materialise(docs.select("doc_id", "_held", "text").mapInArrow(run, schema), "lm-scores")
