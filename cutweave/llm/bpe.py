@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,8 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words and fragments that a worker keeps with their ids, at most.
-CACHE = 300_000
+from cutweave.llm.kernels import bounded_batches, hand_back
+
+#: Words, and fragments, that a worker keeps with their ids; at most twice as many words, as the ones before
+#: the latest so many stay until as many new ones have come.
+CACHE = 50_000
+#: Fragments of up to so many symbols are merged in a list, longer ones with a heap.
+SHORT = 48
+NONE = 1 << 60
 WORD_END = "</w>"
 #: A text is encoded in pieces of about this many characters, cut at white space.
 PIECE = 1 << 20
@@ -57,7 +64,8 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=lambda t: (-len(t), t))) + ")") if self.special else None
         self.touch = self._touching()
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
 
     def _touching(self) -> set[tuple[str, str]]:
         """Pairs of symbols that stand side by side inside some token."""
@@ -78,13 +86,26 @@ class WordBpe:
         return out
 
     def merge(self, fragment: str, last: bool) -> tuple[int, ...]:
-        """Ids of a fragment: the lowest-ranked pair, leftmost first, is joined until none is left.
-
-        A heap over a doubly linked list, so a very long fragment costs n log n.
-        """
+        """Ids of a fragment: the lowest-ranked pair, leftmost first, is joined until none is left."""
         parts: list[str | None] = list(fragment)
         if last:
             parts[-1] += WORD_END
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
+        rank = self.ranks.get
+        ranks = [rank(pair, NONE) for pair in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < NONE:
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NONE)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NONE)
+        return tuple([self.ids[p] for p in parts])
+
+    def _merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
+        """The same with a heap over a doubly linked list, so a very long fragment costs n log n."""
         n, ranks = len(parts), self.ranks
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -109,6 +130,8 @@ class WordBpe:
         """Ids of one word of the normalised text."""
         symbols = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
         pieces = self.cuts(symbols)
+        if len(pieces) == 1:
+            return list(self.merge(symbols, True))
         out: list[int] = []
         for k, piece in enumerate(pieces):
             key = (piece, k == len(pieces) - 1)
@@ -127,12 +150,15 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def _word(self, word: str) -> tuple[bytes, str, int]:
-        ids = self.word_ids(word)
-        out = (np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids]), len(ids))
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Ids as little-endian bytes and tokens joined by a space, of a word that isn't among the latest."""
+        out = self.before.get(word)
+        if out is None:
+            ids = self.word_ids(word)
+            out = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids]))
         if len(word) <= 64:
             if len(self.known) >= CACHE:
-                self.known.clear()
+                self.before, self.known = self.known, {}
             self.known[word] = out
         return out
 
@@ -149,16 +175,16 @@ class WordBpe:
             at = to
         yield text[at:]
 
-    def encoded(self, text: str) -> Iterator[tuple[bytes, str, int]]:
-        """(ids as little-endian bytes, tokens joined by a space, number of ids) of each word in turn."""
-        known = self.known
+    def encoded(self, text: str) -> list[tuple[bytes, str]]:
+        """(ids as little-endian bytes, tokens joined by a space) of each word in turn."""
+        out: list[tuple[bytes, str]] = []
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
-                yield np.array([self.special[part]], "<u4").tobytes(), part, 1
+                out.append((struct.pack("<I", self.special[part]), part))
                 continue
             for piece in self.pieces(part):
-                for word in self.words.findall(self.normalise(piece)):
-                    yield known.get(word) or self._word(word)
+                out += [self.known.get(word) or self._word(word) for word in self.words.findall(self.normalise(piece))]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null is the empty text."""
@@ -193,7 +219,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, *, text_col: str = "
     def run(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = load(vocabulary), []
         for text in texts:
-            each = list(bpe.encoded(text if isinstance(text, str) else ""))
+            each = bpe.encoded(text if isinstance(text, str) else "")
             raw = b"".join([e[0] for e in each])
             row: dict = {"n_tokens": len(raw) // 4}
             if ids:
@@ -202,9 +228,11 @@ def encode_documents(documents: DataFrame, vocabulary: str, *, text_col: str = "
                 row["ids_sha256"] = hashlib.sha256(raw).hexdigest()
                 row["decoded_sha256"] = hashlib.sha256(" ".join([e[1] for e in each]).encode("utf-8", "surrogatepass")).hexdigest()
             rows.append(row)
+        hand_back()
         return pd.DataFrame(rows, columns=[f.name for f in added])
 
     names = {f.name for f in added}
+    bounded_batches(documents)
     keep = [c for c in documents.columns if c not in names]
     udf = F.pandas_udf(run, T.StructType(added))
     text = F.col(f"`{text_col}`")

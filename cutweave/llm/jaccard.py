@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import materialise
-from cutweave.llm.kernels import in_slices, runs, smallest_reached, starts
+from cutweave.llm.kernels import bounded_batches, hand_back, in_slices, mixed, runs, smallest_reached, starts
 from cutweave.operators.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Representatives of a block of a bucket, and documents and shingles of a block of a cluster.
 BLOCK, DOCS, SHINGLES = 256, 128, 1_000_000
 #: Characters of text whose words are held as arrays at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _SEEDS = np.random.default_rng(20_240_229)
 _ODD = _SEEDS.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEEDS.integers(0, 1 << 63, 1024, dtype=np.uint64)
@@ -48,13 +48,6 @@ def agreement(threshold: float, minima: int) -> int:
     return max(1, math.floor(minima * threshold - 5.2 * math.sqrt(minima * threshold * (1 - threshold))))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (multiply and shift, twice)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word n-grams of each text.
 
@@ -126,6 +119,7 @@ def _sign(bands: int, rows: int, size: int):
                     [ids.slice(a, b - a).take(pa.array(some)), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), pa.array([len(sets[i]) for i in some], pa.int64()), bandlist, pa.array([r.tobytes() for r in low], pa.binary())],
                     ["id", "key_a", "key_b", "n", "bands", "low"],
                 )
+        hand_back()
 
     return run
 
@@ -151,6 +145,7 @@ def _alike(least: int):
             if not left or not sum(map(len, left)):
                 continue
             yield _stars(ids, np.concatenate(left), np.concatenate(right))
+        hand_back()
 
     return run
 
@@ -224,6 +219,7 @@ def _verify(threshold: float, size: int):
                 out.append((ids[a:b][links > 0], links[links > 0].astype(np.int64), reached[links > 0]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "links", "reached"])
+        hand_back()
 
     return run
 
@@ -246,7 +242,7 @@ def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD, size:
     empty result.
     """
     bands = bands_for(threshold, rows, recall)
-    docs_in = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs_in = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = docs_in.where("id is not null")
     signed = materialise(named.mapInArrow(_sign(bands, rows, size), "id long, key_a long, key_b long, n long, bands array<long>, low binary"), "jaccard-signed")
     key = ["key_a", "key_b"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutweave.functions.storage import materialise
+from cutweave.llm.kernels import bounded_batches, hand_back
 
 #: Sites on which a line must stand to be boilerplate.
 SITES = 6
@@ -62,7 +63,7 @@ def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int =
     never boilerplate; a null source is a site of its own.  Rows are matched by doc_id and text, so
     rows that repeat an id are handled each; rows with a null id lose no line.  Other columns are carried along (``n_chars`` is counted anew where lines went).
     """
-    lines = materialise(_lines(documents.where("doc_id is not null")), "line-keys")
+    lines = materialise(_lines(bounded_batches(documents).where("doc_id is not null")), "line-keys")
     bad = materialise(boilerplate(lines, sites, lg_k), "line-boilerplate")
     # Each boilerplate line is one row on the right, so a hot line can be split on the left.
     hit = lines.join(bad, ["a", "b"]).where(~(F.lit(keep_first) & (F.col("doc_id") == F.col("first_doc"))))
@@ -84,4 +85,5 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
             continue
         gone = set(int(i) for i in drop)
         out.append("\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone]))
+    hand_back()
     return pd.Series(out, dtype=object)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutweave.llm.kernels import bounded_batches, hand_back
+
 #: Labelled documents that a model is fitted on, at most (those with the smallest hashes of their ids).
 SAMPLE = 20_000
 #: Labels with fewer bytes than this in the sample are broadcast: SAMPLE rows of two numbers.
@@ -156,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_c
         for pdf in batches:
             yield pd.DataFrame(np.column_stack([pdf["_y"].to_numpy(float), _measure(pdf["text"])]), columns=names)
 
-    got = rows.select("_y", "text").mapInPandas(run, ", ".join(f"{c} double" for c in names)).toPandas().to_numpy(float)
+    got = bounded_batches(rows).select("_y", "text").mapInPandas(run, ", ".join(f"{c} double" for c in names)).toPandas().to_numpy(float)
     got = got[np.lexsort(got.T[::-1])]  # the same order whatever the partitions
     return fit(got[:, 1:], got[:, 0])
 
@@ -168,9 +170,11 @@ def score_documents(documents: DataFrame, forest: Forest, *, text_col: str = "te
     """
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(_measure(texts)), dtype=float)
+        out = pd.Series(forest.score(_measure(texts)), dtype=float)
+        hand_back()
+        return out
 
-    return documents.withColumn(out, F.pandas_udf(run, T.DoubleType())(F.col(text_col)))
+    return bounded_batches(documents).withColumn(out, F.pandas_udf(run, T.DoubleType())(F.col(text_col)))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
