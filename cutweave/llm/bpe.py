@@ -27,7 +27,7 @@ from cutweave.llm.kernels import bounded_batches, hand_back
 
 #: Words, and fragments, that a worker keeps with their ids; at most twice as many words, as the ones before
 #: the latest so many stay until as many new ones have come.
-CACHE = 50_000
+CACHE = 150_000
 #: Fragments of up to so many symbols are merged in a list, longer ones with a heap.
 SHORT = 48
 NONE = 1 << 60
@@ -78,6 +78,8 @@ class WordBpe:
     def cuts(self, symbols: str) -> list[str]:
         """The fragments of a word: cut wherever two symbols touch in no token."""
         touch, out, start = self.touch, [], 0
+        if touch.issuperset(zip(symbols, symbols[1:])):
+            return [symbols]
         for i in range(1, len(symbols)):
             if (symbols[i - 1], symbols[i]) not in touch:
                 out.append(symbols[start:i])
