@@ -3,8 +3,9 @@
 In each round all open clusters are split into components (distributed), then every component is
 worked on by the cut-matching kernel in a group of its own.  Clusters of up to ``local_arcs`` arcs are
 decomposed to the end there; of larger ones one step is made, which gives a final part or two smaller
-clusters for the next round, so that those are worked on in parallel.  Clusters with more than ``max_arcs`` arcs, too large
-for one worker, are cut by distributed PageRank sweeps until they fit or no sparse cut is found.
+clusters for the next round, so that those are worked on in parallel.  Clusters with more than ``max_arcs`` arcs are first
+cut by a distributed PageRank sweep; where that finds no sparse cut, the kernel takes the whole cluster all the same, so
+that no part is final without the cut-matching game.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from cutweave.operators.sweeps import best_sweep_cut, sweep_cut
 from cutweave.operators.traversal import personalised_pagerank
 
 log = logging.getLogger("cutweave")
-#: Arcs of a cluster that one worker takes.
+#: Arcs of a cluster above which a distributed sweep is tried before one worker takes it.
 MAX_ARCS = 2_000_000
 #: Arcs of a cluster that a worker decomposes to the end instead of handing back its two sides.
 LOCAL_ARCS = 100_000
@@ -155,13 +156,14 @@ def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *,
         label = materialise(label, "decompose-label")
         sizes = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u").groupBy("cluster").agg(F.count("*").alias("arcs"))
         large = [r["cluster"] for r in sizes.where(F.col("arcs") > max_arcs).collect()]  # few: each has over max_arcs arcs
-        is_large = F.col("cluster").isin(large) if large else F.lit(False)
+        cuts = {c: cut for c in large if (cut := _cut_large(tagged, label.where(F.col("cluster") == c), phi)) is not None}
+        is_cut = F.col("cluster").isin(list(cuts)) if cuts else F.lit(False)
         rows = label.select("cluster", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "gdeg")
         ends = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u").select("cluster", F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("gdeg"))
-        small = rows.unionAll(ends).where(~is_large)
-        found = small.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
-        for c in large:
-            found = found.unionAll(_cut_large(tagged, label.where(F.col("cluster") == c), phi))
+        rest = rows.unionAll(ends).where(~is_cut)
+        found = rest.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
+        for cut in cuts.values():
+            found = found.unionAll(cut)
         found = materialise(found, "decompose-found")
         final = found.where("final").select("id", F.col("child").alias("cluster"), "congestion")
         done = materialise(final if done is None else done.unionAll(final), "decompose-done")
@@ -175,8 +177,8 @@ def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *,
     return done if done is not None else g.vertices.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("congestion"))
 
 
-def _cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame:
-    """Distributed cut of one large cluster: a PageRank sweep from its vertex of greatest degree."""
+def _cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame | None:
+    """Distributed cut of one large cluster, by a PageRank sweep from its vertex of greatest degree; None if that is not sparse."""
     ids = members.select(F.col("id").alias("u"))
     arcs = tagged.where("inner").join(ids, "u", "left_semi").select("u", "v")
     deg = arcs.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("deg"))
@@ -187,7 +189,7 @@ def _cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame:
     best = best_sweep_cut(sweep).first()
     gvol = max(2, members.agg(F.sum("gdeg")).first()[0] or 2)
     if best is None or best["conductance"] > 1.7 * phi * math.log10(gvol) ** 2:
-        return members.select("id", F.col("cluster").alias("child"), F.lit(True).alias("final"), F.lit(0).cast("long").alias("congestion"), F.lit("large").alias("kind"))
+        return None
     inside = F.col("rank") <= best["rank"]
     names = sweep.agg(F.min(F.when(inside, F.col("id"))).alias("a"), F.min(F.when(~inside, F.col("id"))).alias("b")).first()
     return sweep.select("id", F.when(inside, names["a"]).otherwise(names["b"]).alias("child"), F.lit(False).alias("final"), F.lit(0).cast("long").alias("congestion"), F.lit("large").alias("kind"))

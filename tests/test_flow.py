@@ -124,3 +124,11 @@ def test_large_clusters_are_cut_by_sweeps(spark):
     g = generators.clique_path(spark, 20, 4)
     got = decompose(g, 0.01, Parameters(num_flow_vectors=5), max_arcs=500, local_arcs=300)
     assert {r["id"]: r["cluster"] for r in got.collect()} == {i: i - i % 20 for i in range(80)}
+
+
+def test_a_cut_that_the_sweep_misses_is_found_by_the_game(spark, monkeypatch):
+    at = "cutweave.operators.decompose."
+    monkeypatch.setattr(at + "personalised_pagerank", lambda arcs, deg, seed, **_: seed.selectExpr("seed", "seed as id", "1.0D as p", "0.0D as r"))
+    monkeypatch.setattr(at + "best_sweep_cut", lambda sweep: sweep.limit(0))
+    got = decompose(generators.clique_path(spark, 20, 2), 0.01, Parameters(num_flow_vectors=5), max_arcs=500).collect()
+    assert {r["id"]: r["cluster"] for r in got} == {i: i - i % 20 for i in range(40)} and all(r["congestion"] > 0 for r in got)
