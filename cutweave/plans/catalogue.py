@@ -544,6 +544,14 @@ def edge_list_round_trip(spark, d):
     return edge_lists.read_edge_list(spark, path).edges
 
 
+@query(CN + " select src, dst from e")
+def edge_list_round_trip_whole(spark, d):
+    """Every edge of the graph is written and read again."""
+    path = f"{shared_dir(spark)}/edge-list-whole-query"
+    edge_lists.write_edge_list(customer_nation(spark, d), path)
+    return edge_lists.read_edge_list(spark, path).edges
+
+
 @query("""with r as (select distinct n_nationkey::bigint as a, n_regionkey::bigint + 1000 as b from nation), i as (select a as id from r union select b from r), k as (select id, (row_number() over (order by id) - 1)::bigint as k from i)
 select least(x.k, y.k) as src, greatest(x.k, y.k) as dst from r join k x on a = x.id join k y on b = y.id""")
 def snap_reader(spark, d):

@@ -25,6 +25,12 @@ def duck(sf_dir):
     return con
 
 
+def test_whole_edge_list_is_written_and_read(spark, sf_dir):
+    want = catalogue.customer_nation(spark, sf_dir).edges.collect()
+    assert max(r["dst"] for r in want) >= 200
+    assert sorted(catalogue.QUERIES["edge_list_round_trip_whole"](spark, sf_dir).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_graph_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
