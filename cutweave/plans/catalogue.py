@@ -313,6 +313,30 @@ def matching_average(spark, d):
     return sweeps.average_matched(v, pairs_of(v)).withColumn("x", F.round("x", 9))
 
 
+HALVES = VEC + """, rk as (select cluster, eid, row_number() over (partition by cluster order by x, eid) as rn, count(*) over (partition by cluster) as s from vec where k = 0),
+pr as (select l.cluster, l.eid as a, r.eid as b from rk l join rk r on l.cluster = r.cluster and r.rn = l.s + 1 - l.rn where l.rn <= l.s // 2)"""
+
+
+def halves_of(v: DataFrame) -> DataFrame:
+    """The k-th lowest of each cluster with its k-th highest, by one ranking, so that pairs are disjoint; a middle one is left out."""
+    from pyspark.sql import Window
+
+    v = v.where("k = 0")
+    r = v.select("cluster", "eid", F.row_number().over(Window.partitionBy("cluster").orderBy("x", "eid")).cast("long").alias("rn"))
+    r = materialise(r.join(v.groupBy("cluster").agg(F.count("*").alias("s")), "cluster"), "ranks")
+    low = r.where("2 * rn <= s").select("cluster", "rn", F.col("eid").alias("a"))
+    high = r.select("cluster", (F.col("s") + 1 - F.col("rn")).alias("rn"), F.col("eid").alias("b"), "s").where("2 * rn <= s").drop("s")
+    return low.join(high, ["cluster", "rn"]).select("cluster", "a", "b")
+
+
+@query(HALVES + """, q as (select cluster, a as eid, b as p from pr union all select cluster, b, a from pr)
+select vec.cluster, vec.eid, vec.k, round(coalesce((vec.x + o.x) / 2, vec.x), 9) as x from vec left join q on vec.cluster = q.cluster and vec.eid = q.eid left join vec o on o.cluster = q.cluster and o.eid = q.p and o.k = vec.k""")
+def matching_average_whole(spark, d):
+    """The whole lower half of each cluster is paired with the whole upper half."""
+    v = vectors(spark, d)
+    return sweeps.average_matched(v, halves_of(v)).withColumn("x", F.round("x", 9))
+
+
 @query(VEC + """, t as (select cluster, eid, case when eid % 2 = 0 then 'L' else 'R' end as side from vec where k = 0 and eid % 7 <> 0),
 r as (select *, row_number() over (partition by cluster, side order by md5(eid::varchar || '#0'), eid) as r from t)
 select l.cluster, l.eid as a, x.eid as b from r l join r x on l.cluster = x.cluster and l.r = x.r where l.side = 'L' and x.side = 'R'""")

@@ -31,6 +31,13 @@ def test_whole_edge_list_is_written_and_read(spark, sf_dir):
     assert sorted(catalogue.QUERIES["edge_list_round_trip_whole"](spark, sf_dir).collect()) == sorted(want)
 
 
+def test_whole_halves_are_paired(spark):
+    for s in (1, 2, 301, 400):
+        v = spark.range(s).selectExpr("0L as cluster", "id as eid", "0 as k", "cast(id % 7 as double) as x")
+        pairs = [(r["a"], r["b"]) for r in catalogue.halves_of(v).collect()]
+        assert len(pairs) == s // 2 and len({e for p in pairs for e in p}) == 2 * (s // 2)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_graph_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
