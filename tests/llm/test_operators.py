@@ -214,30 +214,52 @@ def test_bpe_decode_column(spark, library):
 # -- 5: embeddings -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [2048, 40])
-def test_embeddings_equal_brute_force(spark, block):
+def brute_links(rows, threshold=0.9):
+    """(id, n_links, component, kept) of every row, each row a vector of its own, in double precision."""
+    def unit(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        v = np.array(v, np.float32).astype(float)
+        return v / np.linalg.norm(v)
+
+    u = [unit(v) for _, v in rows]
+    n = len(rows)
+    link = np.zeros((n, n), bool)
+    for i in range(n):
+        for j in range(i):
+            link[i, j] = link[j, i] = u[i] is not None and u[j] is not None and len(u[i]) == len(u[j]) and u[i] @ u[j] >= threshold
+    big = 1 << 60
+    label = np.array([big if i is None else i for i, _ in rows])
+    for _ in range(n):
+        label = np.minimum(label, np.where(link, label[None, :], big).min(axis=1, initial=big))
+    label = [None if x == big else int(x) for x in label]
+    return sorted(((i, int(k), c, i == c) for (i, _), k, c in zip(rows, link.sum(axis=1), label)), key=str)
+
+
+@pytest.mark.parametrize("block,small", [(65_536, 2_048), (40, 2_048), (65_536, 20)])
+def test_embeddings_equal_brute_force(spark, block, small):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((150, 16)).astype(np.float32)
     x[60:100] = x[0] + 0.25 * rng.standard_normal((40, 16))
     x[100:130] = x[30:60] * 3
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [None] + [1.0] * 15), (904, [float("nan")] * 16), (905, [float("inf")] * 16), (906, [1.0] * 3), (907, [1.0] * 3), (None, [1.0] * 16)]
-    df = make(spark, rows + odd + rows[:1], "vec_id long, embedding array<float>").withColumn("kept", F.lit("clash"))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, block=block).collect()}
-    u = x.astype(float)
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    link = u @ u.T >= 0.9
-    np.fill_diagonal(link, False)
-    label = np.arange(len(x))
-    for _ in range(len(x)):
-        label = np.minimum(label, np.where(link, label[None, :], len(x)).min(axis=1))
-    for i in range(len(x)):
-        assert got[i] == (link[i].sum(), label[i], label[i] == i)
-    assert got[906] == (1, 906, True) and got[907] == (1, 906, False)
-    assert all(got[i] == (0, i, True) for i in (900, 901, 902, 903, 904, 905)) and got[None] == (0, None, True)
+    rows += [(900, None), (901, []), (902, [0.0] * 16), (903, [None] + [1.0] * 15), (904, [float("nan")] * 16), (905, [float("inf")] * 16), (906, [1.0] * 3), (907, [1.0] * 3), (908, [1e-30] * 16), (909, [1e30] * 16)]
+    # Repeated rows and ids: the same vector, another one, a broken one; rows without an id.
+    rows += rows[:1] * 3 + [(1, x[20].tolist()), (2, None), (2, [None] + [1.0] * 15), (None, x[140].tolist()), (None, [-1.0] * 16), (None, None), (777, [1.0, 0.0]), (777, [0.0, 1.0]), (778, [0.0, 1.0]), (779, [1.0, 0.0])]
+    df = make(spark, rows, "vec_id long, embedding array<float>").withColumn("kept", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("a", F.lit(1)).repartition(5)
+    got = [tuple(r) for r in embeddings.near_duplicates(df, block=block, small=small).collect()]
+    assert sorted(got, key=str) == brute_links(rows)
     assert embeddings.near_duplicates(make(spark, [], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_crowded_tiles_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = 1 + 0.32 * rng.standard_normal((300, 8))  # many pairs on both sides of the threshold
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), x.astype(np.float32))]
+    got = [tuple(r) for r in embeddings.near_duplicates(make(spark, rows, "vec_id long, embedding array<float>")).collect()]
+    assert sorted(got, key=str) == brute_links(rows)
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(0)
     u = rng.standard_normal((50, 64))
