@@ -196,6 +196,40 @@ def test_bpe_equals_library(spark, sf_dir, library):
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_words_of_every_code_point_equal_the_library(library):
+    own = bpe.load(queries.vocabulary())
+
+    def split(x):
+        x = library.normalizer.normalize_str(x)
+        return [x[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(x)]
+
+    for c in [*range(1, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200), 0x10FFFD]:
+        ch = chr(c)
+        for x in (f"a{ch}b", f"{ch}{ch} 1{ch}", f"e{ch}\u0301", f"a\u0323{ch}", unicodedata.normalize("NFD", ch)):
+            assert own.split(x) == split(x), (hex(c), x)
+
+
+def test_ids_of_blocks_of_code_points_equal_the_library(library):
+    own = bpe.load(queries.vocabulary())
+    for low in range(0, 0x32000, 64):
+        text = " ".join(f"a{chr(c)}{chr(c)}b" for c in range(max(1, low), low + 64) if not 0xD800 <= c < 0xE000)
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(low)
+
+
+def test_bpe_edges(spark, library):
+    rows = [(1, "same  text 😀"), (1, "same  text 😀"), (None, "x"), (2, "word " * 300_000), (3, "n" * 20_000)]
+    df = make(spark, rows, "doc_id long, text string").withColumn("encoded", F.lit("kept")).withColumn("N_TOKENS", F.lit(1)).withColumn("a`b.c", F.lit(2))
+    out = bpe.encode_documents(df, queries.vocabulary(), digests=True)
+    assert out.columns[:4] == ["doc_id", "text", "encoded", "a`b.c"] and out.where("encoded = 'kept'").count() == len(rows)
+    for r in out.collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        assert list(r["token_ids"]) == ids
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.encode_documents(make(spark, []), queries.vocabulary()).count() == 0
+    own = bpe.load(queries.vocabulary())
+    assert own.decode([0, 10**6, -1, 49407]) == " ".join([own.tokens[0], own.tokens[49407]])
+
+
 def test_bpe_cuts_and_pieces(library):
     own = bpe.load(queries.vocabulary())
     assert len(own.cuts("qxzzxqj")) > 1
