@@ -1,6 +1,6 @@
 """Line dedup: lines that stand on many distinct sites are boilerplate.
 
-Each line's hash gets a HyperLogLog sketch of the sites it was seen on; sketches merge by
+Lines seen as often as the threshold at least get a HyperLogLog sketch of the sites they were seen on; sketches merge by
 aggregation, so a line of a third of all rows costs one sketch per task.  Lines whose estimate is
 near the threshold get an exact distinct count.  The boilerplate is then removed across sites.
 """
@@ -9,13 +9,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cutweave.functions.storage import materialise
-from cutweave.llm.kernels import bounded_batches, hand_back
+from cutweave.functions.columns import named
+from cutweave.functions.storage import materialise, scratch
 
 #: Sites on which a line must stand to be boilerplate.
 SITES = 6
@@ -33,7 +31,8 @@ def line_key(line: Column) -> Column:
 
 def _lines(documents: DataFrame) -> DataFrame:
     """One row per line that is not blank: doc_id, version (hash of the text), site, pos, a, b."""
-    lines = documents.select("doc_id", F.xxhash64("text").alias("version"), F.col("source").alias("site"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
+    text = named("text")
+    lines = documents.select(named("doc_id").alias("doc_id"), F.xxhash64(text).alias("version"), named("source").alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     return lines.select("doc_id", "version", "site", "pos", line_key(F.col("line")).alias("key")).where("key is not null").select("doc_id", "version", "site", "pos", "key.a", "key.b")
 
 
@@ -43,10 +42,13 @@ def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
     A null site counts as a site of its own.
     """
     site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit(""))
-    seen = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg(site, F.lit(lg_k))).alias("estimate"), F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    often = materialise(lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= sites).select("a", "b", "first_doc"), "line-often")
+    # Each line is one row on the right, so a hot line can be split on the left.
+    shown = lines.select("a", "b", site.alias("site")).join(often, ["a", "b"])
+    seen = shown.groupBy("a", "b", "first_doc").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
     spread = ERRORS * 1.04 / math.sqrt(1 << lg_k)
     low, high = math.floor(sites / (1 + spread)) - 1, math.ceil(sites / max(1 - spread, 0.1)) + 1
-    seen = materialise(seen.where((F.col("n") >= sites) & (F.col("estimate") >= low)), "line-spread")
+    seen = materialise(seen.where(F.col("estimate") >= low), "line-spread")
     sure = seen.where(F.col("estimate") > high).select("a", "b", "first_doc")
     near = seen.where(F.col("estimate") <= high)
     # Pairs of line and site are combined before the shuffle: at most sites x lines rows.
@@ -61,29 +63,30 @@ def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int =
     With ``keep_first`` the document of the smallest id that holds a boilerplate line keeps it, so
     that no text vanishes from the corpus.  Null and empty texts stay as they are; blank lines are
     never boilerplate; a null source is a site of its own.  Rows are matched by doc_id and text, so
-    rows that repeat an id are handled each; rows with a null id lose no line.  Other columns are carried along (``n_chars`` is counted anew where lines went).
+    rows that repeat an id are handled each, and equal rows alike; rows with a null id lose no line.  Very long texts
+    cost time in proportion.  Other columns are carried along, whatever their names (``n_chars`` is counted anew
+    where lines went; an existing ``lines_removed`` is replaced); an empty table gives an empty result.
     """
-    lines = materialise(_lines(bounded_batches(documents).where("doc_id is not null")), "line-keys")
-    bad = materialise(boilerplate(lines, sites, lg_k), "line-boilerplate")
-    # Each boilerplate line is one row on the right, so a hot line can be split on the left.
-    hit = lines.join(bad, ["a", "b"]).where(~(F.lit(keep_first) & (F.col("doc_id") == F.col("first_doc"))))
-    drop = hit.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
-    cut = F.pandas_udf(_without, T.StringType())
-    drop = drop.withColumnRenamed("doc_id", "_id").withColumnRenamed("version", "_version")
-    df = documents.join(drop, (documents["doc_id"] == drop["_id"]) & (F.xxhash64(documents["text"]) == drop["_version"]), "left")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_drop")))
-    df = df.withColumn("_text", text).withColumn("lines_removed", F.coalesce(F.size("_drop"), F.lit(0)))
-    kept = {"text": F.col("_text"), "n_chars": F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length("_text")).cast("long") if "n_chars" in documents.columns else None}
-    return df.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in documents.columns if c != "lines_removed"], "lines_removed")
-
-
-def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    with scratch() as own:
+        lines = materialise(_lines(documents.where(named("doc_id").isNotNull())), "line-keys")
+        bad = materialise(boilerplate(lines, sites, lg_k), "line-boilerplate")
+        # Each boilerplate line is one row on the right, so a hot line can be split on the left.
+        hit = lines.join(bad, ["a", "b"]).where(~(F.lit(keep_first) & (F.col("doc_id") == F.col("first_doc"))))
+        drop = hit.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("drop"))
+        drop = own.keep(materialise(drop, "line-removals"))
+    # The caller's columns travel in one struct, so that none of them meets the names used here.
+    df = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("row"), named("doc_id").alias("doc_id"), F.xxhash64(named("text")).alias("version"))
+    df = df.join(drop, ["doc_id", "version"], "left")
+    lines_ = F.split(F.col("row")["text"], "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col("drop"))
+    text = F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines_, i + 1)), "\n"))
     out = []
-    for text, drop in zip(texts, drops, strict=True):
-        if text is None or drop is None:
-            out.append(text)
-            continue
-        gone = set(int(i) for i in drop)
-        out.append("\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone]))
-    hand_back()
-    return pd.Series(out, dtype=object)
+    for c in documents.columns:
+        old = F.col("row").getField(c)
+        if c.lower() == "text":
+            out.append(text.alias(c))
+        elif c.lower() == "n_chars":
+            out.append(F.when(F.col("drop").isNull(), old).otherwise(F.char_length(text)).cast("long").alias(c))
+        elif c.lower() != "lines_removed":
+            out.append(old.alias(c))
+    return df.select(*out, F.coalesce(F.size("drop"), F.lit(0)).alias("lines_removed"))

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise
+from cutweave.functions.columns import named
+from cutweave.functions.storage import materialise, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source is taken more often than this.
@@ -58,56 +59,82 @@ def targets(sizes: DataFrame, weights: Sequence[int], *, epochs: int = EPOCHS) -
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _taken(docs: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
+    """For written ``docs(doc_id, source, size, key, tie, ...)``: adds source_size, target and taken."""
+    own = [c for c in docs.columns if c not in ("key", "tie")]
+    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    plan = targets(sources.select("source", "source_size"), weights, epochs=epochs)
+    plan = plan.join(sources.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", F.ceil(F.sqrt("docs")).cast("long").alias("ranges"))
+    plan = materialise(plan, "mix-targets")
+    # One row per source on the right; the documents of a hot source can be split on the left.
+    at = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at = at.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")).cast("long"))
+    each = ["source", "range"]
+    sums = at.groupBy(*each).agg(F.sum("size").alias("sum"))
+    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*each).orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    at = at.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    budget = F.floor("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    at = at.withColumn("whole", whole).withColumn("rest", budget - F.col("whole") * F.col("source_size"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("here")))
+    return at.select(*own, "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+
+
 def mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), *, seed: int = 0, epochs: int = EPOCHS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
     Null texts have size 0 and are taken 0 times; the null source is a source of its own, the last
-    one; null ids come first in the random order of a source.  Rows with equal ids are told
-    apart by size only, so equal rows may change places, which changes nothing.  A source without
-    words has target 0.  Other columns are ignored; an empty table gives an empty result.
+    one; null ids come first in the random order of a source.  Rows with equal ids are ordered
+    by size, so equal rows may change places, which changes nothing.  A source without
+    words has target 0.  Very long texts are counted whole.  Other columns are ignored; an empty table gives an
+    empty result.
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    docs = materialise(docs.withColumn("_key", random_key(F.col("doc_id"), seed)), "mix-sizes")
-    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
-    plan = targets(sources.select("source", "source_size"), weights, epochs=epochs)
-    plan = materialise(
-        plan.join(sources.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_ranges", F.ceil(F.sqrt("_docs")).cast("long")),
-        "mix-targets",
-    )
-    # One row per source on the right; the documents of a hot source can be split on the left.
-    at = docs.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    at = at.withColumn("_range", F.floor(F.col("_key") / F.lit(float(1 << 60)) * F.col("_ranges")).cast("long"))
-    each = ["source", "_range"]
-    sums = at.groupBy(*each).agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*each).orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = at.withColumn("_here", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    at = at.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    budget = F.floor("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    at = at.withColumn("_whole", whole).withColumn("_rest", budget - F.col("_whole") * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.col("_here")))
-    return at.select("doc_id", "source", "size", "source_size", "target", (F.col("_whole") * F.col("size") + part).cast("long").alias("taken"))
+    with scratch() as own:
+        docs = documents.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), words_in(named(text_col)).alias("size"))
+        docs = own.keep(materialise(docs.withColumn("key", random_key(F.col("doc_id"), seed)).withColumn("tie", F.lit(0)), "mix-sizes"))
+        out = _taken(docs, weights, epochs)
+        return _keep_all(own, out)
+
+
+def _keep_all(own, df: DataFrame) -> DataFrame:
+    """``df`` reads the block's tables when it is asked for, so they stay."""
+    for t in list(own.tables):
+        own.keep(t)
+    return df
 
 
 def mixed_documents(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), *, seed: int = 0, epochs: int = EPOCHS) -> DataFrame:
-    """The mix itself, with the columns of ``documents``.
+    """The mix itself, with the columns of ``documents``, whatever their names.
 
     A document is repeated once per epoch that takes it.  Where a source's budget ends inside a
-    document, its last copy holds only the words up to there.  Documents without words are
-    neither wanted nor in the way, and go; so do those that the budget leaves out.
-    Documents are told apart by their id, source and size.
+    document, its last copy holds only the words up to there, joined by spaces.  Documents without words (null and empty
+    texts) are neither wanted nor in the way, and go; so do those that the budget leaves out.
+    Every row has a budget of its own, so rows that repeat an id, or are equal, together take what the
+    mix gives them; rows of one id and size are ordered by a hash of their text.  An empty table gives an empty result.
     """
-    taken = mix(documents, weights, seed=seed, epochs=epochs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
-    taken = taken.where("_taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), "_taken")
-    docs = documents.withColumn("_n", words_in(F.col("text")))
-    docs = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_size")))
-    docs = docs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_n")).cast("int"))))
-    words = F.least(F.col("_n"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_n"))
+    with scratch() as own:
+        # The caller's columns travel in one struct; rows are numbered as they are written, and keep the number.
+        text = F.col("row")["text"]
+        docs = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("row"))
+        docs = docs.select("row", words_in(text).alias("size"), F.monotonically_increasing_id().alias("n"))
+        docs = own.keep(materialise(docs, "mix-documents"))
+        sizes = docs.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["source"].alias("source"), "size", "n", F.xxhash64(text).alias("tie"))
+        sizes = materialise(sizes.withColumn("key", random_key(F.col("doc_id"), seed)), "mix-sizes")
+        taken = own.keep(materialise(_taken(sizes, weights, epochs).where("taken > 0").select("n", "taken"), "mix-taken"))
+    docs = docs.join(taken, "n")
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     # Cut by words only where a copy is cut: at most one document of each source.
-    head = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")))
-    cut = words < F.col("_n")
-    kept = [F.when(cut, head).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns]
-    kept = [F.when(cut, F.char_length(head)).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if c == "n_chars" else k for c, k in zip(documents.columns, kept, strict=True)]
-    return docs.select(*kept)
+    head = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")))
+    cut, out = words < F.col("size"), []
+    for c in documents.columns:
+        old = F.col("row").getField(c)
+        if c.lower() == "text":
+            old = F.when(cut, head).otherwise(old)
+        elif c.lower() == "n_chars":
+            old = F.when(cut, F.char_length(head)).otherwise(old).cast("long")
+        out.append(old.alias(c))
+    return docs.select(*out)
