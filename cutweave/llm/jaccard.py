@@ -10,6 +10,9 @@ MinHash banding proposes, full sets decide:
    that meet pairwise, so no task gets a whole large bucket, and no pair is ever written.
 3. The texts of clusters of two or more are fetched once, cut into blocks in the same way, and all
    pairs of a tile are verified on their full sets.  A tile returns numbers of links and stars.
+
+Blocks grow with the square root of their group up to GROWN times their least size, so a group of k rows is sent
+about k ** 1.5 times until blocks are at their greatest.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise
+from cutweave.functions.columns import named, unused
+from cutweave.functions.storage import materialise, scratch
 from cutweave.llm.kernels import bounded_batches, hand_back, in_slices, mixed, runs, smallest_reached, starts
 from cutweave.operators.components import components
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Representatives of a block of a bucket, and documents and shingles of a block of a cluster.
 BLOCK, DOCS, SHINGLES = 256, 128, 1_000_000
+#: Blocks of large groups are up to so many times as large.
+GROWN = 8
 #: Characters of text whose words are held as arrays at once.
 SLICE = 2 << 20
 _SEEDS = np.random.default_rng(20_240_229)
@@ -44,7 +50,10 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
 
 
 def agreement(threshold: float, minima: int) -> int:
-    """Equal minima below which a pair is no candidate: over five standard deviations under the mean at the threshold."""
+    """Equal minima below which a pair is no candidate: over five standard deviations under the mean at the threshold.
+
+    A pair at the threshold stays below with a probability under 1e-6, small beside that of sharing no band.
+    """
     return max(1, math.floor(minima * threshold - 5.2 * math.sqrt(minima * threshold * (1 - threshold))))
 
 
@@ -106,7 +115,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
 def _sign(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes_ = batch.columns
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             for a, b in in_slices(lambda i: int(lengths[i]), len(lengths), SLICE):
                 sets = shingle_sets(texts.slice(a, b - a), size)
@@ -116,8 +125,8 @@ def _sign(bands: int, rows: int, size: int):
                 name, hashes, low = signatures([sets[i] for i in some], bands, rows)
                 bandlist = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).take(pa.array(some)), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), pa.array([len(sets[i]) for i in some], pa.int64()), bandlist, pa.array([r.tobytes() for r in low], pa.binary())],
-                    ["id", "key_a", "key_b", "n", "bands", "low"],
+                    [ids.slice(a, b - a).take(pa.array(some)), hashes_.slice(a, b - a).take(pa.array(some)), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64)), pa.array([len(sets[i]) for i in some], pa.int64()), bandlist, pa.array([r.tobytes() for r in low], pa.binary())],
+                    ["doc", "version", "key_a", "key_b", "n", "bands", "low"],
                 )
         hand_back()
 
@@ -198,6 +207,14 @@ def similar_pairs(sets: list[np.ndarray], group: np.ndarray, across: bool, thres
 def _verify(threshold: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["cluster", "i", "j"], most=1):
+            ids = table.column("id").to_numpy()
+            # Equal rows of one id bring their text several times; sorted by id, they stand side by side.
+            twice = np.zeros(len(ids), bool)
+            twice[1:] = ids[1:] == ids[:-1]
+            for c in ("cluster", "i", "j"):
+                v = table.column(c).to_numpy()
+                twice[1:] &= v[1:] == v[:-1]
+            table = table.filter(pa.array(~twice)) if twice.any() else table
             ids, block, copies = (table.column(c).to_numpy() for c in ("id", "block", "copies"))
             text = table.column("text").combine_chunks()
             text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
@@ -231,60 +248,78 @@ def _tiles(df: DataFrame, blocks, keep: list[str]) -> DataFrame:
     return df.withColumn("_t", F.explode(pairs)).select(*keep, "block", "_t.i", "_t.j")
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, docs: int = DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _blocks(count, least: int):
+    """Blocks of a group of ``count`` rows: of ``least`` rows at first, up to GROWN times as many in large groups."""
+    side = F.greatest(F.lit(least), F.least(F.lit(GROWN * least), F.ceil(F.sqrt(count * least) / 2)))
+    return F.ceil(count / side)
+
+
+def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, docs: int = DOCS, filtered: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, n_links, copy_of.
 
     ``copy_of`` is the smallest id with the same set of shingles, ``n_links`` the number of other
     documents with similarity >= ``threshold`` (copies counted, not written out), ``class_id`` the
     smallest id that links reach.  Null texts and texts without words link with nothing.  Rows
-    with a null id have null class_id and copy_of and no links.  Rows that repeat an id are taken
-    for one document and share its class.  Other columns are ignored; an empty table gives an
-    empty result.
+    with a null id have null class_id and copy_of and no links.  Every other row is a document of its own, also
+    where an id repeats, with the same text or another.  Very long texts are read whole.  With ``filtered`` False every
+    pair that shares a band is a candidate, however few of its minima agree.  Other columns are ignored; an empty table
+    gives an empty result.
     """
     bands = bands_for(threshold, rows, recall)
-    docs_in = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = docs_in.where("id is not null")
-    signed = materialise(named.mapInArrow(_sign(bands, rows, size), "id long, key_a long, key_b long, n long, bands array<long>, low binary"), "jaccard-signed")
-    key = ["key_a", "key_b"]
-    classes = materialise(signed.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
-    reps = signed.join(classes.select("key_a", "key_b", F.col("rep").alias("id"), "copies"), [*key, "id"]).select("id", "copies", "n", "bands", "low")
-    reps = materialise(reps, "jaccard-reps")
-
-    # Candidates: representatives that share a band and agree in enough minima.
-    member = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = materialise(member.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-buckets")
-    # Shuffled whatever the size, so that a plan seen on little data is that of much data.
-    member = member.join(shared.hint("merge"), "bucket").join(reps.select("id", "low").hint("merge"), "id")
-    tiles = _tiles(member, F.ceil(F.col("k") / block), ["bucket", "id", "low"])
-    tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    candidate = tiles.mapInArrow(_alike(agreement(threshold, bands * rows)), "a long, b long")
-    clusters = materialise(components(candidate), "jaccard-clusters").select("id", F.col("component").alias("cluster"))
-
-    # Verification on whole sets: the texts of clusters, each fetched once.
-    inside = clusters.join(reps.select("id", "copies", "n"), "id")
-    weight = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
-    inside = materialise(inside.join(materialise(weight, "jaccard-weights"), "cluster").select("id", "cluster", "copies", "blocks"), "jaccard-inside")
-    rows_ = named.join(inside.hint("merge"), "id")
-    rows_ = _tiles(rows_, F.col("blocks"), ["cluster", "id", "copies", "text"])
-    rows_ = rows_.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    found = materialise(rows_.mapInArrow(_verify(threshold, size), "id long, links long, reached long"), "jaccard-links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    reach = components(found.select(F.col("reached").alias("a"), F.col("id").alias("b")))
-
-    known = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(reach.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select(*key, "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    known = materialise(known, "jaccard-known")
-    out = signed.select("id", *key).join(known, key).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"), F.col("links").alias("n_links"), F.col("rep").alias("copy_of"))
+    with scratch() as own:
+        docs_in = bounded_batches(documents).select(named(id_col).cast("long").alias("doc"), named(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
+        with_id = docs_in.where("doc is not null")
+        signed = with_id.mapInArrow(_sign(bands, rows, size), "doc long, version long, key_a long, key_b long, n long, bands array<long>, low binary")
+        # Rows are numbered as they are written: an id may repeat, a row's number doesn't.
+        signed = own.keep(materialise(signed.withColumn("id", F.monotonically_increasing_id()), "jaccard-signed"))
+        key = ["key_a", "key_b"]
+        classes = signed.groupBy(*key).agg(F.min(F.struct("doc", "id")).alias("rep"), F.count("*").alias("copies"))
+        classes = materialise(classes.select(*key, F.col("rep.doc").alias("rep"), F.col("rep.id").alias("id"), "copies"), "jaccard-classes")
+        reps = signed.join(classes.select("id", "copies"), "id").select("id", "doc", "version", "copies", "n", "bands", "low")
+        reps = materialise(reps, "jaccard-reps")
+
+        # Candidates: representatives that share a band and agree in enough minima.
+        member = reps.select("id", F.explode("bands").alias("bucket"))
+        shared = materialise(member.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-buckets")
+        # Shuffled whatever the size, so that a plan seen on little data is that of much data.
+        member = member.join(shared.hint("merge"), "bucket").join(reps.select("id", "low").hint("merge"), "id")
+        tiles = _tiles(member, _blocks(F.col("k"), block), ["bucket", "id", "low"])
+        tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+        candidate = tiles.mapInArrow(_alike(agreement(threshold, bands * rows) if filtered else 0), "a long, b long")
+        clusters = materialise(components(candidate), "jaccard-clusters").select("id", F.col("component").alias("cluster"))
+
+        # Verification on whole sets: the texts of clusters, each fetched once.
+        inside = clusters.join(reps.select("id", "doc", "version", "copies", "n"), "id")
+        weight = inside.groupBy("cluster").agg(F.greatest(_blocks(F.count("*"), docs), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
+        inside = materialise(inside.join(materialise(weight, "jaccard-weights"), "cluster").select("id", "doc", "version", "cluster", "copies", "blocks"), "jaccard-inside")
+        rows_ = with_id.join(inside.hint("merge"), ["doc", "version"])
+        rows_ = _tiles(rows_, F.col("blocks"), ["cluster", "id", "copies", "text"])
+        rows_ = rows_.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+        found = materialise(rows_.mapInArrow(_verify(threshold, size), "id long, links long, reached long"), "jaccard-links")
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        reach = components(found.select(F.col("reached").alias("a"), F.col("id").alias("b")))
+
+        known = classes.join(links, "id", "left").join(reach, "id", "left")
+        known = known.select(*key, "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("root"))
+        known = materialise(known, "jaccard-known")
+        smallest = known.groupBy("root").agg(F.min("rep").alias("component"))
+        known = own.keep(materialise(known.join(smallest, "root").select(*key, "rep", "links", "component"), "jaccard-result"))
+    # A set of a third of all rows is one row on the right, so the left can be split.
+    out = signed.select("doc", *key).join(known, key).select(F.col("doc").alias("doc_id"), F.col("component").alias("class_id"), F.col("links").alias("n_links"), F.col("rep").alias("copy_of"))
     # Documents without a shingle have no row among the signed ones.
-    bare = docs_in.where(F.col("id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("copy_of"))
+    bare = docs_in.where(F.col("doc").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("copy_of"))
     return out.unionAll(bare)
 
 
 def distinct_documents(documents: DataFrame, **options) -> DataFrame:
     """``documents`` without near duplicates: of each class the row with its smallest id stays.
 
-    Of rows that repeat an id all stay or all go; rows with a null id stay.
+    Rows that repeat the smallest id of their class all stay; an id that repeats in several classes goes if it goes in
+    one of them.  Rows with a null id, and texts without words, stay.  Columns keep
+    their names, whatever those are; an empty table gives an empty result.
     """
-    found = near_duplicates(documents.select("doc_id", "text"), **options)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    with scratch() as own:
+        found = near_duplicates(documents.select(named("doc_id").alias("doc_id"), named("text").alias("text")), **options)
+        (mark,) = unused(documents.columns, "gone")
+        gone = own.keep(materialise(found.where("doc_id <> class_id").select(F.col("doc_id").alias(mark)).distinct(), "jaccard-gone"))
+    return documents.join(gone, named("doc_id") == F.col(mark), "left_anti")

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutweave.functions.columns import named
 from cutweave.llm.kernels import bounded_batches, hand_back
 
 #: Labelled documents that a model is fitted on, at most (those with the smallest hashes of their ids).
 SAMPLE = 20_000
-#: Labels with fewer bytes than this in the sample are broadcast: SAMPLE rows of two numbers.
+#: Quantile bins of a statistic.
 BINS = 64
 NAMES = (
     "characters", "words", "word length", "spread of word length", "long words", "short words", "distinct words", "distinct word pairs", "most frequent word",
@@ -146,19 +147,25 @@ def train(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_c
     """Fit on the labelled documents; at most ``sample`` of them, by the hashes of their ids.
 
     Labels that are null or not 0 or 1 are left out; of several labels of one id the mean, rounded,
-    counts.  Documents with null text are learnt from as empty ones.
+    counts.  Documents with null text are learnt from as empty ones; of several documents of one id one is learnt from,
+    that of the least statistics.  Other columns are ignored; without documents or labels the forest is empty.
     """
-    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("_y"))
-    some = some.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    some = labels.where(named(label_col).isin(0, 1) & named(id_col).isNotNull()).groupBy(named(id_col).alias("id")).agg(F.round(F.avg(named(label_col))).cast("int").alias("y"))
+    some = some.orderBy(F.xxhash64("id"), "id").limit(sample)
     # At most ``sample`` rows of two numbers: a proven bound for a broadcast.
-    rows = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
-    names = ["y", *[f"f{i}" for i in range(len(NAMES))]]
+    rows = documents.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(some), "id")
+    names = [f"f{i}" for i in range(len(NAMES))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(np.column_stack([pdf["_y"].to_numpy(float), _measure(pdf["text"])]), columns=names)
-
-    got = bounded_batches(rows).select("_y", "text").mapInPandas(run, ", ".join(f"{c} double" for c in names)).toPandas().to_numpy(float)
+            out = pd.DataFrame(np.column_stack([pdf["y"].to_numpy(float), _measure(pdf["text"])]), columns=["y", *names])
+            out.insert(0, "id", pdf["id"].to_numpy())
+            yield out
+
+    kind = rows.schema["id"].dataType.simpleString()
+    measured = bounded_batches(rows).select("id", "y", "text").mapInPandas(run, f"id {kind}, y double, " + ", ".join(f"{c} double" for c in names))
+    # One row an id, so at most ``sample`` rows come to the driver.
+    got = measured.groupBy("id").agg(F.min(F.struct("y", *names)).alias("m")).select("m.*").toPandas().to_numpy(float)
     got = got[np.lexsort(got.T[::-1])]  # the same order whatever the partitions
     return fit(got[:, 1:], got[:, 0])
 
@@ -166,7 +173,8 @@ def train(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_c
 def score_documents(documents: DataFrame, forest: Forest, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """Adds ``score``: the probability of label 1, for empty and null texts too.
 
-    A map over the text column; all other columns, nulls and repeated rows are carried along.
+    A map over the text column; all other columns, whatever their names, nulls and repeated rows are carried along,
+    a column named ``out`` is replaced.  Very long texts are measured whole; an empty table gives an empty result.
     """
 
     def run(texts: pd.Series) -> pd.Series:
@@ -174,7 +182,7 @@ def score_documents(documents: DataFrame, forest: Forest, *, text_col: str = "te
         hand_back()
         return out
 
-    return bounded_batches(documents).withColumn(out, F.pandas_udf(run, T.DoubleType())(F.col(text_col)))
+    return bounded_batches(documents).withColumn(out, F.pandas_udf(run, T.DoubleType())(named(text_col)))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -106,15 +106,17 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-with t as (select conv_id, turn, role, text,
-    coalesce(length(role)::varchar || ':' || role, '-') || '|' || coalesce(length(text)::varchar || ':' || text, '-') as part,
-    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k from conversations),
-p as (select conv_id, k, string_agg(part, '|') over (partition by conv_id order by k rows between unbounded preceding and current row) as prefix,
-             count(*) over (partition by conv_id) as n from t),
-w as (select prefix, min(conv_id) as conv_id, count(*)::bigint as n_equal, any_value(n)::bigint as n_turns from p where k = n group by prefix),
+with u as (select *, row_number() over () as row_no from conversations),
+t as (select conv_id, turn, role, text, case when conv_id is null then 'row ' || row_no else 'conv ' || conv_id end as conv,
+    coalesce(length(role)::varchar || ':' || role, '-') || '|' || coalesce(length(text)::varchar || ':' || text, '-') as part from u),
+k as (select *, row_number() over (partition by conv order by turn nulls first, role nulls first, text nulls first) as k,
+    (dense_rank() over (partition by conv order by floor(turn / 1024) nulls first) - 1)::int as chunk from t),
+p as (select conv_id, conv, k, string_agg(part, '|') over (partition by conv order by k rows between unbounded preceding and current row) as prefix,
+             count(*) over (partition by conv) as n from k),
+w as (select prefix, min(conv_id) as conv_id, arg_min(conv, coalesce(conv_id, 9223372036854775807)) as conv, count(*)::bigint as n_equal, any_value(n)::bigint as n_turns from p where k = n group by prefix),
 m as (select * from w where prefix not in (select prefix from p where k < n)),
-r as (select conv_id, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by k) as text from t group by conv_id)
-select m.conv_id, m.n_turns, m.n_equal, r.text from m join r on m.conv_id is not distinct from r.conv_id"""
+r as (select conv, case when conv_id is null then 0 else chunk end as part, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by k) as text from k group by 1, 2)
+select m.conv_id, m.n_turns, m.n_equal, r.part, r.text from m join r on m.conv = r.conv"""
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

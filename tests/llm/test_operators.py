@@ -36,6 +36,35 @@ def words(n, seed):
 ODD = [None, "", " ", "\n\n", "a", "A b", "née Σίσυφος ΣΑΣ", "x" * 5000, "e\u0301 \u00e9 \ufb01 \u2460", "it's 12 o'clock!!! <|endoftext|> tail", "日本語 テスト 😀😀", "\u1680a\u2028b\x85c\x1cd"]
 
 
+# -- columns whose names the operators use themselves --------------------------------------------
+
+OWN_NAMES = ("row", "version", "drop", "key", "tie", "size", "n", "copy", "taken", "range", "before", "here", "whole", "rest", "canon", "h", "bad", "encoded", "gone", "id", "class_id", "late", "part", "_n", "_size", "_copy", "_h", "_canon", "_drop", "_text", "_id", "_version", "_encoded", "_score", "_gone", "Text_2", "a.b", "c`d")
+TAKE_ALL = {
+    "op3": lambda df: line_dedup.remove_boilerplate(df),
+    "op4": lambda df: bpe.encode_documents(df, queries.vocabulary()),
+    "op6": lambda df: mixing.mixed_documents(df),
+    "op7": lambda df: fingerprints.fingerprints(df),
+    "op2": lambda df: jaccard.distinct_documents(df),
+    "op10": lambda df: quality.score_documents(df, quality.Forest(0.0, 1, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))),
+}
+
+
+@pytest.mark.parametrize("op", sorted(TAKE_ALL))
+def test_columns_with_working_names_come_through(spark, op):
+    rows = [doc(i, f"shared line\nown {i} words of this text", f"s{i % 8}") for i in range(16)]
+    df = make(spark, rows)
+    plain = TAKE_ALL[op](df).count()
+    for k, name in enumerate(OWN_NAMES):
+        df = df.withColumn(name, F.concat(F.lit(f"{k}#"), F.col("doc_id")))
+    out = TAKE_ALL[op](df)
+    assert out.columns[: len(df.columns)] == df.columns
+    got = out.collect()
+    assert len(got) == plain > 0
+    for r in got:
+        for k, name in enumerate(OWN_NAMES):
+            assert r[name] == f"{k}#{r['doc_id']}", name
+
+
 # -- 1: URL filters ------------------------------------------------------------------------------
 
 
@@ -131,6 +160,32 @@ def test_jaccard_edges(spark):
     assert jaccard.distinct_documents(make(spark, rows)).count() == 3
 
 
+def test_repeated_ids_are_documents_of_their_own(spark):
+    base = words(80, 9)
+    near = [list(base) for _ in range(6)]
+    for k, w in enumerate(near):
+        w[10 + k] = f"c{k}"
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join(near[0])), (2, " ".join(near[1])), (3, "far " + " ".join(words(50, 10))), (3, " ".join(near[2])), (4, None), (4, " ".join(near[3])), (0, " ".join(near[3])), (5, "long " * 20_000 + " ".join(words(30_000, 3)))]
+    df = make(spark, [doc(i, t) for i, t in rows]).withColumn("id", F.lit("clash")).withColumn("doc", F.lit("clash")).withColumn("version", F.lit(0)).repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    alike = [[i != j and bool(a & b) and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    label = [i for i, _ in rows]
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in range(len(rows)) if alike[i][j])]) for i in range(len(rows))]
+    want = sorted((i, label[k], sum(alike[k])) for k, (i, _) in enumerate(rows))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect()) == want
+
+
+def test_no_link_of_the_documents_is_lost(spark):
+    """Every pair of similarity 0.8 or more in the whole table, by exact comparison, is found."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = brute_jaccard(rows)
+    for filtered in (True, False):
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs, filtered=filtered).collect()}
+        assert got == want
+
+
 def test_bands_reach_the_recall():
     b = jaccard.bands_for(0.8, 4, 0.9999)
     assert 1 - (1 - 0.8**4) ** b >= 0.9999 > 1 - (1 - 0.8**4) ** (b - 1)
@@ -354,6 +409,21 @@ def test_mixed_documents_hold_the_budget(spark):
     assert (out["n_chars"] == out["text"].map(len)).all()
 
 
+def test_every_row_has_a_budget(spark):
+    """Rows that repeat an id, with the same text, with others of the same size, or without an id."""
+    rows = [doc(None, f"null id text number{i % 9} " + "w " * 11, "a") for i in range(40)] + [doc(7, "seven words are in this very text", "a")] * 5 + [doc(8, f"other words of size five{i}", "a") for i in range(5)]
+    rows += [doc(100 + i, "b " * (5 + i % 7), "b") for i in range(60)] + [doc(300 + i, "c " * 20, "c") for i in range(20)]
+    texts = None
+    for parts in (1, 6):
+        df = make(spark, rows).repartition(parts)
+        taken, out = mixing.mix(df).toPandas(), mixing.mixed_documents(df).toPandas()
+        out["words"] = out["text"].map(lambda t: len(t.split()))
+        assert out.groupby("source")["words"].sum().to_dict() == taken.groupby("source")["taken"].sum().to_dict()
+        assert texts in (None, sorted(out["text"]))
+        texts = sorted(out["text"])
+    assert mixing.mixed_documents(make(spark, [])).count() == 0
+
+
 # -- 7: fingerprints -----------------------------------------------------------------------------
 
 
@@ -399,6 +469,21 @@ def test_next_over_many_chunks(spark, monkeypatch, level):
     assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
 
 
+def test_next_with_hot_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), f"t{i}") for i in rng.permutation(300)] + [(None, f"n{i % 150}") for i in range(200)] + [(77, f"hot{i}") for i in range(150)] + [(5, "t5")] * 3
+    df = make(spark, rows, "doc_id long, text string").withColumn("tie", F.lit(1)).withColumn("part", F.lit("x")).repartition(4)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = sorted((str(i), t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    for size in (5, 40, 100_000):
+        got = sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in fingerprints.with_next(df, ["text"], "doc_id", rows=size).collect())
+        assert got == want, size
+    # A hot id is cut into several chunks.
+    number, part = fingerprints.chunks(df, "doc_id", F.xxhash64("text"), 10)
+    assert df.where("doc_id is null or doc_id = 77").select("doc_id", number.alias("n"), part.alias("p")).distinct().count() >= 20
+
+
 def test_collisions_are_told_apart(spark):
     df = make(spark, [("h", "a"), ("h", "b"), ("g", "c"), ("g", "c")], "h string, canon string")
     bad = fingerprints.collided(df)
@@ -471,21 +556,62 @@ def test_lm_beats_unigrams_on_held_out(spark):
 # -- 9: chat -------------------------------------------------------------------------------------
 
 
-def test_chat_collapse(spark):
+def brute_chat(rows, chunk):
+    """(conv_id, n_turns, n_equal, part, text) of rows (conv_id, turn, role, text)."""
+    groups: dict = {}
+    for k, (c, turn, r, t) in enumerate(rows):
+        groups.setdefault(("row", k) if c is None else ("conv", c), []).append((turn, r, t))
+    none_first = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
+    conv = {k: sorted(x, key=none_first) for k, x in groups.items()}
+    said = {k: tuple((r, t) for _, r, t in x) for k, x in conv.items()}
+    heads = {x[:n] for x in said.values() for n in range(1, len(x))}
+    out = []
+    for x in set(said.values()) - heads:
+        same = sorted((k for k in conv if said[k] == x), key=lambda k: (k[0] == "row", k[1]))
+        parts: dict = {}
+        for turn, r, t in conv[same[0]]:
+            parts.setdefault(None if same[0][0] == "row" or turn is None else turn // chunk, []).append(f"<|{'unknown' if r is None else r}|>\n{t or ''}\n")
+        for n, key in enumerate(sorted(parts, key=lambda k: (k is not None, k or 0))):
+            out.append((same[0][1] if same[0][0] == "conv" else None, len(x), len(same), n, "".join(parts[key])))
+    return sorted(out, key=str)
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("chunk", [1024, 2, 1])
+def test_chat_equals_brute_force(spark, chunk):
     a = [("user", "hi"), ("assistant", "hello"), ("user", "bye")]
-    conv = {1: a[:1], 2: a[:2], 3: a, 4: a, 5: a[:2] + [("user", "other")], 6: [("user", "hi"), ("assistant", None)], 7: [(None, "x")], 8: [("user", "hib")], 9: [("user", "")], None: [("user", "nobody")]}
-    rows = [(c, k, r, t, "e") for c, turns in conv.items() for k, (r, t) in enumerate(turns)]
-    got = {r["conv_id"]: r for r in chat.collapse(make(spark, rows[::-1], "conv_id long, turn long, role string, text string, n_turns string")).collect()}
-
-    def prefix(x, y):
-        return len(x) < len(y) and y[: len(x)] == x
-
-    want = {}
-    for c, x in conv.items():
-        if not any(prefix(x, y) for y in conv.values()) and c == min((k for k, y in conv.items() if y == x and k is not None), default=None):
-            want[c] = (len(x), sum(y == x for y in conv.values()), "".join(f"<|{r or 'unknown'}|>\n{t or ''}\n" for r, t in x))
-    assert {c: (r["n_turns"], r["n_equal"], r["text"]) for c, r in got.items()} == want
-    assert chat.collapse(make(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+    conv = {1: a[:1], 2: a[:2], 3: a, 4: a, 5: a[:2] + [("user", "other")], 6: [("user", "hi"), ("assistant", None)], 7: [(None, "x")], 8: [("user", "hib")], 9: [("user", "")], 10: [("user", None)], 11: [("", "x")], 12: [("user", f"t{k}") for k in range(40)], 13: [("user", f"t{k}") for k in range(39)]}
+    rows = [(c, k, r, t) for c, turns in conv.items() for k, (r, t) in enumerate(turns)]
+    rows += [(14, k + 5, r, t) for k, (r, t) in enumerate(a)]  # the same turns under other numbers
+    rows += [(15, None, "user", "late"), (15, 0, "user", "first"), (16, 3, "b", "equal"), (16, 3, "a", "turns"), (16, 3, "a", "turns"), (16, 3, None, None)]
+    rows += [(None, 0, "user", "nobody"), (None, 0, "user", "nobody"), (None, 1, "user", "hi"), (None, None, None, None), (None, 0, None, "x")]
+    df = make(spark, [(*r, "e", 1, 1) for r in rows[::-1]], CHAT + ", n_turns string, rank int, chunk int").repartition(3)
+    got = [tuple(r) for r in chat.collapse(df, chunk=chunk).collect()]
+    assert sorted(got, key=str) == brute_chat(rows, chunk)
+    assert chat.collapse(make(spark, [], CHAT)).count() == 0
+
+
+def test_huge_conversation_comes_in_parts(spark):
+    rows = [(7, k, "user", f"turn {k}") for k in range(5_000)] + [(8, k, "user", f"turn {k}") for k in range(4_999)]
+    got = chat.collapse(make(spark, rows, CHAT)).orderBy("part").collect()
+    assert [r["part"] for r in got] == list(range(5)) and {(r["conv_id"], r["n_turns"]) for r in got} == {(7, 5_000)}
+    assert "".join(r["text"] for r in got) == "".join(f"<|user|>\nturn {k}\n" for k in range(5_000))
+
+
+def test_chat_sql_on_odd_rows(spark):
+    import duckdb
+
+    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 2000, "user", "b"), (None, 0, "user", "a"), (None, 0, None, None), (None, 5, None, None), (3, 0, None, "x"), (3, 0, None, "x")]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    found = con.execute(queries.OP9_SQL)
+    names = [c[0] for c in found.description]
+    want = [tuple(r) for r in found.fetchall()]
+    got = [tuple(r[c] for c in names) for r in chat.collapse(make(spark, rows, CHAT)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) == sorted([tuple(dict(zip(("conv_id", "n_turns", "n_equal", "part", "text"), r))[c] for c in names) for r in brute_chat(rows, 1024)], key=str)
 
 
 # -- 10: quality ---------------------------------------------------------------------------------
