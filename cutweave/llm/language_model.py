@@ -1,21 +1,23 @@
 """LM scoring: a gated recurrent language model with a class-factored output softmax.
 
 The probability of a token is that of its class, by a softmax over the state of a gated recurrent
-unit, times that of the token within its class, by smoothed counts over the whole training corpus.
-The most frequent words and the end of a document are classes of their own; all other words go to
-classes by a hash of their last letters, so that unseen words have a class as well.
-
-Training: word counts are a distributed aggregation over all training documents.  The unit starts
-from weights learnt on a few documents; then every partition learns on all its training documents
-by backpropagation through windows of WINDOW tokens, and the partitions' weights are averaged,
-weighted by tokens.  Scoring carries the state from window to window through a whole document.
+unit, times that of its member of the class, by a softmax over the same state.  Members are the end of a document, the
+most frequent words, and buckets of the other words by their last letters, so that unseen words have a
+member as well.  As words are without bound and members are not, a word's share of its bucket comes from smoothed
+counts over the whole training corpus.
+
+Training: word counts are a distributed aggregation over all training documents.  These are turned into members
+(two bytes a token) and dealt by a hash of their rows into shards and rounds.  A starting unit is learnt on a
+few documents; in every round each shard learns on its own documents by backpropagation through
+windows of WINDOW tokens, in the order of the hashes, and the shards' weights are averaged, weighted by tokens.  All
+documents are learnt from once, and as shards don't follow partitions, scores don't depend on the layout.  Scoring
+carries the state from window to window through a whole document.
 Words too rare for the broadcast table (whose size is bounded) get their counts by a join.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +28,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise
+from cutweave.functions.columns import named
+from cutweave.functions.storage import materialise, scratch
 from cutweave.llm.kernels import bounded_batches, hand_back, in_slices, mixed
 
-#: Single-word classes, classes by ending; one more is the end of a document.
-SINGLE, ENDINGS, ENDING = 31, 64, 3
-END = SINGLE
-CLASSES = SINGLE + 1 + ENDINGS
+#: Classes and members of each.  Member 0 is the end of a document; then come the most frequent words, then buckets by ending.
+CLASSES, SIZE = 32, 64
+MEMBERS = CLASSES * SIZE
+END, BUCKETS, ENDING = 0, 512, 3
+LISTED = MEMBERS - BUCKETS - 1
+FIRST_BUCKET = MEMBERS - BUCKETS
 HIDDEN, WINDOW, LANES = 16, 16, 512
 #: Rows of class scores that are held at once, so that they stay in a core's cache.
-ROWS = 1024
+ROWS = 4096
 #: Training cuts documents into stretches of this many tokens, each from the zero state; all are learnt from.
 STRETCH = 1024
+#: Tokens that are learnt from together, and tokens of a shard until there are SHARDS of them; then shards grow.
+GROUP, SHARD_TOKENS, SHARDS = 262_144, 524_288, 4_096
+#: Times that the shards' weights are averaged.
+ROUNDS = 3
+#: Pieces in which weights are averaged.
+PIECES = 32
 #: Words with counts that are broadcast, at most: 12 bytes each.
 HEAD = 1_000_000
 #: Documents whose tokens the starting weights are learnt from.
@@ -88,68 +99,92 @@ def hashes_of(words: pa.Array) -> np.ndarray:
     return mixed(out + length.astype(np.uint64) * _BASE)
 
 
-def ending_classes(words: pa.Array) -> np.ndarray:
-    """The class by the last letters of each word."""
+def ending_buckets(words: pa.Array) -> np.ndarray:
+    """The member by the last letters of each word."""
     if not len(words):
         return np.zeros(0, np.int64)
     ends = pc.utf8_slice_codeunits(words, -ENDING, 2**31 - 1).dictionary_encode()
-    of = np.array([SINGLE + 1 + xxhash.xxh32_intdigest(e) % ENDINGS for e in ends.dictionary.to_pylist()], np.int64)
+    of = np.array([FIRST_BUCKET + xxhash.xxh32_intdigest(e) % BUCKETS for e in ends.dictionary.to_pylist()], np.int64)
     return of[ends.indices.to_numpy()]
 
 
 @dataclass
 class Lexicon:
-    """What scoring needs of the corpus: totals, the classes' totals and the frequent words' counts."""
+    """What scoring needs of the corpus: totals, the buckets' totals and the frequent words' counts."""
 
     tokens: int  # with one end per training document
     types: int  # distinct tokens, the end among them
     ends: int  # training documents
     words: np.ndarray  # sorted hashes
     counts: np.ndarray
-    singles: dict[int, int]  # hash of a word with its own class -> class
-    class_tokens: np.ndarray
-    class_types: np.ndarray
+    listed: np.ndarray  # sorted hashes of the words that are members
+    members: np.ndarray  # their members
+    member_tokens: np.ndarray
+    member_types: np.ndarray
     cutoff: int  # words seen less often aren't in ``words``
 
     def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Count (0 where not in the table) and class of each word."""
+        """Count (0 where not in the table) and member of each word."""
         h = hashes_of(words)
-        classes = ending_classes(words)
+        members = ending_buckets(words)
         if not len(self.words):
-            return np.zeros(len(h), np.int64), classes
+            return np.zeros(len(h), np.int64), members
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         counts = np.where(self.words[at] == h, self.counts[at], 0).astype(np.int64)
-        for i in np.flatnonzero(np.isin(h, np.fromiter(self.singles, np.uint64, len(self.singles)))):
-            classes[i] = self.singles[int(h[i])]
-        return counts, classes
+        at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+        return counts, np.where(self.listed[at] == h, self.members[at], members)
+
+    def floors(self) -> np.ndarray:
+        """log10 of what counts of each member's words are divided by; 0 for members of one word."""
+        out = np.log10(self.member_tokens + self.member_types + 1.0)
+        out[:FIRST_BUCKET] = 0.0
+        return out
+
+    def within(self, members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of the probability of a word within its member; 0 for members of one word."""
+        return np.where(members >= FIRST_BUCKET, np.log10(counts + 1.0), 0.0) - self.floors()[members]
 
-    def within(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of a word within its class; 0 for classes of one token."""
-        of_many = classes > END
-        out = np.log10(counts + 1.0) - np.log10(self.class_tokens[classes] + self.class_types[classes] + 1.0)
-        return np.where(of_many, out, 0.0)
+
+def _by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, rows whose member is of it), for the classes that occur."""
+    of = (y // SIZE).astype(np.uint8)
+    order = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if edge[c] < edge[c + 1]:
+            yield c, order[edge[c] : edge[c + 1]]
 
 
 class Gru:
-    """A gated recurrent unit over classes: X input table, U recurrence, O and b output."""
+    """A gated recurrent unit over members: X input table, U recurrence, O, b the classes' and M, m the members' output."""
 
-    SHAPES = (("X", (CLASSES, 3 * HIDDEN)), ("U", (HIDDEN, 3 * HIDDEN)), ("O", (HIDDEN, CLASSES)), ("b", (CLASSES,)))
+    SHAPES = (("X", (MEMBERS, 3 * HIDDEN)), ("U", (HIDDEN, 3 * HIDDEN)), ("O", (HIDDEN, CLASSES)), ("b", (CLASSES,)), ("M", (CLASSES, HIDDEN, SIZE)), ("m", (CLASSES, SIZE)))
 
     def __init__(self, flat: np.ndarray):
         self.flat = np.asarray(flat, np.float32).copy()
+        self.view(self.flat)
+
+    def view(self, flat: np.ndarray) -> "Gru":
         at = 0
         for name, shape in self.SHAPES:
             n = math.prod(shape)
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
+            setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        return self
 
     @classmethod
-    def fresh(cls, seed: int = 0) -> "Gru":
+    def fresh(cls, seed: int = 0, member_tokens: np.ndarray | None = None) -> "Gru":
+        """Random weights; biases that give each class and member its share of the corpus."""
         rng = np.random.default_rng(seed)
-        return cls(np.concatenate([(rng.standard_normal(math.prod(s)) * (0.0 if n == "b" else 0.25)) for n, s in cls.SHAPES]))
+        out = cls(np.concatenate([rng.standard_normal(math.prod(s)) * (0.0 if n in "bm" else 0.1 if n in "OM" else 0.25) for n, s in cls.SHAPES]))
+        if member_tokens is not None:
+            each = (member_tokens + 0.5).reshape(CLASSES, SIZE)
+            out.b[:] = np.log(each.sum(axis=1)) - np.log(each.sum())
+            out.m[:] = np.log(each) - np.log(each.sum(axis=1, keepdims=True))
+        return out
 
     def step(self, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The state after token class ``y``, with what backpropagation needs."""
+        """The state after member ``y``, with what backpropagation needs."""
         a = s @ self.U
         x = self.X[y]
         gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + x[:, : 2 * HIDDEN])))
@@ -158,25 +193,18 @@ class Gru:
         return n + z * (s - n), gates, n, a[:, 2 * HIDDEN :]
 
     def log_probabilities(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the classes' probabilities, some thousand rows at a time."""
-        out, ones = np.empty(len(y)), np.ones(CLASSES, np.float32)
+        """Natural log of the members' probabilities: class, then member within the class."""
+        out, of = np.empty(len(y)), y // SIZE
         for a in range(0, len(y), ROWS):
-            e = self.logits(states[a : a + ROWS])
-            own = e[np.arange(len(e)), y[a : a + ROWS]].astype(float)
-            np.exp(e, out=e)
-            out[a : a + ROWS] = own - np.log(e @ ones)
+            out[a : a + ROWS] = _log_softmax(states[a : a + ROWS], self.O, self.b, of[a : a + ROWS])
+        for c, rows in _by_class(y):
+            for a in range(0, len(rows), ROWS):
+                some = rows[a : a + ROWS]
+                out[some] += _log_softmax(states[some], self.M[c], self.m[c], y[some] % SIZE)
         return out
 
-    def logits(self, states: np.ndarray) -> np.ndarray:
-        """Scores of the classes; kept below 60, so that sums of their exponentials fit into float32."""
-        e = states @ self.O
-        e += self.b
-        if float(np.abs(self.O).sum(axis=0).max() + np.abs(self.b).max()) > 60:  # states are within -1 and 1
-            np.clip(e, -60, 60, out=e)
-        return e
-
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
-        """log10 of the classes' probability of each document, its state carried through all windows."""
+        """log10 of the members' probability of each document, its state carried through all windows."""
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         lengths = np.array([len(documents[i]) for i in order], np.int64)
         total = np.zeros(len(order))
@@ -209,6 +237,29 @@ class Gru:
         return out
 
 
+def _scores(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Scores before the softmax; kept within 60, so that sums of their exponentials fit into float32."""
+    e = states @ weights
+    e += bias
+    return np.clip(e, -60, 60, out=e)
+
+
+def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    e = _scores(states, weights, bias)
+    mine = e[np.arange(len(e)), own].astype(float)
+    np.exp(e, out=e)
+    return mine - np.log(e @ np.ones(e.shape[1], np.float32))
+
+
+def _softmax_slope(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Derivative of the weighted loss by the scores."""
+    p = _scores(states, weights, bias)
+    np.exp(p, out=p)
+    p *= (weight / (p @ np.ones(p.shape[1], np.float32)))[:, None]
+    p[np.arange(len(p)), own] -= weight
+    return p
+
+
 class Trainer:
     """Adam over windows of truncated backpropagation."""
 
@@ -245,24 +296,21 @@ class Trainer:
         lanes = len(y)
         S = np.concatenate(states)
         Y, V = y.T.ravel(), valid.T.ravel()
-        weight, ones = (V / max(1, V.sum())).astype(np.float32), np.ones(CLASSES, np.float32)
+        weight = (V / max(1, V.sum())).astype(np.float32)
         grad = np.zeros_like(g.flat)
-        d = Gru.__new__(Gru)
-        at = 0
-        for name, shape in Gru.SHAPES:
-            n = math.prod(shape)
-            setattr(d, name, grad[at : at + n].reshape(shape))
-            at += n
-        dS, back = np.empty_like(S), np.ascontiguousarray(g.O.T)
+        d = Gru.__new__(Gru).view(grad)
+        dS, of = np.empty_like(S), Y // SIZE
         for a in range(0, len(Y), ROWS):
             part = slice(a, min(a + ROWS, len(Y)))
-            p = g.logits(S[part])
-            np.exp(p, out=p)
-            p *= (weight[part] / (p @ ones))[:, None]
-            p[np.arange(len(p)), Y[part]] -= weight[part]
+            p = _softmax_slope(S[part], g.O, g.b, of[part], weight[part])
             d.O += S[part].T @ p
             d.b += p.sum(axis=0)
-            np.matmul(p, back, out=dS[part])
+            dS[part] = p @ g.O.T
+        for c, rows in _by_class(Y):
+            p = _softmax_slope(own := S[rows], g.M[c], g.m[c], Y[rows] % SIZE, weight[rows])
+            d.M[c] += own.T @ p
+            d.m[c] += p.sum(axis=0)
+            dS[rows] += p @ g.M[c].T
         dS = dS.reshape(steps, lanes, HIDDEN)
         rows, carry = [], np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 2, -1, -1):
@@ -277,16 +325,17 @@ class Trainer:
             carry = up * z + da @ g.U.T
             rows.append(np.concatenate([dz, dr, dn], axis=1))
         if rows:
-            dx = np.concatenate(rows).T.astype(float, order="C")
-            of = np.concatenate([y[:, t] for t in range(steps - 2, -1, -1)])
-            for k in range(3 * HIDDEN):
-                d.X[:, k] += np.bincount(of, dx[k], CLASSES)
+            dx, read = np.concatenate(rows), np.concatenate([y[:, t] for t in range(steps - 2, -1, -1)])
+            order = np.argsort(read.astype(np.int16), kind="stable")
+            read = read[order]
+            first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+            d.X[read[first]] += np.add.reduceat(dx[order], first, axis=0)
         self.apply(grad)
         self.tokens += int(V.sum())
         return s
 
     def apply(self, grad: np.ndarray) -> None:
-        grad *= min(1.0, 1.0 / (float(np.sqrt((grad * grad).sum())) + 1e-12))
+        grad *= min(1.0, 1.0 / (float(np.sqrt(np.dot(grad, grad))) + 1e-12))
         self.n += 1
         self.m += 0.1 * (grad - self.m)
         self.v += 0.01 * (grad * grad - self.v)
@@ -335,57 +384,114 @@ def lexicon(training: DataFrame, *, head: int = HEAD) -> tuple[Lexicon, DataFram
     words, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(words)
     words, n = words[order], n[order]
-    first = np.lexsort((words, -n))[:SINGLE]
-    singles = {int(words[i]): k for k, i in enumerate(first)}
+    first = np.lexsort((words, -n))[:LISTED]
+    by_hash = np.argsort(words[first])
+    listed, members = words[first][by_hash], by_hash.astype(np.int64) + 1
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.fromiter(singles, np.uint64, len(singles))
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = ending_classes(batch.column(0).cast(pa.large_string()))
-            of[np.isin(hashes_of(batch.column(0)), own)] = END
-            n = batch.column(1).to_numpy()
-            sums, number = np.bincount(of, n, CLASSES), np.bincount(of, minlength=CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums.astype(np.int64)), pa.array(number.astype(np.int64))], ["class", "n", "k"])
-
-    class_tokens, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in counts.mapInArrow(classed, "class long, n long, k long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
-        class_tokens[row["class"]], class_types[row["class"]] = row["n"], row["k"]
-    lex = Lexicon(tokens + ends, types + (ends > 0), ends, words, n.astype(np.uint32 if len(n) == 0 or n.max() < 1 << 32 else np.int64), singles, class_tokens, class_types, cutoff)
+            of = ending_buckets(batch.column(0).cast(pa.large_string())) - FIRST_BUCKET
+            free = ~np.isin(hashes_of(batch.column(0)), listed)
+            of, n = of[free], batch.column(1).to_numpy()[free]
+            sums, number = np.bincount(of, n, BUCKETS), np.bincount(of, minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums.astype(np.int64)), pa.array(number.astype(np.int64))], ["bucket", "n", "k"])
+
+    member_tokens, member_types = np.zeros(MEMBERS), np.zeros(MEMBERS)
+    member_tokens[END], member_tokens[members] = ends, n[first][by_hash]
+    for row in counts.mapInArrow(bucketed, "bucket long, n long, k long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
+        member_tokens[FIRST_BUCKET + row["bucket"]], member_types[FIRST_BUCKET + row["bucket"]] = row["n"], row["k"]
+    lex = Lexicon(tokens + ends, types + (ends > 0), ends, words, n.astype(np.uint32 if len(n) == 0 or n.max() < 1 << 32 else np.int64), listed, members, member_tokens, member_types, cutoff)
     return lex, counts.where(F.col("n") < cutoff)
 
 
 def _documents(texts: pa.Array, lex: Lexicon) -> list[np.ndarray]:
-    """The classes of each text's tokens, its end last."""
+    """The members of each text's tokens, its end last."""
     offsets, words, codes = split_words(texts)
-    classes = lex.look_up(words)[1][codes].astype(np.int32) if len(codes) else np.zeros(0, np.int32)
-    return [np.append(classes[a:b], END) for a, b in zip(offsets[:-1], offsets[1:])]
+    members = lex.look_up(words)[1][codes].astype(np.uint16) if len(codes) else np.zeros(0, np.uint16)
+    return [np.append(members[a:b], np.uint16(END)) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _coded(shared):
+    """(h, text) -> (h, members as two bytes each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in _slices(batch.column(1)):
+                docs = _documents(texts, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(docs)), pa.array([d.astype("<u2").tobytes() for d in docs], pa.binary())], ["h", "members"])
+                at += len(docs)
+        hand_back()
+
+    return run
 
 
-def train(training: DataFrame, lex: Lexicon, *, seed: int = 0, start_rate: float = 0.02, rate: float = 0.004) -> np.ndarray:
-    """The weights after every partition has learnt on all its documents, averaged."""
+def _learn(start: np.ndarray, rate: float, passes: int):
+    """Rows (shard, h, members), sorted -> for each shard its weights in pieces.
+
+    Documents are learnt from in groups of GROUP tokens of the shard, wherever the batches between the
+    JVM and Python end.
+    """
+
+    def pieces(shard: int, trainer: Trainer) -> pa.RecordBatch:
+        parts = np.array_split(trainer.gru.flat, PIECES)
+        return pa.RecordBatch.from_arrays([pa.array([shard] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([trainer.tokens] * PIECES, pa.int64())], ["shard", "piece", "w", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, trainer, held, size = None, None, [], 0
+
+        def learn_held() -> None:
+            for _ in range(passes):
+                trainer.learn(held)
+
+        for batch in batches:
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != shard:
+                    if trainer is not None:
+                        learn_held()
+                        yield pieces(shard, trainer)
+                    shard, trainer, held, size = own, Trainer(Gru(start), rate), [], 0
+                held.append(np.frombuffer(raw.as_buffer(), "<u2"))
+                size += len(held[-1])
+                if size >= GROUP:
+                    learn_held()
+                    held, size = [], 0
+        if trainer is not None:
+            learn_held()
+            yield pieces(shard, trainer)
+        hand_back()
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The shards' mean of one piece of the weights, weighted by tokens; shards in their order."""
+    order = np.argsort(table.column("shard").to_numpy())
+    w = np.stack([np.frombuffer(x, np.float32) for x in table.column("w").to_pylist()])[order].astype(float)
+    n = table.column("n").to_numpy()[order].astype(float)
+    return pa.table({"piece": table.column("piece")[:1], "w": pa.array([((w * n[:, None]).sum(axis=0) / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(training: DataFrame, lex: Lexicon, *, seed: int = 0, start_rate: float = 0.02, rate: float = 0.006, rounds: int = ROUNDS, start: int = START) -> np.ndarray:
+    """The weights that ROUNDS of learning on all of ``training(h, text)`` leave; ``h`` is a hash of the row."""
     shared = training.sparkSession.sparkContext.broadcast(lex)
-    weights = Gru.fresh(seed).flat
-
-    def learn(start: np.ndarray, rate: float, passes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Gru(start), rate)
-            for batch in batches:
-                for texts in _slices(batch.column(0)):
-                    for _ in range(passes):
-                        trainer.learn(_documents(texts, shared.value))
-            if trainer.tokens:
-                flat = trainer.gru.flat.astype(float) * trainer.tokens
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), trainer.tokens))], ["k", "w", "n"])
-            hand_back()
-
-        return run
-
-    ids = training.select("_row").orderBy("_row").limit(START)
-    some = training.join(F.broadcast(ids), "_row", "left_semi").select("text").repartition(1)
-    for data, given, passes in ((some, start_rate, 3), (training.select("text"), rate, 1)):
-        sums = data.mapInArrow(learn(weights, given, passes), "k int, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
-        for row in sums:
-            weights[row["k"]] = row["w"]
+    weights = Gru.fresh(seed, lex.member_tokens).flat
+    shards = min(SHARDS, math.ceil(lex.tokens / SHARD_TOKENS))
+    if not shards:
+        return weights
+    with scratch():
+        coded = training.select("h", "text").mapInArrow(_coded(shared), "h long, members binary")
+        coded = coded.withColumn("round", F.pmod(F.shiftright("h", 40), F.lit(rounds)).cast("int")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+        coded = materialise(coded, "lm-members", by=("round",))
+        # The starting documents, ``start`` rows at most, are one shard.
+        first = coded.orderBy("h", "members").limit(start).select(F.lit(0).alias("shard"), "h", "members")
+        steps = [(first.coalesce(1).sortWithinPartitions("h", "members"), start_rate, 4)]
+        steps += [(coded.where(F.col("round") == r).select("shard", "h", "members").repartition("shard").sortWithinPartitions("shard", "h", "members"), rate, 1) for r in range(rounds)]
+        for rows, speed, passes in steps:
+            learnt = rows.select("shard", "members").mapInArrow(_learn(weights, speed, passes), "shard int, piece int, w binary, n long")
+            found = {r["piece"]: r["w"] for r in learnt.groupBy("piece").applyInArrow(_mean, "piece int, w binary").collect()}  # one set of weights
+            if found:
+                weights = np.concatenate([np.frombuffer(found[k], np.float32) for k in range(PIECES)])
     return weights
 
 
@@ -394,56 +500,69 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     The model learns from the documents that aren't held out and scores all.  Null texts are empty:
     one token, the end.  Null ids count as the empty text in the fold; repeated rows are scored
-    each and all learnt from; other columns are ignored; an empty table gives an empty result.
+    each and all learnt from; very long texts are scored whole, with the state carried on; other columns are ignored; an
+    empty table gives an empty result.  Without training documents all words are unknown and the weights random.
     """
-    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("_held", held_out(F.col("doc_id"), folds, fold)).withColumn("_row", F.xxhash64("doc_id"))
-    training = docs.where(~F.col("_held")).select("_row", "text")
-    lex, rare = lexicon(training, head=head)
-    weights = train(training, lex, seed=seed)
-    shared = documents.sparkSession.sparkContext.broadcast(lex)
+    with scratch() as own:
+        docs = bounded_batches(documents).select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+        docs = docs.withColumn("held", held_out(F.col("doc_id"), folds, fold))
+        training = docs.where(~F.col("held")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+        lex, rare = lexicon(training, head=head)
+        weights = train(training, lex, seed=seed)
+        return _keep_all(own, _scored(docs, lex, rare, weights))
+
+
+def _keep_all(own, df: DataFrame) -> DataFrame:
+    """``df`` reads the block's tables when it is asked for, so they stay."""
+    for t in list(own.tables):
+        own.keep(t)
+    return df
+
+
+def _scored(docs: DataFrame, lex: Lexicon, rare: DataFrame, weights: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, gru, names = shared.value, Gru(weights), random.SystemRandom()
+        lex, gru = shared.value, Gru(weights)
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(2)):
                 offsets, words, codes = split_words(texts)
-                counts, classes = lex.look_up(words)
+                counts, members = lex.look_up(words)
                 n = np.diff(offsets)
                 tail = (counts == 0)[codes]
                 own = np.repeat(np.arange(len(n)), n)
-                log_count, log_within = np.log10(counts + 1.0), lex.within(classes, counts)
+                log_count, log_within = np.log10(counts + 1.0), lex.within(members, counts)
                 per = lambda x, k=len(n), own=own: np.bincount(own, x, k)
                 base = per(np.where(tail, 0.0, log_count[codes])) + math.log10(lex.ends + 1)
                 inner = per(np.where(tail, 0.0, log_within[codes]))
-                of = classes[codes].astype(np.int32)
+                of = members[codes].astype(np.int32)
                 model = gru.score([np.append(of[a:b], END) for a, b in zip(offsets[:-1], offsets[1:])])
-                # Rare words: distinct ones of each text, with their numbers and classes.
+                # Rare words: distinct ones of each text, with their numbers and buckets.
                 key, number = np.unique(own[tail].astype(np.int64) * max(1, len(words)) + codes[tail], return_counts=True)
                 doc, word = key // max(1, len(words)), key % max(1, len(words))
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32))
-                listed = pa.StructArray.from_arrays([words.take(pa.array(word)).cast(pa.string()), pa.array(number.astype(np.int64)), pa.array(classes[word].astype(np.int32))], ["word", "n", "class"])
+                listed = pa.StructArray.from_arrays([words.take(pa.array(word)).cast(pa.string()), pa.array(number.astype(np.int64)), pa.array((members[word] - FIRST_BUCKET).astype(np.int32))], ["word", "n", "bucket"])
                 known = per((~tail).astype(float)) + (lex.ends > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), pa.array([names.getrandbits(62) for _ in n], pa.int64()), pa.array((n + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model + inner), pa.ListArray.from_arrays(ends, listed)],
-                    ["doc_id", "held", "uid", "n", "known", "base", "score", "rare"],
+                    [batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), pa.array((n + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model + inner), pa.ListArray.from_arrays(ends, listed)],
+                    ["doc_id", "held", "n", "known", "base", "score", "rare"],
                 )
                 at += len(n)
         hand_back()
 
-    schema = "doc_id long, held boolean, uid long, n long, known long, base double, score double, rare array<struct<word:string,n:long,class:int>>"
-    done = materialise(docs.select("doc_id", "_held", "text").mapInArrow(run, schema), "lm-scores")
-    each = done.select("doc_id", "uid", F.explode("rare").alias("r")).select("doc_id", "uid", "r.word", "r.n", "r.class")
+    schema = "doc_id long, held boolean, n long, known long, base double, score double, rare array<struct<word:string,n:long,bucket:int>>"
+    # Rows are numbered as they are written: an id may repeat, a row's number doesn't.
+    done = materialise(docs.select("doc_id", "held", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
+    each = done.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n", "r.bucket")
     each = each.join(rare.withColumnRenamed("n", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    totals = F.element_at(F.array(*[F.lit(float(math.log10(a + b + 1))) for a, b in zip(lex.class_tokens, lex.class_types)]), F.col("class") + 1)
-    late = each.groupBy("doc_id", "uid").agg(
+    floors = F.element_at(F.array(*[F.lit(float(x)) for x in lex.floors()[FIRST_BUCKET:]]), F.col("bucket") + 1)
+    late = each.groupBy("uid").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("late_base"),
-        F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - totals)).alias("late_score"),
+        F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - floors)).alias("late_score"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("late_known"),
     )
-    late = late.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "late_base", "late_score", "late_known")
-    out = done.drop("rare").join(late, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid")), "left")
+    out = done.drop("rare").join(late, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     floor = math.log10(lex.tokens + lex.types + 1)
     return out.select(

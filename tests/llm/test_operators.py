@@ -512,7 +512,7 @@ def test_base_scores_equal_brute_force(spark, sf_dir, head):
 
 def test_gru_gradient_and_state():
     rng = np.random.default_rng(1)
-    docs = [rng.integers(0, language_model.CLASSES, n).astype(np.int32) for n in (40, 3, 17, 1)]
+    docs = [rng.integers(0, language_model.MEMBERS, n).astype(np.int32) for n in (40, 3, 17, 1)]
     gru = language_model.Gru.fresh(3)
     whole = gru.score(docs)
     for d, got in zip(docs, whole):  # the state is carried: the same as step by step
@@ -521,7 +521,7 @@ def test_gru_gradient_and_state():
             want += gru.log_probabilities(s, np.array([y]))[0]
             s = gru.step(s, np.array([y]))[0]
         assert got == pytest.approx(want / math.log(10), rel=1e-4)
-    y = rng.integers(0, language_model.CLASSES, (2, 5))
+    y = rng.integers(0, language_model.MEMBERS, (2, 5))
     grads = []
     trainer = language_model.Trainer(language_model.Gru(gru.flat), 0.01)
     trainer.apply = grads.append
@@ -536,15 +536,72 @@ def test_gru_gradient_and_state():
 
 
 def test_lm_distribution_sums_to_one(spark):
-    lex, _ = language_model.lexicon(make(spark, [("a b b c",), ("a zebra xylo d",)], "text string"))
-    for k in range(language_model.END + 1, language_model.CLASSES):
-        seen = lex.class_types[k]
-        if seen:
-            mass = (lex.class_tokens[k] + seen + 1) / (lex.class_tokens[k] + lex.class_types[k] + 1)
+    lex, _ = language_model.lexicon(make(spark, [("a b b c",), ("a zebra xylo d",)], "text string"), head=2)
+    for k in range(language_model.FIRST_BUCKET, language_model.MEMBERS):
+        if seen := lex.member_types[k]:
+            mass = (lex.member_tokens[k] + seen + 1) / (lex.member_tokens[k] + lex.member_types[k] + 1)
             assert mass == 1  # known words' counts plus one each, and one for the unseen
+    gru = language_model.Gru.fresh(1, lex.member_tokens)
+    s = gru.step(np.zeros((1, language_model.HIDDEN), np.float32), np.array([5]))[0]
+    every = np.arange(language_model.MEMBERS)
+    assert np.exp(gru.log_probabilities(np.repeat(s, len(every), axis=0), every)).sum() == pytest.approx(1, rel=1e-5)
+    # Both factors follow the state.
+    other = gru.step(s, np.array([9]))[0]
+    for part in (every[: language_model.SIZE], every[:: language_model.SIZE]):
+        one, two = (gru.log_probabilities(np.repeat(x, len(part), axis=0), part) for x in (s, other))
+        assert np.ptp(one - two) > 1e-4
     assert language_model.score(make(spark, [], "doc_id long, text string")).count() == 0
 
 
+def brute_lm(texts, training, lex, weights):
+    """log10 probabilities of whole texts, token by token in double precision."""
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    count = Counter(w for t in training for w in tokens(t))
+    g = language_model.Gru.__new__(language_model.Gru).view(np.asarray(weights, float))
+    H, size, first = language_model.HIDDEN, language_model.SIZE, language_model.FIRST_BUCKET
+    member = lambda w: 0 if w is None else int(lex.look_up(__import__("pyarrow").array([w], "large_string"))[1][0])
+    bucket_tokens, bucket_types = Counter(), Counter()
+    for w, c in count.items():
+        bucket_tokens[member(w)] += c
+        bucket_types[member(w)] += 1
+    log_softmax = lambda e, k: e[k] - math.log(np.exp(e).sum())
+    out = []
+    for t in texts:
+        s, total = np.zeros(H), 0.0
+        for w in [*tokens(t), None]:
+            y = member(w)
+            c, k = divmod(y, size)
+            total += log_softmax(s @ g.O + g.b, c) + log_softmax(s @ g.M[c] + g.m[c], k)
+            if y >= first:
+                total += math.log((count[w] + 1) / (bucket_tokens[y] + bucket_types[y] + 1))
+            a = s @ g.U
+            z, r = (1 / (1 + np.exp(-(a[i : i + H] + g.X[y][i : i + H]))) for i in (0, H))
+            n = np.tanh(g.X[y][2 * H :] + r * a[2 * H :])
+            s = n + z * (s - n)
+        out.append(total / math.log(10))
+    return out
+
+
+def test_lm_scores_equal_brute_force_and_ignore_the_layout(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 4_000)
+    monkeypatch.setattr(language_model, "GROUP", 1_500)
+    docs = [(r["doc_id"], r["text"][:3_000]) for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(80).collect() if r["text"]]
+    docs += [(1, "again " * 3_000), (1, "a word"), (1, "a word"), (None, "nameless words"), (None, None), (7_001, "unheardof " * 5 + "zzzyx")]
+    df = make(spark, docs, "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("uid", F.lit(0))
+    seen = []
+    real = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda training, lex, **kw: seen.append((lex, w := real(training, lex, **kw))) or w)
+    runs = [language_model.score(df.repartition(n), head=60).toPandas().sort_values(["doc_id", "n_tokens", "score"]).reset_index(drop=True) for n in (2, 7)]
+    pd.testing.assert_frame_equal(runs[0], runs[1], rtol=1e-9)
+    assert np.array_equal(seen[0][1], seen[1][1])
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    want = pd.DataFrame({"doc_id": [i for i, _ in docs], "want": brute_lm([t for _, t in docs], [t for i, t in docs if not held(i)], *seen[0])})
+    key = lambda f, c: sorted(zip(f["doc_id"].fillna(-1), f[c].round(1)))
+    got = runs[0]
+    for (i, a), (j, b) in zip(key(got, "score"), key(want, "want"), strict=True):
+        assert i == j and a == pytest.approx(b, rel=1e-3, abs=0.2)
+
+
 def test_lm_beats_unigrams_on_held_out(spark):
     rng = np.random.default_rng(0)
     langs = [[f"{a}{b}{e}" for a in "kmt" for b in "aeiou"] for e in ("na", "ix", "ul")]
