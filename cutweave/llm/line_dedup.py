@@ -57,15 +57,15 @@ def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
     return sure.unionAll(exact)
 
 
-def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int = LG_K, keep_first: bool = True) -> DataFrame:
-    """``documents`` with the text without boilerplate lines, and ``lines_removed``.
+def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int = LG_K, keep_first: bool = True, removed: str = "lines_removed") -> DataFrame:
+    """``documents`` with the text without boilerplate lines, and their number in the column ``removed``.
 
     With ``keep_first`` the document of the smallest id that holds a boilerplate line keeps it, so
     that no text vanishes from the corpus.  Null and empty texts stay as they are; blank lines are
     never boilerplate; a null source is a site of its own.  Rows are matched by doc_id and text, so
     rows that repeat an id are handled each, and equal rows alike; rows with a null id lose no line.  Very long texts
     cost time in proportion.  Other columns are carried along, whatever their names (``n_chars`` is counted anew
-    where lines went; an existing ``lines_removed`` is replaced); an empty table gives an empty result.
+    where lines went; an existing column ``removed`` is replaced); an empty table gives an empty result.
     """
     with scratch() as own:
         lines = materialise(_lines(documents.where(named("doc_id").isNotNull())), "line-keys")
@@ -87,6 +87,6 @@ def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int =
             out.append(text.alias(c))
         elif c.lower() == "n_chars":
             out.append(F.when(F.col("drop").isNull(), old).otherwise(F.char_length(text)).cast("long").alias(c))
-        elif c.lower() != "lines_removed":
+        elif c.lower() != removed.lower():
             out.append(old.alias(c))
-    return df.select(*out, F.coalesce(F.size("drop"), F.lit(0)).alias("lines_removed"))
+    return df.select(*out, F.coalesce(F.size("drop"), F.lit(0)).alias(removed))

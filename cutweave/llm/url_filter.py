@@ -2,8 +2,8 @@
 
 Everything is DataFrame expressions.  Training grows depth-limited regression trees from
 histograms of (node, feature, bin) gradient sums, one aggregation a level, over a bounded sample
-of labelled URLs; a trained model is a column expression of nested CASE WHENs, so scoring is a
-projection over the ``url`` column without shuffle.
+of labelled URLs; the suffix statistics are counted over all of them.  A trained model is a column expression of nested
+CASE WHENs, so scoring is a projection over the ``url`` column, with a join of the suffix statistics.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise
+from cutweave.functions.columns import named
+from cutweave.functions.storage import materialise, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER_SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Bins of every feature are 0 to 15.
 TOP_BIN = 15
-#: Labelled URLs that one model is fitted on, at most.
+#: Labelled URLs that one model's trees are grown on, at most.
 SAMPLE = 20_000
+#: Suffixes whose statistics may be broadcast (short strings and two numbers each); beyond, a shuffled join.
+BROADCAST_ROWS = 100_000
 #: Suffix statistics cover the last one, two and three labels of a host.
 SUFFIXES = (1, 2, 3)
 MAX_RULES = 5_000
@@ -104,7 +107,7 @@ def features(url: Column, host: Column, path: Column, suffix: Sequence[Column])
         F.char_length(url) - F.char_length(F.replace(url, F.lit("-"), F.lit(""))),
     ]
     for s in suffix:
-        out += [F.coalesce(F.log2(1 + s["n"]), F.lit(0.0)), F.coalesce(15.999 * s["rate"], F.lit(-1.0)) + F.when(s["n"].isNull(), 0).otherwise(0)]
+        out += [F.coalesce(F.log2(1 + s["n"]), F.lit(0.0)), F.coalesce(15.999 * s["rate"], F.lit(-1.0))]
     return F.array(*[_bin(x) for x in out])
 
 
@@ -135,12 +138,12 @@ class Node:
 
 @dataclass
 class UrlModel:
-    """Boosted trees with the suffix statistics of their training sample."""
+    """Boosted trees with the suffix statistics of all labelled URLs."""
 
     base: float
     trees: list[Node] = field(default_factory=list)
-    #: For each of SUFFIXES: rows (suffix, n, rate), at most SAMPLE of them.
-    suffixes: list[DataFrame] = field(default_factory=list)
+    #: For each of SUFFIXES: rows (suffix, n, positives), and whether they are few enough to be broadcast.
+    suffixes: list[tuple[DataFrame, bool]] = field(default_factory=list)
 
     def margin(self, x: Column) -> Column:
         out = F.lit(float(self.base))
@@ -149,13 +152,13 @@ class UrlModel:
         return out
 
 
-def _with_features(df: DataFrame, tables: Sequence[DataFrame], own_label: Column | None = None) -> DataFrame:
+def _with_features(df: DataFrame, tables: Sequence[tuple[DataFrame, bool]], own_label: Column | None = None) -> DataFrame:
     """Adds ``_x``; with ``own_label`` a row's own label is left out of its suffixes' rates."""
     held = []
-    for k, t in zip(SUFFIXES, tables, strict=True):
-        # At most SAMPLE rows of short strings, whatever the input: a proven bound.
+    for k, (t, small) in zip(SUFFIXES, tables, strict=True):
+        # One row a suffix on the right, so a suffix of a third of all URLs can be split on the left.
         t = t.select(F.col("suffix").alias(f"_suffix{k}"), F.struct("n", "positives").alias(f"_s{k}"))
-        df = df.withColumn(f"_suffix{k}", suffix_of(F.col("_host"), k)).join(F.broadcast(t), f"_suffix{k}", "left")
+        df = df.withColumn(f"_suffix{k}", suffix_of(F.col("_host"), k)).join(F.broadcast(t) if small else t, f"_suffix{k}", "left")
         n, pos = F.col(f"_s{k}.n"), F.col(f"_s{k}.positives")
         if own_label is not None:
             n, pos = n - 1, pos - own_label
@@ -169,15 +172,24 @@ def train(
 ) -> UrlModel:
     """Fit on ``labelled(url, label)``; label 1 means block.
 
-    Null urls or labels are left out; of more than ``sample`` rows, those with the smallest
-    hashes of (url, label) are used.  An empty table gives a model that never blocks.
+    Null urls or labels are left out; repeated rows count each.  Suffixes are counted over all rows; of more than
+    ``sample`` rows, those with the smallest hashes of (url, label) are what the trees are grown on.  An empty table gives
+    a model that never blocks.
     """
+    with scratch() as own:
+        return _trained(own, labelled, trees, depth, rate, sample, least, l2)
+
+
+def _trained(own, labelled: DataFrame, trees: int, depth: int, rate: float, sample: int, least: float, l2: float) -> UrlModel:
     rows = labelled.where("url is not null and label is not null").select(F.col("url").alias("_url"), F.col("label").cast("double").alias("_y"))
+    hosts = rows.select(host_of(F.col("_url")).alias("host"), "_y")
+    tables = []
+    for k in SUFFIXES:
+        t = own.keep(materialise(hosts.groupBy(suffix_of(F.col("host"), k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("_y").alias("positives")), "url-suffix"))
+        tables.append((t, t.count() <= BROADCAST_ROWS))
     rows = rows.orderBy(F.xxhash64("_url", "_y"), "_url", "_y").limit(sample)
     rows = rows.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
     rows = materialise(rows, "url-sample")
-    tables = [rows.groupBy(suffix_of(F.col("_host"), k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("_y").alias("positives")) for k in SUFFIXES]
-    tables = [materialise(t, "url-suffix") for t in tables]
     data = materialise(_with_features(rows, tables, F.col("_y")).select("_x", "_y").coalesce(8), "url-train")
     n, positives = data.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0.0))).first()
     prior = min(max((positives + 0.5) / (n + 1), 1e-4), 1 - 1e-4) if n else 1e-4
@@ -231,14 +243,14 @@ def _split(leaf: Node, sums: list[Row], least: float, l2: float, rate: float) ->
 def filter_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]] = (), *, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict and block_probability to ``pages``.
 
-    The verdict is the longest fitting rule's action, else ``block`` where the model's probability
-    reaches ``threshold``.  Null urls and those without ``://`` have empty host and path and are
-    judged by the model.  Columns of ``pages`` with the added names are replaced; rows that are
-    repeated stay repeated, and an empty table gives an empty result.
+    The verdict is the longest fitting rule's action (of equally long ones the first by text), else ``block`` where the
+    model's probability reaches ``threshold``.  Null urls and those without ``://`` have empty host and path and are
+    judged by the model; very long urls are read whole.  Columns of ``pages`` with the added names are replaced, others
+    come through whatever their names; rows that are repeated stay repeated, and an empty table gives an empty result.
     """
     added = ("host", "path", "rule", "verdict", "block_probability")
-    clash = {c: f"_kept_{i}" for i, c in enumerate(pages.columns) if c not in added}
-    df = pages.select(*[F.col(f"`{c}`").alias(k) for c, k in clash.items()])
+    clash = {c: f"_kept_{i}" for i, c in enumerate(pages.columns) if c.lower() not in added}
+    df = pages.select(*[named(c).alias(k) for c, k in clash.items()])
     df = df.withColumn("_url", F.col(clash[url])).withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
     df = _with_features(df, model.suffixes).withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     p = 1 / (1 + F.exp(-model.margin(F.col("_x"))))

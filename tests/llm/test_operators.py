@@ -99,6 +99,60 @@ def test_url_model_learns(spark):
     assert got[1] == "block" and got[2] == "allow"
 
 
+def test_url_edges(spark):
+    model = url_filter.train(make(spark, [("http://a.b.com/x", 1), ("http://a.b.com/x", 1), ("http://c.org/", 0)] * 5, "url string, label int"), trees=2)
+    schema = "page_id long, url string, _url string, _x int, Host string"
+    assert url_filter.filter_urls(make(spark, [], schema), model, queries.URL_RULES).count() == 0
+    long = "http://www." + "sub." * 3_000 + "example.net/" + "en/" * 30_000 + "?" + "a=1&" * 10_000
+    rows = [(1, long, "kept", 3, "gone"), (1, long, "kept", 3, "gone"), (2, "http://x.net/q", None, None, None), (None, None, None, None, None)]
+    out = url_filter.filter_urls(make(spark, rows, schema), model, [*queries.URL_RULES, ("example.net/en/", "block"), ("net/q", "allow"), ("x.net", "block")])
+    got = out.select("page_id", "_url", "_x", "rule", "verdict", (F.col("block_probability") >= 0.5).alias("likely")).collect()
+    # Equally long rules: the first by text (rule, then action) wins.
+    none = [r for r in got if r["page_id"] is None]
+    assert len(none) == 1 and none[0]["rule"] is None and none[0]["verdict"] == ("block" if none[0]["likely"] else "allow")
+    assert sorted(tuple(r)[:5] for r in got if r["page_id"]) == [(1, "kept", 3, "example.net/en/", "allow")] * 2 + [(2, None, None, "net/q", "allow")]
+
+
+def test_url_model_equals_walking(spark):
+    """Probabilities of the query's model by plain Python over the same trees, features and suffix counts."""
+    rng = np.random.default_rng(4)
+    urls = [f"http://{'ab'[i % 2]}{rng.integers(4)}.site{rng.integers(5)}.{['com', 'org'][int(rng.integers(2))]}/p{'/q' * int(rng.integers(4))}/{rng.integers(10**6)}?x={i}&y=%20-{i}" for i in range(240)]
+    rows = [(u, int(".org" in u) if rng.random() < 0.9 else 1) for u in urls]
+    model = url_filter.train(make(spark, rows, "url string, label int"), trees=3)
+    test = [*urls[:60], "http://new.host.net/", "no scheme", "", None, "http://a0.site1.com:80/x#y", "https://Ünï.de/é?z"]
+    got = {r["page_id"]: r["block_probability"] for r in url_filter.filter_urls(make(spark, list(enumerate(test)), "page_id long, url string"), model).collect()}
+    cut = lambda x: int(max(0, min(15, math.floor(x))))
+
+    def host_path(u):
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if c.isascii() else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    suffix = lambda h, k: ".".join(h.split(".")[-k:])
+    n, pos = Counter(), Counter()
+    for u, y in rows:
+        for k in (1, 2, 3):
+            n[k, suffix(host_path(u)[0], k)] += 1
+            pos[k, suffix(host_path(u)[0], k)] += y
+    for i, u in enumerate(test):
+        u = u or ""
+        host, path = host_path(u)
+        query = (re.search(r"\?([^#]*)", u) or ["", ""])[1]
+        digits = lambda x: len(re.findall("[0-9]", x))
+        entropy = -sum(c / len(u) * math.log2(c / len(u)) for c in Counter(u).values())
+        x = [len(u) / 8, len(host) / 3, len(path) / 3, path.count("/"), 16 * digits(u) / max(len(u), 1), 16 * digits(host) / max(len(host), 1), 3 * entropy, 1 + query.count("&") if query else 0, len(host.split(".")) if host else 0, u.count("-")]
+        for k in (1, 2, 3):
+            c = n.get((k, suffix(host, k)))
+            x += [math.log2(1 + c), 15.999 * (pos[k, suffix(host, k)] + 0.5) / (c + 1)] if c else [0, -1]
+        x = [cut(v) for v in x]
+        margin = model.base
+        for node in model.trees:
+            while node.left is not None:
+                node = node.left if x[node.feature] <= node.bin else node.right
+            margin += node.value
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9), u
+
+
 # -- 2: n-gram Jaccard ---------------------------------------------------------------------------
 
 
@@ -692,6 +746,50 @@ def test_quality_edges(spark):
     assert quality.score_documents(make(spark, []), empty).count() == 0
 
 
+def plain_statistics(t):
+    """The statistics of a text, one by one."""
+    if not t:
+        return [0.0] * len(quality.NAMES)
+    w, n = t.split(), max(1, len(t.split()))
+    size = [len(x) for x in w] or [0]
+    lines = [x for x in t.split("\n") if x.strip()]
+    m, mean = max(1, len(lines)), sum(size) / len(size)
+    white = sum(c <= " " for c in t)
+    shown = max(1, len(t) - white)
+    among = lambda f: sum(map(f, t)) / shown
+    symbols = "#$%&*+<=>@[\\]^_`{}~/"
+    named_ = lambda c: c in symbols + "!|,.;:?" or c <= " " or c >= "\x80" or c.isalnum()
+    return [
+        math.log1p(len(t)), math.log1p(len(w)), mean, math.sqrt(sum((x - mean) ** 2 for x in size) / len(size)), sum(x > 12 for x in size) / len(size), sum(x <= 3 for x in size) / len(size),
+        len(set(w)) / n, len(set(zip(w, w[1:]))) / max(1, len(w) - 1), max(Counter(w).values(), default=0) / n,
+        math.log1p(len(lines)), math.log1p(len(t) / m), len(set(lines)) / m,
+        among(lambda c: "a" <= c <= "z"), among(lambda c: "A" <= c <= "Z"), among(lambda c: "0" <= c <= "9"), among(lambda c: not named_(c)), among(lambda c: c >= "\x80"),
+        among(lambda c: c in symbols), among(lambda c: c == "!"), among(lambda c: c == "|"), among(lambda c: c in ",.;:?"),
+        sum(not x[-1].isalnum() and x[-1] not in ".,;:?!'\")" for x in w) / n, sum(x.isupper() and len(x) > 1 for x in w) / n,
+        sum(x.lstrip()[:1] in tuple("-*•·#>|") for x in lines) / m, sum(x.rstrip()[-1] not in ".!?" for x in lines) / m,
+    ]
+
+
+def test_statistics_and_scores_equal_plain_python(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()] + [(900_000 + i, t) for i, t in enumerate(ODD)] + [(1, "again"), (1, "again"), (910_000, "word " * 100_000)]
+    for _, t in rows:
+        assert quality.statistics(t) == pytest.approx(plain_statistics(t), rel=1e-9), t
+    docs, labels = make(spark, rows, "doc_id long, text string"), table(spark, sf_dir, "labels")
+    forest = quality.train(docs, labels)
+    assert len(forest.value) and all(np.array_equal(a, b) for a, b in zip((forest.feature, forest.limit, forest.value), (lambda f: (f.feature, f.limit, f.value))(quality.train(docs.repartition(5), labels))))
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in quality.score_documents(docs, forest).collect())
+    want: Counter = Counter()
+    for i, t in rows:
+        x, margin = plain_statistics(t), forest.base
+        for f, lim, val in zip(forest.feature, forest.limit, forest.value):
+            k = 0
+            for _ in range(forest.depth):
+                k = 2 * k + 1 + (x[f[k]] > lim[k])
+            margin += val[k - (2**forest.depth - 1)]
+        want[i, round(1 / (1 + math.exp(-margin)), 9)] += 1
+    assert sum((got - want).values()) <= 2  # a statistic may lie on a limit
+
+
 def test_flat_forest_equals_walking():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 6))
