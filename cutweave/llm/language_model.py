@@ -39,12 +39,12 @@ END, BUCKETS, ENDING = 0, 512, 3
 LISTED = MEMBERS - BUCKETS - 1
 FIRST_BUCKET = MEMBERS - BUCKETS
 HIDDEN, WINDOW, LANES = 16, 16, 512
-#: Rows of class scores that are held at once, so that they stay in a core's cache.
-ROWS = 4096
+#: Rows of class scores that are held at once, so that they stay in a core's cache, and states whose softmaxes are worked out together.
+ROWS, STATES = 4_096, 32_768
 #: Training cuts documents into stretches of this many tokens, each from the zero state; all are learnt from.
 STRETCH = 1024
 #: Tokens that are learnt from together, and tokens of a shard until there are SHARDS of them; then shards grow.
-GROUP, SHARD_TOKENS, SHARDS = 262_144, 524_288, 4_096
+GROUP, SHARD_TOKENS, SHARDS = 524_288, 1_500_000, 4_096
 #: Times that the shards' weights are averaged.
 ROUNDS = 3
 #: Pieces in which weights are averaged.
@@ -53,7 +53,8 @@ PIECES = 32
 HEAD = 1_000_000
 #: Documents whose tokens the starting weights are learnt from.
 START = 256
-SLICE = 4 << 20
+#: Bytes of text whose words are held at once, and tokens whose documents are scored side by side.
+SLICE, SIDE_BY_SIDE = 4 << 20, 3_000_000
 ASCII_SPACE = b" \t\n\v\f\r"
 
 
@@ -212,26 +213,21 @@ class Gru:
             return total
         flat, base = np.concatenate([documents[i] for i in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
         s = np.zeros((len(order), HIDDEN), np.float32)
-        active, t = len(order), 0
-        while active:
-            states, tokens, widths = [], [], []
-            for t in range(t, t + WINDOW):
-                active = int(np.searchsorted(-lengths, -t))  # lanes with a token at t
-                if not active:
-                    break
-                s = s[:active]
-                y = flat[base[:active] + t]
-                states.append(s)
-                tokens.append(y)
-                widths.append(active)
-                s = self.step(s, y)[0]
-            else:
-                t += 1
-            if widths:
+        states, tokens, rows = [], [], 0
+        for t in range(int(lengths[0])):
+            active = int(np.searchsorted(-lengths, -t))  # documents with a token at t
+            s = s[:active]
+            y = flat[base[:active] + t].astype(np.int64)
+            states.append(s)
+            tokens.append(y)
+            rows += active
+            if rows >= STATES or t + 1 == lengths[0]:
                 logs, at = self.log_probabilities(np.concatenate(states), np.concatenate(tokens)), 0
-                for w in widths:
-                    total[:w] += logs[at : at + w]
-                    at += w
+                for y_ in tokens:
+                    total[: len(y_)] += logs[at : at + len(y_)]
+                    at += len(y_)
+                states, tokens, rows = [], [], 0
+            s = self.step(s, y)[0]
         out = np.empty(len(order))
         out[order] = total / math.log(10)
         return out
@@ -522,36 +518,54 @@ def _keep_all(own, df: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame, lex: Lexicon, rare: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
+    def measured(batch: pa.RecordBatch, at: int, texts: pa.Array, lex: Lexicon) -> tuple[list[pa.Array], np.ndarray, list[np.ndarray]]:
+        """Columns of a slice's rows, the words' part of their scores, and their members."""
+        offsets, words, codes = split_words(texts)
+        counts, members = lex.look_up(words)
+        n = np.diff(offsets)
+        tail = (counts == 0)[codes]
+        own = np.repeat(np.arange(len(n)), n)
+        log_count, log_within = np.log10(counts + 1.0), lex.within(members, counts)
+        per = lambda x: np.bincount(own, x, len(n))
+        base = per(np.where(tail, 0.0, log_count[codes])) + math.log10(lex.ends + 1)
+        inner = per(np.where(tail, 0.0, log_within[codes]))
+        of = members[codes].astype(np.uint16)
+        # Rare words: distinct ones of each text, with their numbers and buckets.
+        key, number = np.unique(own[tail].astype(np.int64) * max(1, len(words)) + codes[tail], return_counts=True)
+        doc, word = key // max(1, len(words)), key % max(1, len(words))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32))
+        listed = pa.StructArray.from_arrays([words.take(pa.array(word)).cast(pa.string()), pa.array(number.astype(np.int64)), pa.array((members[word] - FIRST_BUCKET).astype(np.int32))], ["word", "n", "bucket"])
+        known = per((~tail).astype(float)) + (lex.ends > 0)
+        columns = [batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), pa.array((n + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(ends, listed)]
+        return columns, inner, [np.append(of[a:b], np.uint16(END)) for a, b in zip(offsets[:-1], offsets[1:])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, gru = shared.value, Gru(weights)
+        held: list[tuple] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            """Many documents side by side, so that a few long ones don't run alone for most of the time."""
+            model, at = gru.score([d for h in held for d in h[2]]), 0
+            for columns, inner, docs in held:
+                score = pa.array(model[at : at + len(docs)] + inner)
+                at += len(docs)
+                yield pa.RecordBatch.from_arrays([*columns, score], ["doc_id", "held", "n", "known", "base", "rare", "score"])
+            held.clear()
+
+        tokens = 0
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(2)):
-                offsets, words, codes = split_words(texts)
-                counts, members = lex.look_up(words)
-                n = np.diff(offsets)
-                tail = (counts == 0)[codes]
-                own = np.repeat(np.arange(len(n)), n)
-                log_count, log_within = np.log10(counts + 1.0), lex.within(members, counts)
-                per = lambda x, k=len(n), own=own: np.bincount(own, x, k)
-                base = per(np.where(tail, 0.0, log_count[codes])) + math.log10(lex.ends + 1)
-                inner = per(np.where(tail, 0.0, log_within[codes]))
-                of = members[codes].astype(np.int32)
-                model = gru.score([np.append(of[a:b], END) for a, b in zip(offsets[:-1], offsets[1:])])
-                # Rare words: distinct ones of each text, with their numbers and buckets.
-                key, number = np.unique(own[tail].astype(np.int64) * max(1, len(words)) + codes[tail], return_counts=True)
-                doc, word = key // max(1, len(words)), key % max(1, len(words))
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32))
-                listed = pa.StructArray.from_arrays([words.take(pa.array(word)).cast(pa.string()), pa.array(number.astype(np.int64)), pa.array((members[word] - FIRST_BUCKET).astype(np.int32))], ["word", "n", "bucket"])
-                known = per((~tail).astype(float)) + (lex.ends > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), pa.array((n + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model + inner), pa.ListArray.from_arrays(ends, listed)],
-                    ["doc_id", "held", "n", "known", "base", "score", "rare"],
-                )
-                at += len(n)
+                held.append(measured(batch, at, texts, lex))
+                at += len(texts)
+                tokens += sum(map(len, held[-1][2]))
+                if tokens >= SIDE_BY_SIDE:
+                    yield from scored()
+                    tokens = 0
+        yield from scored()
         hand_back()
 
-    schema = "doc_id long, held boolean, n long, known long, base double, score double, rare array<struct<word:string,n:long,bucket:int>>"
+    schema = "doc_id long, held boolean, n long, known long, base double, rare array<struct<word:string,n:long,bucket:int>>, score double"
     # Rows are numbered as they are written: an id may repeat, a row's number doesn't.
     done = materialise(docs.select("doc_id", "held", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
     each = done.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n", "r.bucket")
