@@ -18,7 +18,7 @@ from cutweave.functions.storage import materialise, scratch
 
 #: Rows of repeated hashes that may be broadcast (some 16 bytes each); beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Ranges of ids: bounds are held as literals, in two levels of this many.
+#: Ranges of ids: about the square of this many.  Bounds are held as literals, in two levels.
 LEVEL = 32
 #: Rows of a chunk of ids, about, and chunks at most: beyond, chunks grow.  Each chunk's first row is broadcast.
 CHUNK_ROWS, CHUNKS = 2_000, 500_000
@@ -83,19 +83,6 @@ def told_apart(df: DataFrame, bad: DataFrame, h: str, canon: str) -> DataFrame:
     return df.withColumn(h, F.when(F.col(mark).isNull(), F.col(h)).otherwise(F.concat(F.col(h), F.lit("-"), F.sha2(F.col(canon).cast("binary"), 256)))).drop(mark)
 
 
-def id_ranges(ids: DataFrame, column: str) -> list[int]:
-    """Up to LEVEL**2 - 1 bounds that cut the ids into ranges of about equal numbers of rows.
-
-    An id of more rows than a range is a range of its own.
-    """
-    parts = [i / LEVEL**2 for i in range(1, LEVEL**2)]
-    if not parts:
-        return []
-    found = ids.agg(F.percentile_approx(column, parts, 10 * LEVEL**2).alias("q")).first()["q"] or []
-    alone = {b - 1 for a, b in zip(found, found[1:]) if a == b}
-    return sorted(set(found) | alone)
-
-
 def range_number(value: Column, bounds: list[int]) -> Column:
     """How many of the bounds are below ``value``; -1 for null.  Two short searches instead of a long one."""
     below = lambda xs: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in xs]), lambda b: b < value)) if xs else F.lit(0)
@@ -108,27 +95,51 @@ def range_number(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), -1).otherwise(out).cast("int")
 
 
+def id_ranges(ids: DataFrame, order: str) -> tuple[Column, dict[int, tuple[int, int, int]]]:
+    """The number of a row's range, and for each range its (rows, least id, greatest id).
+
+    Ranges are cut evenly where they hold too much of the rows, and counted again, until all are about equal or hold a
+    single id: twice for ids without gaps, some times more for others.  Only counts leave the workers: at most
+    3 * LEVEL**2 of them.  Null ids are range -1.
+    """
+    value, bounds = named(order), []
+    for left in range(8, -1, -1):
+        number = range_number(value, bounds)
+        found = {r["n"]: (r["k"], r["low"], r["high"]) for r in ids.select(number.alias("n"), value.alias("v")).groupBy("n").agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+        share = max(1, math.ceil(sum(k for k, _, _ in found.values()) / LEVEL**2))
+        if not left or not any(k > 4 * share and low < high for n, (k, low, high) in found.items() if n >= 0):
+            return number, found
+        ends, held = [], share
+        for n in sorted(n for n in found if n >= 0):
+            k, low, high = found[n]
+            pieces = min(math.ceil(k / share), high - low + 1) if k > 2 * share else 1
+            if pieces == 1 and held + k <= share:
+                ends[-1], held = high, held + k
+                continue
+            ends += [low + (high - low) * i // pieces for i in range(1, pieces + 1)]
+            held = k if pieces == 1 else share
+        bounds = sorted(set(ends))[:-1]
+
+
 def chunks(documents: DataFrame, order: str, tie: Column, rows: int = CHUNK_ROWS) -> tuple[Column, Column]:
     """(range, part): together a chunk of the rows in descending order of id, then ``tie``, of about ``rows`` rows.
 
-    Ranges come from quantiles (2 * LEVEL**2 at most, held as literals).  Each is cut into as many parts as its
-    number of rows asks for, in a second pass over the ids: evenly between its bounds, or, where it is a single
-    id or the null ids, by ``tie``, a hash.  So chunks don't grow with the input, nor with an id that repeats.
+    Bounds of ranges are held as literals.  Each range is cut into as many parts as its number of rows asks for: evenly
+    between its ids, or, where it is a single id or the null ids, by ``tie``, a hash.  So chunks don't grow with the
+    input, nor with an id that repeats.
     """
     value = named(order)
-    number = range_number(value, id_ranges(documents, order))
-    found = {r["n"]: r for r in documents.select(number.alias("n"), value.alias("v")).groupBy("n").agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
-    total = sum(r["k"] for r in found.values())
-    rows = max(rows, total // CHUNKS)
-    table = {n: (math.ceil(r["k"] / rows), r["low"] or 0, r["high"] or 0) for n, r in found.items()}
+    number, found = id_ranges(documents, order)
+    rows = max(rows, sum(k for k, _, _ in found.values()) // CHUNKS)
+    table = {n: (math.ceil(k / rows), low or 0, high or 0) for n, (k, low, high) in found.items()}
     if max((p for p, _, _ in table.values()), default=1) <= 1:
         return number, F.lit(0).cast("int")
     at = lambda k: F.element_at(F.array(*[F.lit(table.get(n, (1, 0, 0))[k]).cast("long") for n in range(-1, max(table) + 1)]), number + 2)
     parts, low, high = at(0), at(1), at(2)
     # Parts count upwards with the id; a hash counts downwards, as greater hashes come later.
     even = F.floor((value - low) / (high - low + 1).cast("double") * parts)
-    mixed_ = parts - 1 - F.floor((tie.cast("double") / F.lit(2.0**64) + 0.5) * parts)
-    share = F.when(value.isNull() | (low == high), mixed_).otherwise(even)
+    by_hash = parts - 1 - F.floor((tie.cast("double") / F.lit(2.0**64) + 0.5) * parts)
+    share = F.when(value.isNull() | (low == high), by_hash).otherwise(even)
     return number, F.greatest(F.lit(0), F.least(parts - 1, share)).cast("int")
 
 
