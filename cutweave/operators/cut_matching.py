@@ -9,6 +9,9 @@ import numpy as np
 
 from cutweave.operators.flow import Net, blocking_rounds
 
+#: Edges of a cluster for which ``sample_potential`` holds its matrix.
+SAMPLED_EDGES = 2_000
+
 
 @dataclass(frozen=True)
 class Parameters:
@@ -116,11 +119,13 @@ def play(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> Out
     volume = int(gdeg.sum())
     lower = volume // 2 // 10 // t
     target = max(lower, int(p.min_balance * volume))
-    fake_budget = volume // 8 // t
+    fake_budget = int(2 * int(c.inner.sum()) / 8 / t)  # of the cluster's own volume, without midpoints
     vectors = rng.standard_normal((p.num_flow_vectors, m))
     vectors -= vectors.mean(axis=1, keepdims=True)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    matrix = np.eye(m) if p.sample_potential and m <= 2000 else None
+    if p.sample_potential and m > SAMPLED_EDGES:
+        raise ValueError(f"sample_potential holds a row for each edge: {m} edges, at most {SAMPLED_EDGES}")
+    matrix = np.eye(m) if p.sample_potential else None
     out = Outcome("expander", removed)
     fake: list[tuple[int, int]] = []
     gone = 0

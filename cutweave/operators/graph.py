@@ -18,6 +18,16 @@ def arcs_of(edges: DataFrame) -> DataFrame:
     return edges.select(both.alias("_a")).select("_a.u", "_a.v")
 
 
+def reversed_arcs(arcs: DataFrame) -> DataFrame:
+    """The reverse of each of ``arcs(u, v)``."""
+    return arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+
+
+def unreversed(arcs: DataFrame) -> DataFrame:
+    """Those of ``arcs(u, v)`` whose reverse isn't among them."""
+    return arcs.select("u", "v").join(reversed_arcs(arcs), ["u", "v"], "left_anti")
+
+
 class Graph:
     """A simple undirected graph.  All operators return DataFrames; nothing is computed before it is asked for."""
 
@@ -86,17 +96,17 @@ class Graph:
         """``ids(id)`` and all their neighbours."""
         return ids.select("id").union(self.neighbours(ids).select(F.col("v").alias("id"))).distinct()
 
-    def integrity(self) -> DataFrame:
-        """Vertices whose number of incoming arcs differs from that of outgoing ones; always empty."""
-        out = self.arcs().groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n"))
-        into = self.arcs().groupBy(F.col("v").alias("id")).agg(F.count("*").alias("n"))
-        return out.exceptAll(into).select("id")
+    def integrity(self, arcs: DataFrame | None = None) -> DataFrame:
+        """(id): vertices for which an arc's reverse is missing in ``arcs(u, v)``; by default the graph's own arcs, which have all."""
+        arcs = self.arcs() if arcs is None else arcs
+        lone = unreversed(arcs)
+        return lone.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
     def subdivision(self) -> "Graph":
         """Each edge u-v becomes u-m-v with midpoint m = -1 - (its number by (src, dst)).
 
-        Midpoints carry negative ids, so they need no count of the vertices.  The number comes
-        from a hash of the ends where the ids fit, so no global order is made.
+        Midpoints carry negative ids, so they need no count of the vertices, and are a function of the
+        ends, so no global order is made.  Vertex ids must be from 0 to 2**31 - 1; others raise an error.
         """
         mids = self.edges.select("src", "dst", midpoint(F.col("src"), F.col("dst")).alias("mid"))
         halves = F.explode(F.array(F.struct(F.col("mid").alias("a"), F.col("src").alias("b")), F.struct(F.col("mid").alias("a"), F.col("dst").alias("b"))))
@@ -105,8 +115,10 @@ class Graph:
 
 
 def midpoint(src: Column, dst: Column) -> Column:
-    """A negative id for the midpoint of an edge, one-to-one for ids below 2**31: -1 - (src * 2**31 + dst)."""
-    return (F.lit(-1).cast("long") - (src * F.lit(1 << 31) + dst)).cast("long")
+    """A negative id for the midpoint of an edge, one-to-one: -1 - (src * 2**31 + dst); an error for ids beyond 31 bits."""
+    fits = src.between(0, (1 << 31) - 1) & dst.between(0, (1 << 31) - 1)
+    number = (F.lit(-1).cast("long") - (F.when(fits, src) * F.lit(1 << 31) + dst)).cast("long")
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("vertex ids of a subdivided graph must be from 0 to 2**31 - 1")).cast("long"))
 
 
 # -- measures of an assignment(id, cluster) ------------------------------------------------------
@@ -130,6 +142,11 @@ def partition_sizes(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("first_id"))
 
 
+def partition_dump(g: Graph, assignment: DataFrame) -> DataFrame:
+    """Per cluster: size, first_id, cut, gvolume and conductance; the members are ``assignment`` itself."""
+    return partition_sizes(assignment).join(conductances(g, assignment), "cluster").select("cluster", "size", "first_id", "cut", "gvolume", "conductance")
+
+
 def volumes(g: Graph, assignment: DataFrame) -> DataFrame:
     """Per cluster: size, edges inside, volume (inner degrees), gvolume (degrees in the whole graph), cut."""
     ends = labelled_edges(g, assignment)

@@ -43,11 +43,11 @@ class Adjacency:
         return Cut(side, cut, low, cut / low if low else float("inf"), method)
 
 
-def pagerank(a: Adjacency, seed: int, alpha: float = 0.1, eps: float = 1e-9, rounds: int = 400) -> np.ndarray:
-    """Lazy pushes of all active vertices at once; every residual ends below eps * degree (or rounds run out)."""
+def pagerank(a: Adjacency, seed: int, alpha: float = 0.1, eps: float = 1e-9) -> np.ndarray:
+    """Lazy pushes of all active vertices at once until every residual is below eps * degree."""
     p, r = np.zeros(a.n), np.zeros(a.n)
     r[seed] = 1.0
-    for _ in range(rounds):
+    while True:  # each push takes a share alpha of a residual away, so this ends
         active = (a.deg > 0) & (r >= eps * a.deg)
         if not active.any():
             break

@@ -45,10 +45,13 @@ def local_graph(kind: str, n: int, k: int = 1, r: int = 0, seed: int = 0) -> Clu
     else:
         raise ValueError(f"no such kind of graph: {kind}")
     if r and k > 1:
-        rng = np.random.default_rng(seed)
-        p = rng.integers(0, k, r)
-        q = (p + rng.integers(1, k, r)) % k
-        es = np.concatenate([es, np.stack([p * size + rng.integers(0, size, r), q * size + rng.integers(0, size, r)], 1)])
+        if r > size * size * k * (k - 1) // 2:
+            raise ValueError(f"{r} edges between {k} copies of {size} vertices: there are fewer pairs")
+        rng, planted = np.random.default_rng(seed), set()
+        while len(planted) < r:  # a pair that was drawn before is drawn anew
+            p, q = rng.choice(k, 2, replace=False)
+            planted.add(tuple(sorted((int(p * size + rng.integers(size)), int(q * size + rng.integers(size))))))
+        es = np.concatenate([es, np.array(sorted(planted))])
     es = np.unique(np.sort(es[es[:, 0] != es[:, 1]], axis=1), axis=0)
     return Cluster(np.arange(size * k), np.bincount(es.ravel(), minlength=size * k), es[:, 0], es[:, 1])
 
@@ -124,19 +127,22 @@ def expected_cut_study(spark: SparkSession, ks: list[int], n: int = 7, phis: tup
 
 
 def iterations_study(spark: SparkSession, graphs: list[tuple[str, int]], phi: float = 0.001, seeds: int = 10) -> DataFrame:
-    """Iterations after which the sampled potential of every seed is below 1 / (16 s^2), against log10(edges)^2."""
+    """Iterations after which the sampled potential of every seed is below 1 / (16 s^2), against log10(edges)^2.
+
+    Null where a seed's run never gets there.  One whole game per seed is played and read off, instead of a game for
+    each number of iterations.
+    """
     rows = [(kind, n, 1, 0, phi, s, 0.45, i) for (kind, n), s, i in itertools.product(graphs, ("default", "balanced"), range(seeds))]
-    t = play_table(_table(spark, rows)).select("kind", "n", "strategy", "seed", "edges", "iterations", F.posexplode("potentials").alias("t", "potential"))
-    low = t.groupBy("kind", "n", "strategy", "seed", "edges").agg(F.coalesce(F.min(F.when(F.col("potential") < 1 / (16 * F.col("edges") * F.col("edges")), F.col("t"))), F.max("iterations")).alias("t"))
-    return low.groupBy("kind", "n", "strategy", "edges").agg(F.max("t").alias("iterations")).withColumn("log10_squared_edges", F.pow(F.log10("edges"), 2))
+    t = play_table(_table(spark, rows)).select("kind", "n", "strategy", "seed", "edges", F.posexplode_outer("potentials").alias("t", "potential"))
+    low = t.groupBy("kind", "n", "strategy", "seed", "edges").agg(F.min(F.when(F.col("potential") < 1 / (16 * F.col("edges") * F.col("edges")), F.col("t"))).alias("t"))
+    all_ = low.groupBy("kind", "n", "strategy", "edges").agg(F.when(F.count("t") == F.count("*"), F.max("t")).alias("iterations"))
+    return all_.withColumn("log10_squared_edges", F.pow(F.log10("edges"), 2))
 
 
 def fewest_vectors(c: Cluster, phi: float, p: Parameters, *, most: int = 64, seed: int = 0) -> int | None:
-    """The fewest flow vectors, doubled from 1, with which a run ends with its potential below 1 / (16 s^2)."""
-    k = 1
-    while k <= most:
+    """The fewest flow vectors with which a run ends with its potential below 1 / (16 s^2); None if ``most`` don't do."""
+    for k in range(1, most + 1):
         out = play(c, phi, Parameters(**(p.__dict__ | {"num_flow_vectors": k, "sample_potential": True})), np.random.default_rng(seed))
         if out.potentials and out.potentials[-1] < 1 / (16 * len(c.left) ** 2):
             return k
-        k *= 2
     return None

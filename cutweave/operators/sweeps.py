@@ -1,31 +1,56 @@
 """Cuts read off an order of the vertices, splits of flow vectors, and gains of single moves.
 
-Running sums over an order of all vertices of a cluster are windows over (cluster, rank); inputs
-without a cluster column are one cluster.
+Ranks and running sums over an order of all rows of a cluster are distributed: rows are dealt out by ranges of
+(cluster, order), counted and summed inside each range, and only the ranges' sums are summed up in order.  So a cluster
+that holds most rows is no task of its own.  Inputs without a cluster column are one cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutweave.functions.storage import materialise, scratch
+
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
+def dealt(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``range``, the number of the range of (keys, order) that a row is in, written out."""
+    ranges = df.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id())
+    return materialise(ranges, "sweep-ranges")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], rank: str | None = None) -> DataFrame:
+    """Of ``rows`` dealt by the same keys and order: adds sums up to and with each row, and its rank from 1 on."""
+    inside = Window.partitionBy(*keys, "range").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = dict(sums) | ({rank: F.lit(1)} if rank else {})
+    whole = rows.groupBy(*keys, "range").agg(*[F.sum(c).alias(f"_{n}") for n, c in parts.items()])
+    whole = whole.select(*keys, "range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in parts])
+    here = rows.select("*", *[F.sum(c).over(inside.rowsBetween(*UPTO)).alias(f"__{n}") for n, c in sums.items()], *([F.row_number().over(inside).cast("long").alias(f"__{rank}")] if rank else []))
+    kept = [F.col(c) for c in rows.columns if c not in parts]
+    return here.join(whole, [*keys, "range"]).select(*kept, *[(F.col(f"__{n}") + F.col(f"_{n}")).cast("long").alias(n) for n in parts])
+
+
 def sweep_cut(arcs: DataFrame, scores: DataFrame) -> DataFrame:
     """Prefix cuts of ``scores(cluster, id, score, gdeg)`` by descending score, then id.
 
     Returns cluster, rank, id, cut, volume, total.  An arc from rank i to a later rank adds 1 to the
     cut at i and takes 1 away at the later one, so cuts are running sums of one number per vertex.
     """
-    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "id")
-    ranked = scores.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.col("id")]
+    with scratch() as own:
+        rows = dealt(scores.select("cluster", "id", "score", "gdeg"), ["cluster"], order)
+        ranked = own.keep(materialise(running(rows, ["cluster"], order, {"volume": F.col("gdeg")}, "rank"), "sweep-ranked"))
     r = ranked.select("cluster", F.col("id").alias("u"), F.col("rank").alias("ru"))
     e = arcs.join(r, "u").join(r.select(F.col("cluster").alias("cv"), F.col("u").alias("v"), F.col("ru").alias("rv")), "v").where("cluster = cv")
-    delta = e.groupBy("cluster", F.col("ru").alias("rank")).agg(F.sum(F.when(F.col("rv") > F.col("ru"), 1).otherwise(-1)).alias("delta"))
-    w = Window.partitionBy("cluster").orderBy("rank").rowsBetween(*UPTO)
-    out = ranked.join(delta, ["cluster", "rank"], "left").withColumn("delta", F.coalesce("delta", F.lit(0)))
-    return out.select("cluster", "rank", "id", F.sum("delta").over(w).cast("long").alias("cut"), F.sum("gdeg").over(w).cast("long").alias("volume"), F.sum("gdeg").over(Window.partitionBy("cluster")).cast("long").alias("total"))
+    delta = e.groupBy(F.col("u").alias("id")).agg(F.sum(F.when(F.col("rv") > F.col("ru"), 1).otherwise(-1)).alias("delta"))
+    with scratch() as own:
+        out = own.keep(materialise(ranked.join(delta, "id", "left").withColumn("delta", F.coalesce("delta", F.lit(0))), "sweep-deltas"))
+    out = running(out, ["cluster"], [F.col("rank")], {"cut": F.col("delta")})
+    total = ranked.groupBy("cluster").agg(F.sum("gdeg").cast("long").alias("total"))
+    return out.join(total, "cluster").select("cluster", F.col("rank").cast("int").alias("rank"), "id", "cut", "volume", "total")
 
 
 def best_sweep_cut(sweep: DataFrame) -> DataFrame:
@@ -87,10 +112,12 @@ def select_vector(vectors: DataFrame) -> DataFrame:
 
 def krv_split(vector: DataFrame) -> DataFrame:
     """(cluster, eid, side): the lower half by (x, eid) is left; the odd one out is right."""
-    w = Window.partitionBy("cluster")
-    rank = F.row_number().over(w.orderBy("x", "eid"))
-    half = F.floor(F.count("*").over(w) / 2)
-    return vector.select("cluster", "eid", F.when(rank <= half, "L").otherwise("R").alias("side"))
+    order = [F.col("x"), F.col("eid")]
+    with scratch() as own:
+        rows = own.keep(dealt(vector.select("cluster", "eid", "x"), ["cluster"], order))
+    half = rows.groupBy("cluster").agg(F.floor(F.count("*") / 2).alias("half"))
+    ranked = running(rows, ["cluster"], order, {}, "rank").join(half, "cluster")
+    return ranked.select("cluster", "eid", F.when(F.col("rank") <= F.col("half"), "L").otherwise("R").alias("side"))
 
 
 def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
@@ -100,21 +127,26 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
     twentieth of the potential, the sides are x <= avg + 4l/s and x >= avg + 6l/s, with l the left side's total
     deviation.  Balanced: both sides get as many as left has; else left stops at an eighth of all.
     """
-    w = Window.partitionBy("cluster")
-    v = vector.withColumn("avg", F.avg("x").over(w)).withColumn("s", F.count("*").over(w)).withColumn("d", F.col("x") - F.col("avg"))
-    v = v.withColumn("nlow", F.count_if(F.col("d") < 0).over(w))
+    whole = vector.groupBy("cluster").agg(F.avg("x").alias("avg"), F.count("*").alias("s"))
+    v = vector.join(whole, "cluster").select("cluster", "eid", "s", (F.col("x") - F.col("avg")).alias("d"))
+    low, square = F.col("d") < 0, F.col("d") * F.col("d")
+    of = lambda f: [F.sum(F.when(low, f).otherwise(0.0)), F.sum(F.when(low, 0.0).otherwise(f))]
+    (sq_low, sq_high), (abs_low, abs_high) = of(square), of(F.abs("d"))
+    sums = v.groupBy("cluster").agg(F.count_if(low).alias("nlow"), sq_low.alias("sq_low"), sq_high.alias("sq_high"), abs_low.alias("abs_low"), abs_high.alias("abs_high"))
+    v = v.join(sums, "cluster")
     swap = F.col("nlow") > F.col("s") - F.col("nlow")
-    v = v.withColumn("side", F.when((F.col("d") < 0) != swap, "L").otherwise("R"))
-    v = v.withColumn("pot", F.sum(F.col("d") * F.col("d")).over(w)).withColumn("potl", F.sum(F.when(F.col("side") == "L", F.col("d") * F.col("d")).otherwise(0.0)).over(w))
-    v = v.withColumn("l", F.sum(F.when(F.col("side") == "L", F.abs("d")).otherwise(0.0)).over(w))
-    again = F.col("potl") <= F.col("pot") / 20
-    far = F.when(F.col("d") <= 4 * F.col("l") / F.col("s"), "R").when(F.col("d") >= 6 * F.col("l") / F.col("s"), "L")
-    v = v.withColumn("side", F.when(again, far).otherwise(F.col("side"))).where("side is not null")
-    ranked = v.withColumn("rank", F.row_number().over(Window.partitionBy("cluster", "side").orderBy(F.desc(F.abs("d")), "eid")))
-    ranked = ranked.withColumn("nl", F.count_if(F.col("side") == "L").over(w)).withColumn("nr", F.count_if(F.col("side") == "R").over(w))
+    potl, l = F.when(swap, F.col("sq_high")).otherwise(F.col("sq_low")), F.when(swap, F.col("abs_high")).otherwise(F.col("abs_low"))
+    again = potl <= (F.col("sq_low") + F.col("sq_high")) / 20
+    far = F.when(F.col("d") <= 4 * l / F.col("s"), "R").when(F.col("d") >= 6 * l / F.col("s"), "L")
+    v = v.select("cluster", "eid", "s", "d", F.when(again, far).otherwise(F.when(low != swap, "L").otherwise("R")).alias("side")).where("side is not null")
+    keys, order = ["cluster", "side"], [F.desc(F.abs("d")), F.col("eid")]
+    with scratch() as own:
+        rows = own.keep(dealt(v, keys, order))
+    sizes = rows.groupBy("cluster").agg(F.count_if(F.col("side") == "L").alias("nl"), F.count_if(F.col("side") == "R").alias("nr"))
+    ranked = running(rows, keys, order, {}, "rank").join(sizes, "cluster")
     left = F.least("nl", "nr") if balanced else F.least(F.floor(F.col("s") / 8), F.col("nl"), F.col("nr"))
     right = F.least("nl", "nr") if balanced else F.col("nr")
-    return ranked.where(F.when(F.col("side") == "L", F.col("rank") <= left).otherwise(F.col("rank") <= right)).select("cluster", "eid", "side", "rank")
+    return ranked.where(F.when(F.col("side") == "L", F.col("rank") <= left).otherwise(F.col("rank") <= right)).select("cluster", "eid", "side", F.col("rank").cast("int").alias("rank"))
 
 
 def average_matched(vectors: DataFrame, matching: DataFrame) -> DataFrame:
@@ -130,8 +162,11 @@ def fake_matching(terminals: DataFrame, matching: DataFrame, seed: int = 0) -> D
     """Pairs up unmatched ``terminals(cluster, eid, side)`` of both sides in hashed order: (cluster, a, b)."""
     used = matching.select("cluster", F.explode(F.array("a", "b")).alias("eid"))
     left_over = terminals.join(used, ["cluster", "eid"], "left_anti")
-    order = F.md5(F.concat(F.col("eid").cast("string"), F.lit(f"#{seed}")).cast("binary"))
-    ranked = left_over.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "side").orderBy(order, "eid")))
+    key = F.md5(F.concat(F.col("eid").cast("string"), F.lit(f"#{seed}")).cast("binary"))
+    keys, order = ["cluster", "side"], [F.col("key"), F.col("eid")]
+    with scratch() as own:
+        rows = own.keep(dealt(left_over.select("cluster", "side", "eid", key.alias("key")), keys, order))
+    ranked = running(rows, keys, order, {}, "r")
     one = ranked.where("side = 'L'").select("cluster", "r", F.col("eid").alias("a"))
     two = ranked.where("side = 'R'").select("cluster", "r", F.col("eid").alias("b"))
     return one.join(two, ["cluster", "r"]).select("cluster", "a", "b")

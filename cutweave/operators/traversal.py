@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 
 from cutweave.functions.storage import discard, materialise
 
+#: Levels that are tables of their own before they are merged into one.
+MERGED = 16
+
 
 def bfs_levels(arcs: DataFrame, seeds: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """(id, level): number of arcs from the nearest of ``seeds(id)``; only vertices that are reached.
 
-    Each round joins the last level only, so every arc is read into a frontier once.
+    Each level is a table of its own; a round joins the arcs with the last level and takes out what was seen.  Levels
+    are merged every MERGED rounds.  ``arcs`` should be a written table: every round reads it.
     """
-    seen = materialise(seeds.select("id", F.lit(0).alias("level")).distinct(), "bfs")
-    frontier = seen
+    levels = [materialise(seeds.select("id", F.lit(0).alias("level")).distinct(), "bfs")]
+    union = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionAll(union(xs[1:]))
+    whole: DataFrame | None = None
     for level in range(1, max_rounds):
-        found = arcs.join(frontier.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
-        new = materialise(found.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")), "bfs-frontier")
+        found = arcs.join(levels[-1].select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+        seen = union(([whole] if whole is not None else []) + levels)
+        new = materialise(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")), "bfs")
         if not new.take(1):
             return seen
-        grown = materialise(seen.unionAll(new), "bfs")
-        if frontier is not seen:
-            discard(frontier)
-        discard(seen)
-        seen, frontier = grown, new
+        levels.append(new)
+        if len(levels) > MERGED:  # so that plans stay short: levels are merged now and then
+            merged = materialise(union(([whole] if whole is not None else []) + levels[:-1]), "bfs")
+            for old in ([whole] if whole is not None else []) + levels[:-1]:
+                discard(old)
+            whole, levels = merged, levels[-1:]
     raise RuntimeError(f"not ended after {max_rounds} rounds")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import materialise
 from cutweave.operators.graph import Graph
+from cutweave.operators.sweeps import dealt, running
 
 SPACE = r"[ \t\r]+"
 
@@ -38,15 +39,18 @@ def read_edge_list(spark: SparkSession, path: str) -> Graph:
     is_header = (F.col("u") == n) & (F.col("v") == m)
     out_of_range = (F.greatest("u", "v") >= n) & ~is_header
     pairs = pairs.withColumn("u", F.when(bad | out_of_range, F.raise_error(F.concat(F.lit("bad edge line: "), "value")).cast("long")).otherwise(F.col("u")))
-    # The header looks like an edge; it is the one line equal to 'n m', whose end n is no vertex.
-    pairs = pairs.where(~(is_header & (F.greatest("u", "v") >= n))) if m >= 0 else pairs
+    # The header looks like an edge; it is the one line equal to 'n m' where an end of that is no vertex.
+    if max(n, m) >= n:
+        if pairs.where(is_header).count() > 1:
+            raise ValueError(f"{path}: an edge line 'n m' is out of range")
+        pairs = pairs.where(~is_header)
     return Graph.from_pairs(pairs, spark.range(n))
 
 
 def write_edge_list(g: Graph, path: str, *, one_indexed: bool = False) -> None:
     """``n m``, then ``u v`` per line, in one file sorted so that the header is first.
 
-    A single file is the format; the sort is distributed, only the writing of text is one task.
+    A single file is the format, so one task sorts (with spill) and writes it.
     """
     shift = 1 if one_indexed else 0
     edges = materialise(g.edges, "edge-list")
@@ -61,7 +65,8 @@ def read_snap(spark: SparkSession, path: str) -> Graph:
     lines = _fields(spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')"))
     pairs = lines.select(_number(F.col("_p"), 1).alias("u"), _number(F.col("_p"), 2).alias("v")).where("u is not null and v is not null")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    dense = materialise(ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("k")), "snap-ids")
+    one = dealt(ids.withColumn("cluster", F.lit(0)), ["cluster"], [F.col("id")])
+    dense = materialise(running(one, ["cluster"], [F.col("id")], {}, "k").select("id", (F.col("k") - 1).alias("k")), "snap-ids")
     pairs = pairs.join(dense.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(dense.select(F.col("id").alias("v"), F.col("k").alias("b")), "v")
     return Graph.from_pairs(pairs.select("a", "b"), dense.select(F.col("k").alias("id")), "a", "b")
 
@@ -82,6 +87,20 @@ def read_matrix_market(spark: SparkSession, path: str) -> Graph:
     return Graph.from_pairs(pairs, spark.range(rows))
 
 
+READERS = {"native": read_edge_list, "snap": read_snap, "mtx": read_matrix_market}
+
+
+def convert_all(spark: SparkSession, inputs: dict[str, tuple[str, str]], folder: str) -> DataFrame:
+    """Every graph of ``inputs`` {name: (kind, path)} into ``folder``/name as a native edge list; (name, vertices, edges) of all."""
+    graphs = {}
+    for name, (kind, path) in inputs.items():
+        if kind not in READERS:
+            raise ValueError(f"no reader for {kind}; there are {sorted(READERS)}")
+        graphs[name] = READERS[kind](spark, path)
+        write_edge_list(graphs[name], f"{folder}/{name}")
+    return graph_catalogue(graphs)
+
+
 def graph_catalogue(graphs: dict[str, Graph]) -> DataFrame:
     """(name, vertices, edges) of several graphs."""
     out = None

@@ -21,10 +21,18 @@ def _clique_pairs(spark: SparkSession, n: int, k: int) -> DataFrame:
 
 
 def _cross(spark: SparkSession, n: int, k: int, r: int, seed: int) -> DataFrame:
-    """r edges between different blocks, by hashes of their numbers."""
-    e = spark.range(r).select("id", (_hash(seed, F.col("id"), F.lit("a")) % k).alias("p"), (_hash(seed, F.col("id"), F.lit("b")) % max(1, k - 1)).alias("q0"))
-    e = e.withColumn("q", F.col("q0") + F.when(F.col("q0") >= F.col("p"), 1).otherwise(0))
-    return e.select((F.col("p") * n + _hash(seed, F.col("id"), F.lit("c")) % n).alias("u"), (F.col("q") * n + _hash(seed, F.col("id"), F.lit("d")) % n).alias("v"))
+    """r distinct edges between different blocks: the first r that hashes of growing numbers give, repeats left out."""
+    if r > n * n * k * (k - 1) // 2:
+        raise ValueError(f"{r} edges between {k} blocks of {n} vertices: there are fewer pairs")
+    draws = 2 * r
+    while True:
+        e = spark.range(draws).select("id", (_hash(seed, F.col("id"), F.lit("a")) % k).alias("p"), (_hash(seed, F.col("id"), F.lit("b")) % (k - 1)).alias("q0"))
+        e = e.withColumn("q", F.col("q0") + F.when(F.col("q0") >= F.col("p"), 1).otherwise(0))
+        e = e.select("id", (F.col("p") * n + _hash(seed, F.col("id"), F.lit("c")) % n).alias("x"), (F.col("q") * n + _hash(seed, F.col("id"), F.lit("d")) % n).alias("y"))
+        first = e.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("id").alias("id"))
+        if first.count() >= r:
+            return first.orderBy("id").limit(r).select("u", "v")
+        draws *= 2
 
 
 def clique(spark: SparkSession, n: int = 100, k: int = 1, r: int = 0, p: int = 100, seed: int = 0) -> Graph:

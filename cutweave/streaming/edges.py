@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def stream_degrees(pairs: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
     """``pairs(u, v, ts)``, a stream, -> running (id, deg) over distinct edges.
 
-    Edges are normalised and repeated ones dropped within the watermark, so the state is bounded by
-    the edges of that time; write it in complete or update mode.
+    Edges are normalised and repeated ones dropped within the watermark, so the state for that is bounded by
+    the edges of that time; the degrees keep a row for every id for good.  Write it in complete or update mode.
     """
     e = pairs.where("u is not null and v is not null and u <> v").withWatermark("ts", watermark)
     e = e.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), "ts").dropDuplicatesWithinWatermark(["src", "dst"])
