@@ -4,8 +4,8 @@ In each round all open clusters are split into components (distributed), then ev
 worked on by the cut-matching kernel in a group of its own.  Clusters of up to ``local_arcs`` arcs are
 decomposed to the end there; of larger ones one step is made, which gives a final part or two smaller
 clusters for the next round, so that those are worked on in parallel.  Clusters with more than ``max_arcs`` arcs are first
-cut by a distributed PageRank sweep; where that finds no sparse cut, the kernel takes the whole cluster all the same, so
-that no part is final without the cut-matching game.
+cut by distributed PageRank sweeps from several seeds, all such clusters in the same jobs; where no sweep is sparse, the kernel
+takes the whole cluster all the same, so that no part is final without the cut-matching game.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import discard, materialise
+from cutweave.functions.storage import discard, materialise, scratch
+from cutweave.functions.timing import Phases
 from cutweave.operators.components import components
 from cutweave.operators.cut_matching import Cluster, Parameters, play, trim, trim_fake
 from cutweave.operators.graph import Graph
@@ -133,63 +134,81 @@ def _pieces(members: np.ndarray, c: Cluster) -> list[np.ndarray]:
     return np.split(members[order], np.flatnonzero(own[1:] != own[:-1]) + 1)
 
 
-def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *, seed: int = 555, max_arcs: int = MAX_ARCS, local_arcs: int = LOCAL_ARCS, max_rounds: int = 200) -> DataFrame:
+def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *, seed: int = 555, max_arcs: int = MAX_ARCS, local_arcs: int = LOCAL_ARCS, max_rounds: int = 200, kinds: bool = False, phases: Phases | None = None) -> DataFrame:
     """(id, cluster, congestion): each vertex in exactly one cluster, named by its smallest id.
 
-    ``congestion`` 0 means that the cluster came from trimming and has no certificate.
+    ``congestion`` 0 means that the cluster came from trimming and has no certificate; ``kinds`` adds the column kind,
+    the outcome that made the cluster final (single, expander, near, fake).  As capacities are whole, 1 / congestion may fall short of ``phi``, to no less than half of it while T <= 1 / phi.
+    ``phases`` gets the seconds of each phase.
     """
-    params = params or Parameters()
-    arcs = materialise(g.arcs(), "decompose-arcs")
-    degrees = materialise(g.degrees().select("id", F.col("deg").alias("gdeg")), "decompose-degrees")
-    open_ = materialise(degrees.select("id", F.lit(0).cast("long").alias("cluster"), "gdeg"), "decompose-open")
-    done: DataFrame | None = None
-    for number in range(max_rounds):
-        if not open_.take(1):
-            break
-        own = open_.select(F.col("id").alias("u"), "cluster")
-        other = open_.select(F.col("id").alias("v"), F.col("cluster").alias("cv"))
-        tagged = arcs.join(own, "u").join(other, "v", "left").withColumn("inner", F.coalesce(F.col("cv") == F.col("cluster"), F.lit(False)))
-        tagged = materialise(tagged.select("u", "v", "inner"), "decompose-tagged")
-        parts = components(tagged.where("inner and u < v").select(F.col("u").alias("a"), F.col("v").alias("b")))
-        # A component's smallest id is unique over all clusters, as each vertex is in one cluster.
-        label = open_.join(parts, "id", "left").select("id", "gdeg", F.coalesce("component", "id").alias("cluster"))
-        label = materialise(label, "decompose-label")
-        sizes = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u").groupBy("cluster").agg(F.count("*").alias("arcs"))
-        large = [r["cluster"] for r in sizes.where(F.col("arcs") > max_arcs).collect()]  # few: each has over max_arcs arcs
-        cuts = {c: cut for c in large if (cut := _cut_large(tagged, label.where(F.col("cluster") == c), phi)) is not None}
-        is_cut = F.col("cluster").isin(list(cuts)) if cuts else F.lit(False)
-        rows = label.select("cluster", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "gdeg")
-        ends = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u").select("cluster", F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("gdeg"))
-        rest = rows.unionAll(ends).where(~is_cut)
-        found = rest.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
-        for cut in cuts.values():
-            found = found.unionAll(cut)
-        found = materialise(found, "decompose-found")
-        final = found.where("final").select("id", F.col("child").alias("cluster"), "congestion")
-        done = materialise(final if done is None else done.unionAll(final), "decompose-done")
-        rest = materialise(found.where("not final").join(degrees, "id").select("id", F.col("child").alias("cluster"), "gdeg"), "decompose-open")
-        log.info("round %d: %d vertices left", number, rest.count())
-        for old in (open_, tagged, label):
-            discard(old)
-        open_ = rest
-    else:
-        raise RuntimeError(f"not ended after {max_rounds} rounds")
-    return done if done is not None else g.vertices.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("congestion"))
-
-
-def _cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame | None:
-    """Distributed cut of one large cluster, by a PageRank sweep from its vertex of greatest degree; None if that is not sparse."""
-    ids = members.select(F.col("id").alias("u"))
-    arcs = tagged.where("inner").join(ids, "u", "left_semi").select("u", "v")
-    deg = arcs.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("deg"))
-    seed = deg.orderBy(F.desc("deg"), "id").limit(1).select(F.col("id").alias("seed"))
-    scores = personalised_pagerank(arcs, deg, seed, eps=1e-7, max_rounds=200, rounds=60).select("id", "p")
-    ranked = members.join(scores, "id", "left").select("cluster", "id", (F.coalesce("p", F.lit(0.0)) / F.greatest("gdeg", F.lit(1))).alias("score"), "gdeg")
+    params, phases = params or Parameters(), phases or Phases()
+    with scratch() as own, phases.time("total"):
+        with phases.time("set-up"):
+            arcs = materialise(g.arcs(), "decompose-arcs")
+            degrees = materialise(g.degrees().select("id", F.col("deg").alias("gdeg")), "decompose-degrees")
+            open_ = materialise(degrees.select("id", F.lit(0).cast("long").alias("cluster"), "gdeg"), "decompose-open")
+        done: list[DataFrame] = []
+        for number in range(max_rounds):
+            if not open_.take(1):
+                break
+            with phases.time("components"):
+                ends = open_.select(F.col("id").alias("u"), "cluster")
+                other = open_.select(F.col("id").alias("v"), F.col("cluster").alias("cv"))
+                tagged = arcs.join(ends, "u").join(other, "v", "left").withColumn("inner", F.coalesce(F.col("cv") == F.col("cluster"), F.lit(False)))
+                tagged = materialise(tagged.select("u", "v", "inner"), "decompose-tagged")
+                parts = components(tagged.where("inner and u < v").select(F.col("u").alias("a"), F.col("v").alias("b")))
+                # A component's smallest id is unique over all clusters, as each vertex is in one cluster.
+                label = open_.join(parts, "id", "left").select("id", "gdeg", F.coalesce("component", "id").alias("cluster"))
+                label = materialise(label, "decompose-label")
+                labelled = tagged.join(label.select(F.col("id").alias("u"), "cluster"), "u")
+            with phases.time("sweeps of large clusters"):
+                large = materialise(labelled.groupBy("cluster").agg(F.count("*").alias("arcs")).where(F.col("arcs") > max_arcs).select("cluster"), "decompose-large")
+                cut = materialise(cut_large(tagged, label.join(large, "cluster", "left_semi"), phi), "decompose-cut") if large.take(1) else None
+            with phases.time("cut-matching and trimming"):
+                rows = label.select("cluster", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "gdeg")
+                rows = rows.unionAll(labelled.select("cluster", F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("gdeg")))
+                if cut is not None:
+                    rows = rows.join(cut.select("cluster").distinct(), "cluster", "left_anti")
+                found = rows.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
+                found = materialise(found if cut is None else found.unionAll(cut.drop("cluster")), "decompose-found")
+            done.append(found.where("final").select("id", F.col("child").alias("cluster"), "congestion", "kind"))
+            rest = materialise(found.where("not final").join(degrees, "id").select("id", F.col("child").alias("cluster"), "gdeg"), "decompose-open")
+            log.info("round %d: %d vertices left", number, rest.count())
+            for old in (open_, tagged, label):
+                discard(old)
+            open_ = rest
+        else:
+            raise RuntimeError(f"not ended after {max_rounds} rounds")
+        if not done:
+            done = [degrees.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("congestion"), F.lit("single").alias("kind"))]
+        out = done[0]
+        for part in done[1:]:
+            out = out.unionAll(part)
+        return own.keep(materialise(out if kinds else out.drop("kind"), "decompose-done"))
+
+
+def cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame:
+    """Sparse cuts of the clusters of ``members(id, cluster, gdeg)``: cluster and the columns of a kernel's result.
+
+    Pushes start from up to four seeds of each cluster: that of the greatest degree, the least id, and the least and the
+    greatest hash.  Of all sweeps the best is taken, if its conductance is at most 1.7 phi log10(volume)^2; clusters
+    without such a sweep have no rows.
+    """
+    arcs = materialise(tagged.where("inner").join(members.select(F.col("id").alias("u")), "u", "left_semi").select("u", "v"), "decompose-large-arcs")
+    deg = materialise(arcs.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("deg")), "decompose-large-degrees")
+    h = F.xxhash64("id")
+    picks = members.join(deg, "id").groupBy("cluster").agg(F.array_distinct(F.array(F.max_by("id", F.struct("deg", "id")), F.min("id"), F.min_by("id", h), F.max_by("id", h))).alias("seeds"))
+    seeds = materialise(picks.select("cluster", F.explode("seeds").alias("seed")), "decompose-seeds")
+    scores = personalised_pagerank(arcs, deg, seeds.select("seed"), eps=1e-7, max_rounds=200, rounds=60).select("seed", "id", "p")
+    each = members.join(seeds, "cluster").join(scores, ["seed", "id"], "left")  # a cluster has four seeds at most
+    ranked = each.select(F.col("seed").alias("cluster"), "id", (F.coalesce("p", F.lit(0.0)) / F.greatest("gdeg", F.lit(1))).alias("score"), "gdeg")
     sweep = materialise(sweep_cut(arcs, ranked), "decompose-sweep")
-    best = best_sweep_cut(sweep).first()
-    gvol = max(2, members.agg(F.sum("gdeg")).first()[0] or 2)
-    if best is None or best["conductance"] > 1.7 * phi * math.log10(gvol) ** 2:
-        return None
-    inside = F.col("rank") <= best["rank"]
-    names = sweep.agg(F.min(F.when(inside, F.col("id"))).alias("a"), F.min(F.when(~inside, F.col("id"))).alias("b")).first()
-    return sweep.select("id", F.when(inside, names["a"]).otherwise(names["b"]).alias("child"), F.lit(False).alias("final"), F.lit(0).cast("long").alias("congestion"), F.lit("large").alias("kind"))
+    best = sweep.join(best_sweep_cut(sweep).select("cluster", "rank"), ["cluster", "rank"])
+    best = best.select(F.col("cluster").alias("seed"), "rank", (F.col("cut") / F.least(F.col("volume"), F.col("total") - F.col("volume"))).alias("conductance"))
+    best = best.join(seeds, "seed").groupBy("cluster").agg(F.min(F.struct("conductance", "seed", "rank")).alias("b"))
+    volume = members.groupBy("cluster").agg(F.greatest(F.lit(2), F.sum("gdeg")).alias("gvol"))
+    good = best.join(volume, "cluster").where(F.col("b.conductance") <= F.lit(1.7 * phi) * F.pow(F.log10("gvol"), 2)).select("cluster", F.col("b.seed").alias("seed"), F.col("b.rank").alias("last"))
+    sides = sweep.withColumnRenamed("cluster", "seed").join(good, "seed").select("cluster", "id", (F.col("rank") <= F.col("last")).alias("inside"))
+    names = sides.groupBy("cluster", "inside").agg(F.min("id").alias("child"))
+    out = sides.join(names, ["cluster", "inside"])
+    return out.select("cluster", "id", "child", F.lit(False).alias("final"), F.lit(0).cast("long").alias("congestion"), F.lit("large").alias("kind"))

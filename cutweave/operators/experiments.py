@@ -3,19 +3,98 @@
 from __future__ import annotations
 
 import itertools
-
+import json
+import re
+import subprocess
+import sys
+import time
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: What each configuration adds to the one before it, and the number of flow vectors it plays with.  Fixed values.
-INCREMENTS = ("base", "vectors", "adaptive", "flow fraction", "warm start", "max-flow trimming", "median cut first", "heuristics", "balanced partitions")
+from cutweave.operators.cut_matching import Cluster, Parameters
+from cutweave.operators.decompose import local_decompose
+
+#: Options of a configuration, in the order of the tables below.
+OPTIONS = ("name", "base_config", "flow_vectors", "use_cut_heuristics", "use_balanced_partitions", "flow_fraction", "adaptive", "warm_start", "trim_with_max_flow_first")
+#: The configurations that are compared; no configuration takes the potential exactly first, all use compensated sums.  Fixed values.
+INCREMENTS = (
+    ("Arv", True, 1, False, False, False, False, False, False),
+    ("Arv-20", True, 20, False, False, False, False, False, False),
+    ("+Ada", False, 20, False, False, False, True, False, True),
+    ("+Cut", False, 20, True, True, False, False, False, True),
+    ("+Cut+Ada", False, 20, True, True, False, True, False, True),
+    ("+Cut+Ada+Frac", False, 20, True, True, True, True, False, True),
+    ("+Ada+Frac", False, 20, False, False, True, True, False, True),
+    ("+Cut+Frac", False, 20, True, True, True, False, False, True),
+    ("+Cut+Ada+Frac+Warm", False, 20, True, True, True, True, True, True),
+)
+#: Those for large graphs, with one seed.  Fixed values.
+LARGE = (
+    ("+Cut+Ada", False, 20, True, True, False, True, False, True),
+    ("+Cut+Ada+Frac", False, 20, True, True, True, True, False, True),
+    ("+Cut+Ada+Warm", False, 20, True, True, False, True, True, True),
+    ("+Cut+Ada+Frac+Warm", False, 20, True, True, True, True, True, True),
+)
+
+
+def parameters_of(options: dict) -> Parameters:
+    """What a row of the matrix plays with; a base configuration replaces all other options by the plain ones."""
+    if options["base_config"]:
+        return Parameters.base()
+    return Parameters(
+        num_flow_vectors=options["flow_vectors"], use_cut_heuristics=options["use_cut_heuristics"], use_balanced_partitions=options["use_balanced_partitions"], stop_flow_at_fraction=options["flow_fraction"],
+        adaptive=options["adaptive"], warm_start=options["warm_start"], trim_with_max_flow_first=options["trim_with_max_flow_first"], kahan_error=True,
+    )
+
+
+def configurations(spark: SparkSession, graphs: list[str], phis: list[float], seeds: int = 10, kind: str = "increments") -> DataFrame:
+    """The experiment matrix: one row per graph, phi, configuration and seed, with the configuration's options."""
+    rows = [(g, p, kind, i, *c) for (g, p), (i, c) in itertools.product(itertools.product(graphs, phis), enumerate(LARGE if kind == "large" else INCREMENTS))]
+    columns = ", ".join(f"{n} {'string' if n == 'name' else 'int' if n == 'flow_vectors' else 'boolean'}" for n in OPTIONS)
+    base = spark.createDataFrame(rows, f"graph string, phi double, kind string, step int, {columns}")
+    return base.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
 
 
-def configurations(spark: SparkSession, graphs: list[str], phis: list[float], seeds: int = 10, names: tuple[str, ...] = INCREMENTS) -> DataFrame:
-    """The experiment matrix: one row per graph, phi, configuration and seed.  Configurations are cumulative."""
-    rows = [(g, p, i, n, i + 1) for (g, p), (i, n) in itertools.product(itertools.product(graphs, phis), enumerate(names))]
-    base = spark.createDataFrame(rows, "graph string, phi double, step int, name string, options int")
-    return base.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+def run_matrix(matrix: DataFrame, edges: dict[str, str], *, limit_s: float = 1800.0) -> DataFrame:
+    """Every row of the matrix played: adds edges_cut, partitions, seconds and status (0, -1 timed out, -2 failed).
+
+    ``edges`` names each graph's native edge list, a path that every worker can open; a worker decomposes one
+    graph at a time in a process of its own, which is ended after ``limit_s`` seconds.  For graphs of a worker's size.
+    """
+    names = [f.name for f in matrix.schema]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                began = time.time()
+                given = [sys.executable, "-m", "cutweave.operators.experiments", edges[row["graph"]], json.dumps({k: (v.item() if hasattr(v, "item") else v) for k, v in row.items()})]
+                try:
+                    done = subprocess.run(given, text=True, capture_output=True, timeout=limit_s, check=False)
+                    found = re.search(r"^(\d+) (\d+)$", done.stdout, re.MULTILINE)
+                    cut, parts, status = (int(found[1]), int(found[2]), 0) if found else (-2, -2, -2)
+                except subprocess.TimeoutExpired:
+                    cut, parts, status = -1, -1, -1
+                rows.append((*[row[n] for n in names], cut, parts, time.time() - began, status))
+            yield pd.DataFrame(rows, columns=[*names, "edges_cut", "partitions", "seconds", "status"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matrix.schema)
+    return matrix.mapInPandas(work, f"{schema}, edges_cut long, partitions long, seconds double, status int")
+
+
+def play_file(path: str, options: dict) -> tuple[int, int]:
+    """(edges cut, partitions) of the native edge list at ``path`` under a row of the matrix."""
+    pairs = np.loadtxt(path, dtype=np.int64, skiprows=1, ndmin=2).reshape(-1, 2)
+    with open(path, encoding="utf-8") as f:
+        n = int(f.readline().split()[0])
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    c = Cluster(np.arange(n), np.bincount(pairs.ravel(), minlength=n), pairs[:, 0], pairs[:, 1])
+    label, congestion, _ = local_decompose(c, options["phi"], parameters_of(options), np.random.default_rng(options["seed"]))
+    return int((label[c.left] != label[c.right]).sum()), len(congestion)
 
 
 def aggregate_runs(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,3 +166,7 @@ def traces(runs: DataFrame, column: str = "potentials") -> DataFrame:
 
 def trace_medians(t: DataFrame, keys: list[str]) -> DataFrame:
     return t.groupBy(*keys, "iteration").agg(F.median("potential").alias("potential"))
+
+
+if __name__ == "__main__":
+    print(*play_file(sys.argv[1], json.loads(sys.argv[2])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -9,13 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise, shared_dir, table
+from cutweave.functions.storage import fresh_path, materialise, table
 from cutweave.operators import components as cc
 from cutweave.operators import decompose as dec
 from cutweave.operators import experiments as ex
 from cutweave.operators import graph as gr
 from cutweave.operators import heuristics, outcomes, studies, sweeps, traversal
-from cutweave.operators.cut_matching import Cluster, Parameters
+from cutweave.operators.cut_matching import Cluster, Outcome, Parameters, trim, trim_fake
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
 from cutweave.sources import edge_lists, generators
@@ -136,9 +137,28 @@ def neighbours_of_subset(spark, d):
     return g.neighbours(g.vertices.where("id % 101 = 0"))
 
 
-@query(SP + " select 0::bigint as id where false")
+DAMAGED = SP + ", d as (select u, v from arcs where (u * 31 + v) % 97 <> 0), lone as (select u, v from d except select v, u from d)"
+
+
+def damaged_arcs(spark, d) -> DataFrame:
+    """The arcs of the supplier-part graph without some directions."""
+    return supplier_part(spark, d).arcs().where("(u * 31 + v) % 97 <> 0")
+
+
+@query(DAMAGED + " select u as id from lone union select v from lone")
 def graph_integrity(spark, d):
-    return supplier_part(spark, d).integrity()
+    return supplier_part(spark, d).integrity(damaged_arcs(spark, d))
+
+
+@query(DAMAGED + " select u, v from lone")
+def unreversed_arcs(spark, d):
+    return gr.unreversed(damaged_arcs(spark, d))
+
+
+@query(SP + " select 0::bigint as broken, count(*)::bigint as n_arcs from arcs")
+def integrity_of_a_whole_graph(spark, d):
+    g = supplier_part(spark, d)
+    return g.integrity().agg(F.count("*").alias("broken")).crossJoin(g.arcs().agg(F.count("*").alias("n_arcs")))  # one row each
 
 
 LABELLED = SP + """, l as (select src, dst, x.cluster as cs, y.cluster as cd from e join a x on src = x.id join a y on dst = y.id),
@@ -171,6 +191,16 @@ def conductance_by_cluster(spark, d):
     return gr.conductances(g, quarters(g)).withColumn("conductance", F.round("conductance", 9)).withColumn("balance", F.round("balance", 9))
 
 
+DUMP = """, whole as (select sum(gvolume)::bigint as total from vol), ids as (select cluster, min(id) as first_id from a group by cluster)
+select vol.cluster, size, first_id, gvolume - volume as cut, gvolume, round((gvolume - volume) / nullif(least(gvolume, total - gvolume), 0), 9) as conductance from vol join ids on vol.cluster = ids.cluster, whole"""
+
+
+@query(LABELLED + DUMP)
+def partition_dump(spark, d):
+    g = supplier_part(spark, d)
+    return gr.partition_dump(g, quarters(g)).withColumn("conductance", F.round("conductance", 9))
+
+
 @query(SP + " select (-1 - (src * 2147483648 + dst))::bigint as src, src as dst from e union all select (-1 - (src * 2147483648 + dst))::bigint, dst from e")
 def subdivision_edges(spark, d):
     return supplier_part(spark, d).subdivision().edges
@@ -295,54 +325,41 @@ def rst_repartition(spark, d):
     return sweeps.rst_split(v)
 
 
-MATCH = VEC + ", pr as (select l.cluster, l.eid as a, r.eid as b from (select cluster, eid, row_number() over (partition by cluster order by x, eid) as rn from vec where k = 0) l join (select cluster, eid, row_number() over (partition by cluster order by x desc, eid) as rn from vec where k = 0) r on l.cluster = r.cluster and l.rn = r.rn where l.rn <= 50)"
-
-
-def pairs_of(v: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    one = v.where("k = 0").select("cluster", F.col("eid").alias("a"), F.row_number().over(Window.partitionBy("cluster").orderBy("x", "eid")).alias("rn"))
-    two = v.where("k = 0").select("cluster", F.col("eid").alias("b"), F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("x"), "eid")).alias("rn"))
-    return one.where("rn <= 50").join(two.where("rn <= 50"), ["cluster", "rn"]).select("cluster", "a", "b")
-
-
-@query(MATCH + """, q as (select cluster, a as eid, b as p from pr union all select cluster, b, a from pr)
-select vec.cluster, vec.eid, vec.k, round(coalesce((vec.x + o.x) / 2, vec.x), 9) as x from vec left join q on vec.cluster = q.cluster and vec.eid = q.eid left join vec o on o.cluster = q.cluster and o.eid = q.p and o.k = vec.k""")
-def matching_average(spark, d):
-    v = vectors(spark, d)
-    return sweeps.average_matched(v, pairs_of(v)).withColumn("x", F.round("x", 9))
-
-
 HALVES = VEC + """, rk as (select cluster, eid, row_number() over (partition by cluster order by x, eid) as rn, count(*) over (partition by cluster) as s from vec where k = 0),
 pr as (select l.cluster, l.eid as a, r.eid as b from rk l join rk r on l.cluster = r.cluster and r.rn = l.s + 1 - l.rn where l.rn <= l.s // 2)"""
 
 
 def halves_of(v: DataFrame) -> DataFrame:
     """The k-th lowest of each cluster with its k-th highest, by one ranking, so that pairs are disjoint; a middle one is left out."""
-    from pyspark.sql import Window
-
-    v = v.where("k = 0")
-    r = v.select("cluster", "eid", F.row_number().over(Window.partitionBy("cluster").orderBy("x", "eid")).cast("long").alias("rn"))
-    r = materialise(r.join(v.groupBy("cluster").agg(F.count("*").alias("s")), "cluster"), "ranks")
+    order = [F.col("x"), F.col("eid")]
+    rows = sweeps.dealt(v.where("k = 0").select("cluster", "eid", "x"), ["cluster"], order)
+    r = sweeps.running(rows, ["cluster"], order, {}, "rn").join(rows.groupBy("cluster").agg(F.count("*").alias("s")), "cluster")
+    r = materialise(r, "ranks")
     low = r.where("2 * rn <= s").select("cluster", "rn", F.col("eid").alias("a"))
     high = r.select("cluster", (F.col("s") + 1 - F.col("rn")).alias("rn"), F.col("eid").alias("b"), "s").where("2 * rn <= s").drop("s")
     return low.join(high, ["cluster", "rn"]).select("cluster", "a", "b")
 
 
-@query(HALVES + """, q as (select cluster, a as eid, b as p from pr union all select cluster, b, a from pr)
-select vec.cluster, vec.eid, vec.k, round(coalesce((vec.x + o.x) / 2, vec.x), 9) as x from vec left join q on vec.cluster = q.cluster and vec.eid = q.eid left join vec o on o.cluster = q.cluster and o.eid = q.p and o.k = vec.k""")
-def matching_average_whole(spark, d):
+MATCHED = HALVES + """, q as (select cluster, a as eid, b as p from pr union all select cluster, b, a from pr)
+select vec.cluster, vec.eid, vec.k, round(coalesce((vec.x + o.x) / 2, vec.x), 9) as x from vec left join q on vec.cluster = q.cluster and vec.eid = q.eid left join vec o on o.cluster = q.cluster and o.eid = q.p and o.k = vec.k"""
+# Each of these is read several times: computed once.
+for _name in ("e", "a", "vec", "m", "c", "rk", "pr", "q"):
+    MATCHED = re.sub(rf"(?<![\w.]){_name} as \(", f"{_name} as materialized (", MATCHED)
+
+
+@query(MATCHED)
+def matching_average(spark, d):
     """The whole lower half of each cluster is paired with the whole upper half."""
     v = vectors(spark, d)
     return sweeps.average_matched(v, halves_of(v)).withColumn("x", F.round("x", 9))
 
 
-@query(VEC + """, t as (select cluster, eid, case when eid % 2 = 0 then 'L' else 'R' end as side from vec where k = 0 and eid % 7 <> 0),
+@query(VEC + """, t as (select cluster, eid, case when (eid // 3) % 2 = 0 then 'L' else 'R' end as side from vec where k = 0 and eid % 7 <> 0),
 r as (select *, row_number() over (partition by cluster, side order by md5(eid::varchar || '#0'), eid) as r from t)
 select l.cluster, l.eid as a, x.eid as b from r l join r x on l.cluster = x.cluster and l.r = x.r where l.side = 'L' and x.side = 'R'""")
 def fake_matching(spark, d):
     v = vectors(spark, d).where("k = 0")
-    t = v.select("cluster", "eid", F.when(F.col("eid") % 2 == 0, "L").otherwise("R").alias("side"))
+    t = v.select("cluster", "eid", F.when(F.floor(F.col("eid") / 3) % 2 == 0, "L").otherwise("R").alias("side"))
     used = v.where("eid % 7 = 0").select("cluster", F.col("eid").alias("a"), F.col("eid").alias("b"))
     return sweeps.fake_matching(t, used)
 
@@ -451,6 +468,15 @@ def ppr_rounds(spark, d):
     return out.select("seed", "id", F.round("p", 9).alias("p"), F.round("r", 9).alias("r"))
 
 
+@query(SP + " select id as seed, 1.0::double as mass, 0::bigint as active from vtx where id in (2, 3)")
+def ppr_converged(spark, d):
+    """The run to its end: nothing of the mass is lost, and no residual is above eps * degree."""
+    g = supplier_part(spark, d)
+    arcs, deg = materialise(g.arcs(), "arcs"), materialise(g.degrees(), "degrees")
+    out = traversal.personalised_pagerank(arcs, deg, g.vertices.where("id in (2, 3)").select(F.col("id").alias("seed")), eps=1e-5).join(deg, "id")
+    return out.groupBy("seed").agg(F.round(F.sum(F.col("p") + F.col("r")), 9).alias("mass"), F.count_if(F.col("r") >= 1e-5 * F.col("deg")).alias("active"))
+
+
 # -- kernels and decomposition -------------------------------------------------------------------
 
 
@@ -500,13 +526,105 @@ def unit_flow_value(spark, d):
     return _per_cluster(spark, d, work, "cluster long, sources long, routed long, pairs long, excess_left boolean")
 
 
+# A star of n leaves (customers) around a nation is small enough to say what every kernel must give.
+STARS = """with s as (select 2 * c_nationkey::bigint + 1 as cluster, c_nationkey::bigint as nation, count(*)::bigint as n,
+  sum(least(c_custkey % 4, 2))::bigint as offered, count(*) filter (c_custkey % (case when c_nationkey % 2 = 0 then 2 else 4 end) = 0)::bigint as gone from customer group by c_nationkey)"""
+
+
+def _per_star(spark, d, work, schema) -> DataFrame:
+    """``work(cluster, centre)`` on each star, the customers and their nation, in a group of its own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = _local(pdf[["src", "dst"]])
+        centre = int(np.flatnonzero(c.ids == pdf["cluster"].iloc[0])[0])
+        return pd.DataFrame([(int(pdf["cluster"].iloc[0]), *work(c, centre))], columns=[x.split()[0] for x in schema.split(", ")])
+
+    odd = F.when(F.col("src") % 2 == 1, F.col("src")).otherwise(F.col("dst"))
+    return customer_nation(spark, d).edges.withColumn("cluster", odd).groupBy("cluster").applyInPandas(run, schema)
+
+
+@query(STARS + " select cluster, least(offered, n * (1 + nation % 2))::bigint as max_flow, least(offered, n * (1 + nation % 2))::bigint as cut_capacity, true as sides_are_complements from s")
+def max_flow_stars(spark, d):
+    """A maximum flow from customers, of 0 to 3 units over arcs of capacity 2, to their nation, and the cut that it leaves."""
+
+    def work(c: Cluster, centre: int):
+        net = Net(len(c.ids), c.left, c.right, 2)
+        offered = np.where(c.ids % 2 == 0, c.ids // 2 % 4, 0)
+        net.absorbed = offered.copy()
+        net.sink[centre] = (len(c.ids) - 1) * (1 + int(c.ids[centre]) // 2 % 2)
+        value, side = net.max_flow(), net.min_cut()
+        cut = int(net.cap[side[net.tail] & ~side[net.head]].sum() + net.sink[side].sum() + offered[~side].sum())
+        reach = net.distances(np.flatnonzero(net.excess() > 0), forward=True) < net.n
+        return value, cut, bool((reach == side).all() and not (side & ~reach).any())
+
+    return _per_star(spark, d, work, "cluster long, max_flow long, cut_capacity long, sides_are_complements boolean")
+
+
+@query(STARS + ", t as (select *, case when nation % 2 = 0 then (n + 1) // 2 else n + 5 end as room from s) select cluster, least(n, room)::bigint as routed, least(n, room)::bigint as pairs, n > room as excess_left, greatest(0, n - room)::bigint as excess from t")
+def unit_flow_stars(spark, d):
+    """Unit sources at the customers, a sink at the nation: units routed below a height bound, pairs matched, excess left."""
+
+    def work(c: Cluster, centre: int):
+        n = len(c.ids) - 1
+        net = Net(n + 1, c.left, c.right, 1)
+        leaves = np.flatnonzero(c.ids % 2 == 0)
+        net.absorbed[leaves], net.sink[centre] = 1, (n + 1) // 2 if int(c.ids[centre]) // 2 % 2 == 0 else n + 5
+        _, rest = net.route(60)
+        return net.routed(), len(net.match(leaves)), rest, int(net.excess().sum())
+
+    return _per_star(spark, d, work, "cluster long, routed long, pairs long, excess_left boolean, excess long")
+
+
+@query(STARS + " select cluster, gone, (case when 4 * gone <= 2 * n - gone then n + 1 - gone else 0 end)::bigint as kept from s")
+def trim_stars(spark, d):
+    """Every second or fourth customer is removed; 2 / phi = 4 units for each lost edge fit into the rest, or none of it stays."""
+
+    def work(c: Cluster, centre: int):
+        removed = (c.ids % 2 == 0) & (c.ids // 2 % (2 if int(c.ids[centre]) // 2 % 2 == 0 else 4) == 0)
+        return int(removed.sum()), int(trim(c, removed, 0.5, max_flow=True).sum())
+
+    return _per_star(spark, d, work, "cluster long, gone long, kept long")
+
+
+@query(STARS + ", t as (select *, n // 4 as pairs, case when nation % 2 = 0 then 2 else 7 end as it from s) select cluster, (2 * pairs * it)::bigint as charged, (case when 2 * pairs * it <= 2 * n then n + 1 else 0 end)::bigint as kept from t")
+def trim_fake_stars(spark, d):
+    """Fake pairs of edges charge an end of each edge with the number of iterations, which the degrees absorb, or nothing stays."""
+
+    def work(c: Cluster, centre: int):
+        n = len(c.ids) - 1
+        pairs, it = [(2 * i, 2 * i + 1) for i in range(n // 4)], 2 if int(c.ids[centre]) // 2 % 2 == 0 else 7
+        kept = trim_fake(c, Outcome("fake", np.zeros(n + 1, bool), iterations=it, fake=pairs), 0.1, np.random.default_rng(1))
+        return 2 * len(pairs) * it, int(kept.sum())
+
+    return _per_star(spark, d, work, "cluster long, charged long, kept long")
+
+
+@query("select n::int as n, method, 1::bigint as cut, (n * (n - 1) + 1)::bigint as volume, round(1 / (n * (n - 1) + 1), 9) as conductance from (select unnest(range(10, 31)) as n), (select unnest(['bisection', 'local search', 'nibble', 'sparse cut']) as method)")
+def planted_cuts(spark, d):
+    """Two cliques with one link: every heuristic finds the link."""
+
+    def work(batches):
+        for pdf in batches:
+            rows = []
+            for n in pdf["id"]:
+                c = studies.local_graph("clique-path", int(n), 2)
+                a = heuristics.Adjacency(c)
+                score = heuristics.pagerank(a, 3) / np.maximum(a.gdeg, 1)
+                start = (np.arange(2 * n) < n) ^ np.isin(np.arange(2 * n), [1, n + 1])  # two vertices have changed sides
+                for name, x in (("bisection", heuristics.bisect(a)), ("local search", heuristics.local_search(a, start)), ("nibble", heuristics.sweep(a, score)), ("sparse cut", heuristics.sparse_cut(c, 1.0, 1))):
+                    rows.append((int(n), name, x.cut, x.volume, round(x.conductance, 9)))
+            yield pd.DataFrame(rows, columns=["n", "method", "cut", "volume", "conductance"])
+
+    return spark.range(10, 31).repartition(8).mapInPandas(work, "n int, method string, cut long, volume long, conductance double")
+
+
 @query()
 def sparse_cut_heuristics(spark, d):
     """Per cluster: best cut of nibble and local search, and of a balanced bisection."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         c = _local(pdf)
-        cuts = [heuristics.sparse_cut(c, float("inf"), 1, trials=2), heuristics.bisect(heuristics.Adjacency(c))]
+        cuts = [heuristics.sparse_cut(c, float("inf"), 1), heuristics.bisect(heuristics.Adjacency(c))]
         rows = [(int(pdf["cluster"].iloc[0]), x.method, x.cut, x.volume, x.conductance) for x in cuts if x]
         return pd.DataFrame(rows, columns=["cluster", "method", "cut", "volume", "conductance"])
 
@@ -532,6 +650,50 @@ def decompose_summary(spark, d):
     return gr.edges_cut(g, materialise(parts, "parts"))
 
 
+# Nations of suppliers and sizes of parts, one graph for each flag of a line item; the flags' graphs are linked at two of their nations.
+TRADE = """with t as (select distinct (case l_returnflag when 'A' then 0 when 'N' then 1000 else 2000 end)::bigint as flag, s_nationkey::bigint as nation, p_size::bigint as size
+  from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey),
+e as (select flag + nation as src, flag + 100 + size as dst from t union select f + (select min(nation) from t), f + 1000 + (select min(nation) from t) from (select unnest([0, 1000]) as f)),
+arcs as (select src as u, dst as v from e union all select dst, src from e),
+deg as (select u as id, count(*)::bigint as deg from arcs group by u),
+a as (select id, min(id) over (partition by id // 1000) as cluster from deg)"""
+
+
+def trade(spark, d) -> Graph:
+    li, s, p = (table(spark, d, t) for t in ("lineitem", "supplier", "part"))
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1000).otherwise(2000)
+    t = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(flag.alias("flag"), F.col("s_nationkey").cast("long").alias("nation"), F.col("p_size").cast("long").alias("size")).distinct()
+    links = t.agg(F.min("nation").alias("n")).select(F.explode(F.array(F.lit(0), F.lit(1000))).alias("f"), "n").select((F.col("f") + F.col("n")).alias("u"), (F.col("f") + 1000 + F.col("n")).alias("v"))
+    return Graph.from_pairs(t.select((F.col("flag") + F.col("nation")).alias("u"), (F.col("flag") + 100 + F.col("size")).alias("v")).unionAll(links))
+
+
+def trade_parts(spark, d, **options) -> tuple[Graph, DataFrame]:
+    g = trade(spark, d)
+    g = Graph(materialise(g.vertices, "trade-vertices"), materialise(g.edges, "trade-edges"))
+    return g, materialise(dec.decompose(g, PHI, Parameters(num_flow_vectors=4), **options), "trade-parts")
+
+
+@query(TRADE + " select id, cluster, true as certified from a")
+def decompose_trade(spark, d):
+    """A graph from whole tables comes apart at its two links; the parts are expanders, with certificates of phi / 2 at least."""
+    _, parts = trade_parts(spark, d)
+    return parts.select("id", "cluster", (gr.certificate(F.col("congestion")) >= PHI / 2).alias("certified"))
+
+
+@query(TRADE + " select id, cluster, true as certified from a")
+def decompose_trade_rounds(spark, d):
+    """The same by distributed rounds: of each cluster one step is made in a task."""
+    _, parts = trade_parts(spark, d, local_arcs=0)
+    return parts.select("id", "cluster", (gr.certificate(F.col("congestion")) >= PHI / 2).alias("certified"))
+
+
+@query(LABELLED.replace(SP, TRADE) + DUMP)
+def decompose_trade_dump(spark, d):
+    """Size, first member, cut, volume and conductance of each part."""
+    g, parts = trade_parts(spark, d)
+    return gr.partition_dump(g, parts.select("id", "cluster")).withColumn("conductance", F.round("conductance", 9))
+
+
 # -- generators, files and experiment tables -----------------------------------------------------
 
 
@@ -559,27 +721,27 @@ def gen_clique(spark, d):
     return generators.clique(spark, 50, 3, p=60, seed=7).edges
 
 
-@query(CN + " select src, dst from e where src < 200 and dst < 200")
-def edge_list_round_trip(spark, d):
-    path = f"{shared_dir(spark)}/edge-list-query"
-    g = customer_nation(spark, d)
-    g = Graph(g.vertices.where("id < 200"), g.edges.where("src < 200 and dst < 200"))
-    edge_lists.write_edge_list(g, path)
-    return edge_lists.read_edge_list(spark, path).edges
-
-
 @query(CN + " select src, dst from e")
-def edge_list_round_trip_whole(spark, d):
+def edge_list_round_trip(spark, d):
     """Every edge of the graph is written and read again."""
-    path = f"{shared_dir(spark)}/edge-list-whole-query"
+    path = fresh_path(spark, "edge-list-query")
     edge_lists.write_edge_list(customer_nation(spark, d), path)
     return edge_lists.read_edge_list(spark, path).edges
 
 
+@query(CN + ", v as (select count(*) as n from (select u from arcs group by u)), r as (select count(*) as n from region) select 'stars' as name, (select max(u) + 1 from arcs)::bigint as vertices, (select count(*) from e)::bigint as edges union all select 'nations', (select count(*) from nation) + (select n from r), (select count(*) from nation)")
+def bulk_conversion(spark, d):
+    """A native and a SNAP file into native files, and their numbers of vertices and edges."""
+    one, two, out = (fresh_path(spark, f"bulk-{x}") for x in ("native", "snap", "out"))
+    edge_lists.write_edge_list(customer_nation(spark, d), one)
+    table(spark, d, "nation").select(F.concat_ws(" ", "n_nationkey", F.col("n_regionkey") + 1000).alias("value")).write.text(two)
+    return edge_lists.convert_all(spark, {"stars": ("native", one), "nations": ("snap", two)}, out)
+
+
 @query("""with r as (select distinct n_nationkey::bigint as a, n_regionkey::bigint + 1000 as b from nation), i as (select a as id from r union select b from r), k as (select id, (row_number() over (order by id) - 1)::bigint as k from i)
 select least(x.k, y.k) as src, greatest(x.k, y.k) as dst from r join k x on a = x.id join k y on b = y.id""")
 def snap_reader(spark, d):
-    path = f"{shared_dir(spark)}/snap-query"
+    path = fresh_path(spark, "snap-query")
     n = table(spark, d, "nation").select(F.concat_ws("\t", "n_nationkey", F.col("n_regionkey") + 1000).alias("value"))
     n.unionAll(n.limit(0)).unionAll(spark.createDataFrame([("# comment",)], "value string")).write.mode("overwrite").text(path)
     return edge_lists.read_snap(spark, path).edges
@@ -587,7 +749,7 @@ def snap_reader(spark, d):
 
 @query("select least(n_nationkey, n_regionkey + 25)::bigint as src, greatest(n_nationkey, n_regionkey + 25)::bigint as dst from nation")
 def matrix_market_reader(spark, d):
-    path = f"{shared_dir(spark)}/mtx-query"
+    path = fresh_path(spark, "mtx-query")
     n = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("a"), (F.col("n_regionkey") + 26).alias("b"))
     body = n.select(F.lit(2).alias("k"), F.concat_ws(" ", "a", "b", F.lit("1.5")).alias("value"))
     head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "30 30 25"), (3, "4 4 1")], "k int, value string")
@@ -667,10 +829,11 @@ def instances(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderpriority").alias("graph"), F.col("o_orderstatus").alias("type")).distinct()
 
 
-@query("""with m as (select o_orderkey as run, max(struct_pack(pos := l_linenumber, line := l_partkey || ' ' || l_suppkey)) as m, bool_or(l_linenumber = 6) as late from orders left join lineitem on o_orderkey = l_orderkey and l_linenumber > 2 group by 1)
+@query("""with m as (select o_orderkey as run, max(struct_pack(pos := l_linenumber, line := l_partkey || ' ' || l_suppkey)) filter (l_linenumber % 2 = 0) as m, bool_or(l_linenumber = 6) as late from orders left join lineitem on o_orderkey = l_orderkey group by 1)
 select run, split_part(m.line, ' ', 1)::bigint as edges_cut, split_part(m.line, ' ', 2)::bigint as partitions, case when coalesce(late, false) then -1 when m.line is null then -2 else 0 end as status from m""")
 def log_parser(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber > 2").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.explode(F.array(F.concat_ws(" ", "l_partkey", "l_suppkey"), F.when(F.col("l_linenumber") == 6, "timeout").otherwise("some text"))).alias("line"))
+    numbers = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" ", "l_partkey", "l_suppkey")).otherwise("no numbers here")
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.explode(F.array(numbers, F.when(F.col("l_linenumber") == 6, "timeout").otherwise("some text"))).alias("line"))
     lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("run")).join(li.withColumnRenamed("l_orderkey", "run"), "run", "left").withColumn("line", F.coalesce("line", F.lit("")))
     return ex.parse_log(lines)
 
@@ -681,10 +844,20 @@ def potential_medians(spark, d):
     return ex.trace_medians(e, ["name"]).withColumn("potential", F.round("potential", 6))
 
 
-@query("select n_name as graph, phi, step::int as step, seed::int as seed from nation, (select unnest([0.01, 0.005, 0.0025]::double[]) as phi), (select unnest(range(9)) as step), (select unnest(range(1, 11)) as seed)")
+def _matrix_sql() -> str:
+    rows = [(kind, i, *[repr(v) if isinstance(v, str) else str(v).lower() for v in c]) for kind, table_ in (("'increments'", ex.INCREMENTS), ("'large'", ex.LARGE)) for i, c in enumerate(table_)]
+    values = ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+    names = ", ".join(ex.OPTIONS)
+    return f"""with c(kind, step, {names}) as (values {values})
+select n_name as graph, phi, kind, step::int as step, {", ".join("name" if n == "name" else f"flow_vectors::int as {n}" if n == "flow_vectors" else n for n in ex.OPTIONS)}, seed::int as seed
+from nation, (select unnest([0.01, 0.005, 0.0025]::double[]) as phi), c, (select unnest(range(1, 11)) as seed) where kind = 'increments' or seed = 1"""
+
+
+@query(_matrix_sql())
 def experiment_matrix(spark, d):
     names = [r["n_name"] for r in table(spark, d, "nation").collect()]  # 25 names
-    return ex.configurations(spark, names, [0.01, 0.005, 0.0025]).select("graph", "phi", "step", "seed")
+    phis = [0.01, 0.005, 0.0025]
+    return ex.configurations(spark, names, phis).unionAll(ex.configurations(spark, names, phis, seeds=1, kind="large"))
 
 
 # -- studies on planted graphs -------------------------------------------------------------------
@@ -692,24 +865,24 @@ def experiment_matrix(spark, d):
 
 @query()
 def study_certificate(spark, d):
-    return studies.certificate_study(spark, [0.001, 0.01], repeats=2)
+    return studies.certificate_study(spark, [0.001, 0.01])
 
 
 @query()
 def study_cut_balance(spark, d):
-    return studies.balance_study(spark, [2, 4])
+    return studies.balance_study(spark, [2, 4, 8])
 
 
 @query()
 def study_potentials(spark, d):
-    return studies.potential_study(spark, seeds=1)
+    return studies.potential_study(spark)
 
 
 @query()
 def study_expected_cut(spark, d):
-    return studies.expected_cut_study(spark, [2, 3])
+    return studies.expected_cut_study(spark, [2, 3, 5])
 
 
 @query()
 def study_iterations(spark, d):
-    return studies.iterations_study(spark, [("clique", 10), ("margulis", 3)], seeds=2)
+    return studies.iterations_study(spark, [("clique", 10), ("margulis", 3)])
