@@ -77,16 +77,18 @@ def remove_boilerplate(documents: DataFrame, *, sites: int = SITES, lg_k: int =
     # The caller's columns travel in one struct, so that none of them meets the names used here.
     df = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("row"), named("doc_id").alias("doc_id"), F.xxhash64(named("text")).alias("version"))
     df = df.join(drop, ["doc_id", "version"], "left")
+    # A row with removals has its text split once: the lambda's argument holds the lines and the places that stay.
     lines_ = F.split(F.col("row")["text"], "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col("drop"))
-    text = F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines_, i + 1)), "\n"))
+    split = F.array(F.struct(lines_.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col("drop")).alias("stay")))
+    joined = F.transform(split, lambda x: F.array_join(F.transform(x["stay"], lambda i: F.element_at(x["lines"], i + 1)), "\n"))[0]
+    df = df.select("row", "drop", F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(joined).alias("left"))
     out = []
     for c in documents.columns:
         old = F.col("row").getField(c)
         if c.lower() == "text":
-            out.append(text.alias(c))
+            out.append(F.col("left").alias(c))
         elif c.lower() == "n_chars":
-            out.append(F.when(F.col("drop").isNull(), old).otherwise(F.char_length(text)).cast("long").alias(c))
+            out.append(F.when(F.col("drop").isNull(), old).otherwise(F.char_length("left")).cast("long").alias(c))
         elif c.lower() != removed.lower():
             out.append(old.alias(c))
     return df.select(*out, F.coalesce(F.size("drop"), F.lit(0)).alias(removed))
