@@ -3,7 +3,8 @@
 All vertices act at once in a round: those with excess share it out over their admissible arcs
 (residual capacity, one height down) by a running sum over each vertex's arcs, and those without an
 admissible arc rise to one above their lowest residual neighbour.  As an admissible arc falls by
-exactly one height, an arc and its reverse are never both used in a round.
+exactly one height, an arc and its reverse are never both used in a round.  A round costs time in proportion to the
+arcs of the vertices that act in it, not to the cluster.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ class Net:
         tail, head = np.empty(2 * m, np.int64), np.empty(2 * m, np.int64)
         tail[0::2], tail[1::2], head[0::2], head[1::2] = left, right, right, left
         self.order = np.argsort(tail, kind="stable")
+        self.starts = np.searchsorted(tail[self.order], np.arange(n + 1))
         self.n, self.tail, self.head = n, tail, head
         self.cap = np.broadcast_to(np.repeat(np.asarray(cap, np.int64), 2) if np.ndim(cap) else np.int64(cap), 2 * m).copy()
         self.flow, self.congestion = np.zeros(2 * m, np.int64), np.zeros(2 * m, np.int64)
@@ -41,48 +43,58 @@ class Net:
         ok = self.alive[self.tail] & self.alive[self.head]
         return np.bincount(self.tail[ok], minlength=self.n)
 
-    def round(self, bound: int) -> bool:
-        """One round of pushes and relabels below height ``bound``; False if nothing could be done."""
-        left = self.excess()
-        active = (left > 0) & (self.height < bound)
-        if not active.any():
-            return False
-        arcs = self.order[active[self.tail[self.order]]]
-        room = self.residual()[arcs]
-        t, h = self.tail[arcs], self.head[arcs]
-        arcs, t, h, room = (x[room > 0] for x in (arcs, t, h, room))
-        down = self.height[t] == self.height[h] + 1
-        a, at, ah, ar = arcs[down], t[down], h[down], room[down]
-        if len(a):
-            total = np.cumsum(ar)
-            first = np.concatenate([[True], at[1:] != at[:-1]])
-            before = total - ar - np.repeat((total - ar)[first], np.diff(np.append(np.flatnonzero(first), len(a))))
-            push = np.clip(left[at] - before, 0, ar)
+    def round(self, bound: int, among: np.ndarray | None = None) -> np.ndarray | None:
+        """One round of pushes and relabels below height ``bound``; None if nothing could be done.
+
+        Only the vertices ``among`` (rising ids; all, if None) are looked at.  The result is those that can act in
+        the next round: the ones that acted and the ones that got something.
+        """
+        among = np.arange(self.n) if among is None else among
+        left = self.absorbed[among] - self.sink[among]
+        active = (left > 0) & (self.height[among] < bound) & self.alive[among]
+        acting, left = among[active], left[active]
+        if not len(acting):
+            return None
+        first, count = self.starts[acting], self.starts[acting + 1] - self.starts[acting]
+        place = np.repeat(np.arange(len(acting)), count)
+        arcs = self.order[np.arange(len(place)) + (first - np.cumsum(count) + count)[place]]
+        head = self.head[arcs]
+        room = self.cap[arcs] - self.flow[arcs]
+        usable = (room > 0) & self.alive[head]
+        arcs, head, room, place = arcs[usable], head[usable], room[usable], place[usable]
+        down = self.height[acting[place]] == self.height[head] + 1
+        stuck = np.ones(len(acting), bool)
+        reached = head[down]
+        if len(reached):
+            a, ar, at = arcs[down], room[down], place[down]
+            stuck[at] = False
+            before = np.cumsum(ar) - ar
+            opens = np.searchsorted(at, at)  # where each vertex's arcs begin
+            push = np.minimum(np.maximum(left[at] - (before - before[opens]), 0), ar)
             self.flow[a] += push
             self.flow[a ^ 1] -= push
-            self.absorbed -= np.bincount(at, push, self.n).astype(np.int64)
-            self.absorbed += np.bincount(ah, push, self.n).astype(np.int64)
+            np.subtract.at(self.absorbed, acting[at], push)
+            np.add.at(self.absorbed, reached, push)
         # Without an admissible arc a vertex rises to one above its lowest residual neighbour.
-        lowest = np.full(self.n, bound - 1, np.int64)
-        np.minimum.at(lowest, t, self.height[h])
-        stuck = active.copy()
-        stuck[at] = False
-        self.height[stuck] = np.maximum(self.height[stuck] + 1, np.minimum(bound, lowest[stuck] + 1))
-        return True
+        if stuck.any():
+            lowest = np.full(len(acting), bound - 1, np.int64)
+            np.minimum.at(lowest, place, self.height[head])
+            up = acting[stuck]
+            self.height[up] = np.maximum(self.height[up] + 1, np.minimum(bound, lowest[stuck] + 1))
+        return np.unique(np.concatenate([acting, reached]))
 
     def route(self, bound: int, enough: int | None = None) -> tuple[bool, bool]:
         """Rounds until no vertex below ``bound`` has excess, or ``enough`` is absorbed by sinks.
 
         Returns (was enough absorbed, is there excess left) and adds the flow to the congestion.
         """
-        reached = False
-        while self.round(bound):
-            if enough is not None and self.routed() >= enough:
-                reached = True
-                break
-        reached = reached or (enough is not None and self.routed() >= enough)
+        sinks = np.flatnonzero(self.alive & (self.sink > 0))
+        held = lambda: int(np.minimum(self.absorbed[sinks], self.sink[sinks]).sum())
+        acting = self.round(bound)
+        while acting is not None and not (enough is not None and held() >= enough):
+            acting = self.round(bound, acting)
         self.congestion += np.maximum(self.flow, 0)
-        return reached, bool(self.excess().any())
+        return enough is not None and held() >= enough, bool(self.excess().any())
 
     def routed(self) -> int:
         return int(np.minimum(self.absorbed, self.sink)[self.alive].sum())
@@ -114,8 +126,9 @@ class Net:
             self.height = self.distances(open_sinks)
             if not ((self.excess() > 0) & (self.height < self.n)).any():
                 return self.routed()
+            acting = None
             for _ in range(max(8, int(self.n**0.5))):
-                if not self.round(self.n):
+                if (acting := self.round(self.n, acting)) is None:
                     break
 
     def min_cut(self) -> np.ndarray:
@@ -139,25 +152,25 @@ class Net:
 
     def match(self, sources: np.ndarray) -> list[tuple[int, int]]:
         """Disjoint pairs (source, sink) along the flow: a walk takes one unit off each arc that it passes."""
-        flow = np.where(self.alive[self.tail] & self.alive[self.head], np.maximum(self.flow, 0), 0)
-        held = np.minimum(self.absorbed, self.sink)
-        starts = np.searchsorted(self.tail[self.order], np.arange(self.n + 1))
-        cursor, order = starts[:-1].copy(), self.order
+        carry = self.order[(self.flow[self.order] > 0) & self.alive[self.tail[self.order]] & self.alive[self.head[self.order]]]
+        cursor = np.searchsorted(self.tail[carry], np.arange(self.n + 1)).tolist()
+        ends, head, flow = cursor[1:], self.head[carry].tolist(), self.flow[carry].tolist()
+        held = np.minimum(self.absorbed, self.sink).tolist()
         pairs = []
-        for s in sources[self.alive[sources]]:
-            u = int(s)
+        for s in sources[self.alive[sources]].tolist():
+            u = s
             while held[u] <= 0:
-                while cursor[u] < starts[u + 1] and flow[order[cursor[u]]] <= 0:
+                while cursor[u] < ends[u] and flow[cursor[u]] <= 0:
                     cursor[u] += 1
-                if cursor[u] >= starts[u + 1]:
+                if cursor[u] >= ends[u]:
                     u = -1
                     break
-                a = order[cursor[u]]
+                a = cursor[u]
                 flow[a] -= 1
-                u = int(self.head[a])
+                u = head[a]
             if u >= 0:
                 held[u] -= 1
-                pairs.append((int(s), u))
+                pairs.append((s, u))
         return pairs
 
 
@@ -168,8 +181,9 @@ def blocking_rounds(net: Net, rounds: int = 2) -> int:
         open_sinks = np.flatnonzero(net.alive & (net.sink > net.absorbed))
         net.height = net.distances(open_sinks)
         longest = int(net.height[net.height < net.n].max(initial=0))
+        acting = None
         for _ in range(longest + 1):
-            if not net.round(min(net.n, longest + 1)):
+            if (acting := net.round(min(net.n, longest + 1), acting)) is None:
                 break
     net.height[:] = 0
     return net.routed() - before
