@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutweave.functions.storage import materialise
+
 
 def normalise_edges(pairs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Canonical edges: unordered, distinct, without loops or null ends."""
@@ -47,6 +49,10 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.edges.sparkSession
 
+    def written(self) -> "Graph":
+        """The same graph with its edges read from files: for uses that read them more than once."""
+        return Graph(self.vertices, materialise(self.edges, "graph-edges"))
+
     def arcs(self) -> DataFrame:
         return arcs_of(self.edges)
 

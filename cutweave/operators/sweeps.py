@@ -127,6 +127,7 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
     twentieth of the potential, the sides are x <= avg + 4l/s and x >= avg + 6l/s, with l the left side's total
     deviation.  Balanced: both sides get as many as left has; else left stops at an eighth of all.
     """
+    vector = materialise(vector.select("cluster", "eid", "x"), "sweep-vector")  # read for the averages, the sums and the ranges
     whole = vector.groupBy("cluster").agg(F.avg("x").alias("avg"), F.count("*").alias("s"))
     v = vector.join(whole, "cluster").select("cluster", "eid", "s", (F.col("x") - F.col("avg")).alias("d"))
     low, square = F.col("d") < 0, F.col("d") * F.col("d")
@@ -150,12 +151,14 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
 
 
 def average_matched(vectors: DataFrame, matching: DataFrame) -> DataFrame:
-    """Both ends of each pair of ``matching(cluster, a, b)`` get their mean in every vector; pairs are disjoint."""
-    both = matching.select("cluster", F.explode(F.array(F.struct(F.col("a").alias("e"), F.col("b").alias("p")), F.struct(F.col("b").alias("e"), F.col("a").alias("p")))).alias("m")).select("cluster", F.col("m.e").alias("eid"), F.col("m.p").alias("partner"))
-    v = vectors.join(both, ["cluster", "eid"], "left")
-    other = vectors.select("cluster", F.col("eid").alias("partner"), "k", F.col("x").alias("y"))
-    v = v.join(other, ["cluster", "partner", "k"], "left")
-    return v.select("cluster", "eid", "k", F.coalesce((F.col("x") + F.col("y")) / 2, F.col("x")).alias("x"))
+    """Both ends of each pair of ``matching(cluster, a, b)`` get their mean in every vector; pairs are disjoint.
+
+    The ends of a pair meet under its smaller id, so the vectors are shuffled twice and never joined with themselves.
+    """
+    ends = F.explode(F.array("a", "b")).alias("eid")
+    v = vectors.join(matching.select("cluster", F.least("a", "b").alias("pair"), ends), ["cluster", "eid"], "left")
+    mean = F.avg("x").over(Window.partitionBy("cluster", F.coalesce("pair", "eid"), "k"))  # two rows at most
+    return v.select("cluster", "eid", "k", F.when(F.col("pair").isNotNull(), mean).otherwise(F.col("x")).alias("x"))
 
 
 def fake_matching(terminals: DataFrame, matching: DataFrame, seed: int = 0) -> DataFrame:

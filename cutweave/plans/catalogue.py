@@ -350,7 +350,7 @@ for _name in ("e", "a", "vec", "m", "c", "rk", "pr", "q"):
 @query(MATCHED)
 def matching_average(spark, d):
     """The whole lower half of each cluster is paired with the whole upper half."""
-    v = vectors(spark, d)
+    v = materialise(vectors(spark, d), "vectors")
     return sweeps.average_matched(v, halves_of(v)).withColumn("x", F.round("x", 9))
 
 
@@ -373,7 +373,7 @@ rs as (select height, sum(delta) over w::bigint as cut, sum(g) over w::bigint as
 
 
 def heights(spark, d) -> tuple[Graph, DataFrame]:
-    g = supplier_part(spark, d)
+    g = supplier_part(spark, d).written()
     return g, g.degrees().select("id", (F.col("id") * 7919 % 23).alias("height"), F.col("deg").alias("gdeg"))
 
 
@@ -396,7 +396,7 @@ sw as (select r.cluster, r.rank, r.id, sum(coalesce(delta, 0)) over w::bigint as
 
 
 def ranked(spark, d) -> tuple[Graph, DataFrame]:
-    g = supplier_part(spark, d)
+    g = supplier_part(spark, d).written()
     return g, quarters(g).join(g.degrees(), "id").select("cluster", "id", (F.col("id") * 104729 % 1009).alias("score"), F.col("deg").alias("gdeg"))
 
 
@@ -418,7 +418,7 @@ t as (select sum(gdeg) as total, sum(case when inside then gdeg else 0 end) as v
 n as (select id, aff, total, vol, cut, cut + case when inside then -1 else 1 end * (deg - 2 * aff) as nc, vol + case when inside then -1 else 1 end * gdeg as nv from g, t)
 select id, aff::bigint as affinity, nc::bigint as new_cut, nv::bigint as new_volume, round(cut / nullif(least(vol, total - vol), 0) - nc / nullif(least(nv, total - nv), 0), 9) as gain from n""")
 def vertex_gain(spark, d):
-    g = supplier_part(spark, d)
+    g = supplier_part(spark, d).written()
     m = g.degrees().select("id", (F.col("id") % 3 == 0).alias("inside"), F.col("deg").alias("gdeg"))
     return sweeps.vertex_gains(g.arcs(), m).withColumn("gain", F.round("gain", 9))
 
@@ -462,16 +462,16 @@ s{k + 1} as (select seed, id, sum(p) as p, sum(r) as r from (
 
 @query(_ppr_sql(3))
 def ppr_rounds(spark, d):
-    g = supplier_part(spark, d)
+    g = supplier_part(spark, d).written()
     seeds = g.vertices.where("id in (2, 3)").select(F.col("id").alias("seed"))
-    out = traversal.personalised_pagerank(materialise(g.arcs(), "arcs"), g.degrees(), seeds, eps=1e-6, rounds=3)
+    out = traversal.personalised_pagerank(materialise(g.arcs(), "arcs"), materialise(g.degrees(), "degrees"), seeds, eps=1e-6, rounds=3)
     return out.select("seed", "id", F.round("p", 9).alias("p"), F.round("r", 9).alias("r"))
 
 
 @query(SP + " select id as seed, 1.0::double as mass, 0::bigint as active from vtx where id in (2, 3)")
 def ppr_converged(spark, d):
     """The run to its end: nothing of the mass is lost, and no residual is above eps * degree."""
-    g = supplier_part(spark, d)
+    g = supplier_part(spark, d).written()
     arcs, deg = materialise(g.arcs(), "arcs"), materialise(g.degrees(), "degrees")
     out = traversal.personalised_pagerank(arcs, deg, g.vertices.where("id in (2, 3)").select(F.col("id").alias("seed")), eps=1e-5).join(deg, "id")
     return out.groupBy("seed").agg(F.round(F.sum(F.col("p") + F.col("r")), 9).alias("mass"), F.count_if(F.col("r") >= 1e-5 * F.col("deg")).alias("active"))
