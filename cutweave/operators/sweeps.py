@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import materialise, scratch
+from cutweave.functions.storage import discard, materialise, scratch
 
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -143,6 +143,7 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
     keys, order = ["cluster", "side"], [F.desc(F.abs("d")), F.col("eid")]
     with scratch() as own:
         rows = own.keep(dealt(v, keys, order))
+    discard(vector)
     sizes = rows.groupBy("cluster").agg(F.count_if(F.col("side") == "L").alias("nl"), F.count_if(F.col("side") == "R").alias("nr"))
     ranked = running(rows, keys, order, {}, "rank").join(sizes, "cluster")
     left = F.least("nl", "nr") if balanced else F.least(F.floor(F.col("s") / 8), F.col("nl"), F.col("nr"))
