@@ -10,8 +10,10 @@ Training: word counts are a distributed aggregation over all training documents.
 (two bytes a token) and dealt by a hash of their rows into shards and rounds.  A starting unit is learnt on a
 few documents; in every round each shard learns on its own documents by backpropagation through
 windows of WINDOW tokens, in the order of the hashes, and the shards' weights are averaged, weighted by tokens.  All
-documents are learnt from once, and as shards don't follow partitions, scores don't depend on the layout.  Scoring
-carries the state from window to window through a whole document.
+documents are learnt from once, and as shards don't follow partitions, weights don't depend on the layout.  Scoring
+carries the state from window to window through a whole document; its matrix products are exact sums, so that
+a document's score doesn't depend on its neighbours.  Only the sums over rare words, made by Spark, may differ by the
+rounding of doubles.
 Words too rare for the broadcast table (whose size is bounded) get their counts by a join.
 """
 
@@ -41,17 +43,23 @@ FIRST_BUCKET = MEMBERS - BUCKETS
 HIDDEN, WINDOW, LANES = 16, 16, 512
 #: Rows of class scores that are held at once, so that they stay in a core's cache, and states whose softmaxes are worked out together.
 ROWS, STATES = 4_096, 32_768
+#: Scoring rounds states and weights to multiples of these; weights are kept within 16.  See ``_product``.
+STATE_UNIT, WEIGHT_UNIT = 2.0**-24, 2.0**-20
 #: Training cuts documents into stretches of this many tokens, each from the zero state; all are learnt from.
 STRETCH = 1024
 #: Tokens that are learnt from together, and tokens of a shard until there are SHARDS of them; then shards grow.
-GROUP, SHARD_TOKENS, SHARDS = 524_288, 1_500_000, 4_096
+GROUP, SHARD_TOKENS, SHARDS = 524_288, 1_500_000, 65_536
+#: Shards whose weights are summed by one task before the sums are.
+SUMMED = 256
+#: Ranges of counts that are counted at once when the least count of the broadcast words is sought.
+RANGES = 1_024
 #: Times that the shards' weights are averaged.
 ROUNDS = 3
 #: Pieces in which weights are averaged.
 PIECES = 32
 #: Words with counts that are broadcast, at most: 12 bytes each.
 HEAD = 1_000_000
-#: Documents whose tokens the starting weights are learnt from.
+#: Documents of which one stretch each is what the starting weights are learnt from.
 START = 256
 #: Bytes of text whose words are held at once, and tokens whose documents are scored side by side.
 SLICE, SIDE_BY_SIDE = 4 << 20, 3_000_000
@@ -184,9 +192,15 @@ class Gru:
             out.m[:] = np.log(each) - np.log(each.sum(axis=1, keepdims=True))
         return out
 
+    def fixed(self) -> "Gru":
+        """The same unit for scoring: what it multiplies states by gives exact products."""
+        out = Gru(self.flat)
+        out.U, out.O, out.M = _fixed(out.U), _fixed(out.O), _fixed(out.M)
+        return out
+
     def step(self, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The state after member ``y``, with what backpropagation needs."""
-        a = s @ self.U
+        a = _product(s, self.U)
         x = self.X[y]
         gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + x[:, : 2 * HIDDEN])))
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
@@ -206,6 +220,7 @@ class Gru:
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """log10 of the members' probability of each document, its state carried through all windows."""
+        unit = self.fixed()
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         lengths = np.array([len(documents[i]) for i in order], np.int64)
         total = np.zeros(len(order))
@@ -222,20 +237,36 @@ class Gru:
             tokens.append(y)
             rows += active
             if rows >= STATES or t + 1 == lengths[0]:
-                logs, at = self.log_probabilities(np.concatenate(states), np.concatenate(tokens)), 0
+                logs, at = unit.log_probabilities(np.concatenate(states), np.concatenate(tokens)), 0
                 for y_ in tokens:
                     total[: len(y_)] += logs[at : at + len(y_)]
                     at += len(y_)
                 states, tokens, rows = [], [], 0
-            s = self.step(s, y)[0]
+            s = unit.step(s, y)[0]
         out = np.empty(len(order))
         out[order] = total / math.log(10)
         return out
 
 
+def _fixed(weights: np.ndarray) -> np.ndarray:
+    """Weights as multiples of WEIGHT_UNIT within 16, for exact products."""
+    return np.clip(np.rint(weights.astype(float) / WEIGHT_UNIT) * WEIGHT_UNIT, -16, 16)
+
+
+def _product(states: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``states @ weights``; with weights from ``_fixed`` the exact sums of states rounded to STATE_UNIT, as float32.
+
+    A library rounds the sums of one row differently at another place or in a table of another size.  Here states are within 1
+    and each sum has 16 addends, so all are multiples of 2**-44 below 2**9: double precision holds them exactly, in any order.
+    """
+    if weights.dtype == np.float32:
+        return states @ weights
+    return (np.rint(states / np.float32(STATE_UNIT)).astype(float) * STATE_UNIT @ weights).astype(np.float32)
+
+
 def _scores(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Scores before the softmax; kept within 60, so that sums of their exponentials fit into float32."""
-    e = states @ weights
+    e = _product(states, weights)
     e += bias
     return np.clip(e, -60, 60, out=e)
 
@@ -244,7 +275,7 @@ def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own:
     e = _scores(states, weights, bias)
     mine = e[np.arange(len(e)), own].astype(float)
     np.exp(e, out=e)
-    return mine - np.log(e @ np.ones(e.shape[1], np.float32))
+    return mine - np.log(e.sum(axis=1))
 
 
 def _softmax_slope(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -358,19 +389,40 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         yield texts.slice(a, b - a)
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least n such that at most ``most`` rows of ``counts(n)`` have n or more; counts of any size.
+
+    Rows are counted by powers of two, then by ranges of the power in which the limit is passed, and so on: at most
+    RANGES numbers at a time.
+    """
+    bits = F.length(F.bin("n")).cast("long")
+    low, high, kept = 1, 1 << 62, 0
+    classes = {r["c"]: r["k"] for r in counts.groupBy(bits.alias("c")).agg(F.count("*").alias("k")).collect()}
+    for c in sorted(classes, reverse=True):
+        if kept + classes[c] > most:
+            low, high = 1 << (c - 1), 1 << c
+            break
+        kept += classes[c]
+    else:
+        return 1
+    while high - low > 1:
+        step = -(-(high - low) // RANGES)
+        inside = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.expr(f"(n - {low}) div {step}").alias("c")).agg(F.count("*").alias("k"))
+        for c, k in sorted(((r["c"], r["k"]) for r in inside.collect()), reverse=True):
+            if kept + k > most:
+                low, high = low + c * step, min(high, low + (c + 1) * step)
+                break
+            kept += k
+    return high
+
+
 def lexicon(training: DataFrame, *, head: int = HEAD) -> tuple[Lexicon, DataFrame]:
     """Counts over all of ``training(text)``; also the table (word, n) of the words left out of the broadcast."""
     counts = training.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     counts = materialise(counts, "lm-counts")
     ends = training.count()
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # How many words were seen n times or more: with the distinct n's up to a bound, then none needs more.
-    above = counts.select(F.least("n", F.lit(100_000)).alias("n")).groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-    cutoff, kept = 100_001, 0
-    for row in above:
-        if kept + row["k"] > head:
-            break
-        kept, cutoff = kept + row["k"], row["n"]
+    cutoff = least_count(counts, head)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,16 +512,32 @@ def _learn(start: np.ndarray, rate: float, passes: int):
     return run
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    """The shards' mean of one piece of the weights, weighted by tokens; shards in their order."""
-    order = np.argsort(table.column("shard").to_numpy())
-    w = np.stack([np.frombuffer(x, np.float32) for x in table.column("w").to_pylist()])[order].astype(float)
-    n = table.column("n").to_numpy()[order].astype(float)
-    return pa.table({"piece": table.column("piece")[:1], "w": pa.array([((w * n[:, None]).sum(axis=0) / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+def _mean(kind: type):
+    """The mean of one piece of the weights over rows (shard, piece, w, n), weighted by tokens; shards in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("shard").to_numpy())
+        w = np.stack([np.frombuffer(x, kind) for x in table.column("w").to_pylist()])[order].astype(float)
+        n = table.column("n").to_numpy()[order].astype(float)
+        mean = (w * n[:, None]).sum(axis=0) / n.sum()
+        shard = table.column("shard").to_numpy().min() // SUMMED
+        return pa.table({"shard": pa.array([shard], pa.int32()), "piece": table.column("piece")[:1], "w": pa.array([mean.tobytes()], pa.binary()), "n": pa.array([int(n.sum())], pa.int64())})
+
+    return run
+
+
+def _mean_of_shards(learnt: DataFrame) -> list:
+    """(piece, w) as doubles: means of SUMMED shards each, then the means of those."""
+    schema = "shard int, piece int, w binary, n long"
+    some = learnt.groupBy("piece", F.expr(f"shard div {SUMMED}").alias("part")).applyInArrow(_mean(np.float32), schema)
+    return some.groupBy("piece").applyInArrow(_mean(np.float64), schema).select("piece", "w").collect()
 
 
 def train(training: DataFrame, lex: Lexicon, *, seed: int = 0, start_rate: float = 0.02, rate: float = 0.006, rounds: int = ROUNDS, start: int = START) -> np.ndarray:
-    """The weights that ROUNDS of learning on all of ``training(h, text)`` leave; ``h`` is a hash of the row."""
+    """The weights that ROUNDS of learning on all of ``training(h, text)`` leave; ``h`` is a hash of the row.
+
+    A shard is a task.  A task reads 1,500,000 tokens until there are SHARDS of them, at 1e11 tokens; then tasks grow.
+    """
     shared = training.sparkSession.sparkContext.broadcast(lex)
     weights = Gru.fresh(seed, lex.member_tokens).flat
     shards = min(SHARDS, math.ceil(lex.tokens / SHARD_TOKENS))
@@ -479,15 +547,17 @@ def train(training: DataFrame, lex: Lexicon, *, seed: int = 0, start_rate: float
         coded = training.select("h", "text").mapInArrow(_coded(shared), "h long, members binary")
         coded = coded.withColumn("round", F.pmod(F.shiftright("h", 40), F.lit(rounds)).cast("int")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
         coded = materialise(coded, "lm-members", by=("round",))
-        # The starting documents, ``start`` rows at most, are one shard.
-        first = coded.orderBy("h", "members").limit(start).select(F.lit(0).alias("shard"), "h", "members")
+        # The starting documents are one shard: ``start`` rows at most, of each one stretch, by its hash.
+        size = 2 * STRETCH
+        stretch = F.expr(f"substring(members, cast(pmod(shiftright(h, 20), ceil(length(members) / {size})) * {size} + 1 as int), {size})")
+        first = coded.select("h", stretch.alias("members")).orderBy("h", "members").limit(start).select(F.lit(0).alias("shard"), "h", "members")
         steps = [(first.coalesce(1).sortWithinPartitions("h", "members"), start_rate, 4)]
-        steps += [(coded.where(F.col("round") == r).select("shard", "h", "members").repartition("shard").sortWithinPartitions("shard", "h", "members"), rate, 1) for r in range(rounds)]
+        steps += [(coded.where(F.col("round") == r).select("shard", "h", "members").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "members"), rate, 1) for r in range(rounds)]
         for rows, speed, passes in steps:
             learnt = rows.select("shard", "members").mapInArrow(_learn(weights, speed, passes), "shard int, piece int, w binary, n long")
-            found = {r["piece"]: r["w"] for r in learnt.groupBy("piece").applyInArrow(_mean, "piece int, w binary").collect()}  # one set of weights
+            found = {r["piece"]: r["w"] for r in _mean_of_shards(learnt)}  # one set of weights
             if found:
-                weights = np.concatenate([np.frombuffer(found[k], np.float32) for k in range(PIECES)])
+                weights = np.concatenate([np.frombuffer(found[k], np.float64) for k in range(PIECES)]).astype(np.float32)
     return weights
 
 

@@ -645,9 +645,10 @@ def test_lm_scores_equal_brute_force_and_ignore_the_layout(spark, sf_dir, monkey
     seen = []
     real = language_model.train
     monkeypatch.setattr(language_model, "train", lambda training, lex, **kw: seen.append((lex, w := real(training, lex, **kw))) or w)
-    runs = [language_model.score(df.repartition(n), head=60).toPandas().sort_values(["doc_id", "n_tokens", "score"]).reset_index(drop=True) for n in (2, 7)]
-    pd.testing.assert_frame_equal(runs[0], runs[1], rtol=1e-9)
-    assert np.array_equal(seen[0][1], seen[1][1])
+    runs = [language_model.score(df.repartition(n), head=60).toPandas().sort_values(["doc_id", "n_tokens", "score"]).reset_index(drop=True) for n in (2, 7, 31)]
+    for k in (1, 2):
+        assert np.array_equal(seen[0][1], seen[k][1])
+        pd.testing.assert_frame_equal(runs[0], runs[k], rtol=1e-12)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     want = pd.DataFrame({"doc_id": [i for i, _ in docs], "want": brute_lm([t for _, t in docs], [t for i, t in docs if not held(i)], *seen[0])})
     key = lambda f, c: sorted(zip(f["doc_id"].fillna(-1), f[c].round(1)))
@@ -656,6 +657,27 @@ def test_lm_scores_equal_brute_force_and_ignore_the_layout(spark, sf_dir, monkey
         assert i == j and a == pytest.approx(b, rel=1e-3, abs=0.2)
 
 
+def test_lm_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(3)
+    gru = language_model.Gru(language_model.Gru.fresh(1).flat * 2)
+    docs = [rng.integers(0, language_model.MEMBERS, int(n)).astype(np.uint16) for n in rng.integers(1, 400, 60)]
+    together, alone = gru.score(docs), [gru.score([d])[0] for d in docs]
+    assert np.array_equal(together, alone) and np.array_equal(together[::-1], gru.score(docs[::-1]))
+
+
+def test_lm_least_count_holds_its_bound_for_any_counts(spark):
+    rng = np.random.default_rng(5)
+    n = [*rng.integers(1, 40, 300).tolist(), *rng.integers(99_990, 100_060, 50).tolist(), *[10**15 + int(k) for k in rng.integers(0, 5_000, 40)], 10**15, 10**15]
+    df = make(spark, [(int(x),) for x in n], "n long")
+    for most in (0, 1, 2, 41, 42, 60, 92, 200, 391, 392, 500):
+        want = next(c for c in sorted({1, *[x + 1 for x in n]}) if sum(x >= c for x in n) <= most)
+        got = language_model.least_count(df, most)
+        assert sum(x >= got for x in n) == sum(x >= want for x in n) and got >= 1, (most, got, want)
+    words = make(spark, [("aa " * 100_050 + "bb " * 100_050 + "cc " * 100_050 + "dd",)], "text string")
+    lex, rare = language_model.lexicon(words, head=2)
+    assert len(lex.words) == 0 and rare.count() == 4
+
+
 def test_lm_beats_unigrams_on_held_out(spark):
     rng = np.random.default_rng(0)
     langs = [[f"{a}{b}{e}" for a in "kmt" for b in "aeiou"] for e in ("na", "ix", "ul")]
