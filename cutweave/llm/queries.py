@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import table
-from cutweave.llm import bpe, chat, embeddings, fingerprints, jaccard, language_model, line_dedup, mixing, quality, url_filter
+from cutweave.llm import bpe, chat, divergence, embeddings, fingerprints, jaccard, language_model, line_dedup, mixing, passages, periodic, quality, url_filter
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIX_WEIGHTS = (5, 2, 1)
@@ -127,11 +127,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= QUALITY_SCORE, 1).otherwise(0).alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row_no, text from documents),
+w as (select lang, source, row_no, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+o as (select lang, source, row_no, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from w),
+k as (select lang, term, count(*) as n from o group by lang, term having count(distinct row_no) >= 3),
+v as (select lang, count(*) as terms, sum(n) as total from k group by lang),
+c as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by lang, source, term),
+g as (select lang, source, coalesce(any_value(terms), 0) as terms, coalesce(sum(n), 0) as total
+      from (select distinct lang, source from d) left join v using (lang) left join c using (lang, source) group by lang, source),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000 * (coalesce(c.n, 0) + 1)::hugeint) // (g.total + g.terms))::hugeint as p
+      from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, (1 + (1000000000 * (n + 1)::hugeint) // (total + terms))::hugeint as q from k join v using (lang)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+s as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all
+      select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank from s)
+select * from r where part = 'pair' or rank <= 200"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), periodic.with_tandem(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.digests(periodic.periodic_runs(docs).drop("text"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_ngram_jaccard_join, op3_line_dedup, op4_bpe_encoding, op5_embedding_near_dedup,
         op6_source_mixing, op7_document_fingerprints, op8_lm_scoring, op9_chat_formatting, op10_quality_classifier,
+        op11_source_divergence, op12_periodic_runs, op13_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op11_source_divergence": OP11_SQL}
