@@ -15,7 +15,7 @@ from cutweave.operators import components as cc
 from cutweave.operators import decompose as dec
 from cutweave.operators import experiments as ex
 from cutweave.operators import graph as gr
-from cutweave.operators import heuristics, outcomes, studies, sweeps, traversal
+from cutweave.operators import heuristics, outcomes, studies, sweeps, table_flow, traversal
 from cutweave.operators.cut_matching import Cluster, Outcome, Parameters, trim, trim_fake
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
@@ -526,6 +526,120 @@ def unit_flow_value(spark, d):
     return _per_cluster(spark, d, work, "cluster long, sources long, routed long, pairs long, excess_left boolean")
 
 
+# -- flow over tables ----------------------------------------------------------------------------
+
+#: Arcs of a block in the queries: a quarter of the graph is several blocks on each of the data folders.
+QUARTER_BLOCK = 2_000
+INNER = SP + """, i as (select x.cluster, src, dst from e join a x on x.id = src join a y on y.id = dst where x.cluster = y.cluster),
+ends as (select cluster, src as id from i union all select cluster, dst from i), size as (select cluster, id, count(*)::bigint as deg from ends group by cluster, id)"""
+
+
+def _quarter_flow(spark, d, cap: int, absorbed, sink, bound: int = 0) -> tuple[table_flow.Flow, DataFrame]:
+    """A flow over the edges inside each quarter, and its start (id, cluster, deg, absorbed, sink, bound); columns as functions of id and deg."""
+    g = supplier_part(spark, d)
+    inner = materialise(gr.labelled_edges(g, quarters(g)).where("cs = cd").select(F.col("cs").alias("cluster"), "src", "dst"), "quarter-edges")
+    deg = inner.select("cluster", F.explode(F.array("src", "dst")).alias("id")).groupBy("cluster", "id").agg(F.count("*").alias("deg"))
+    start = materialise(deg.select("id", "cluster", "deg", absorbed.cast("long").alias("absorbed"), sink.cast("long").alias("sink"), F.lit(bound).alias("bound")), "quarter-start")
+    return table_flow.lay_out(inner.select("src", "dst", F.lit(cap).alias("cap")), start, block_arcs=QUARTER_BLOCK), start
+
+
+def _flow_checks(state: table_flow.Flow, start: DataFrame) -> DataFrame:
+    """Per cluster: units offered, those that sinks hold, those left; vertices whose balance is wrong and arcs over capacity or unlike their reverse."""
+    arcs = state.arcs()
+    sent = arcs.groupBy(F.col("u").alias("id")).agg(F.sum("flow").alias("sent"))
+    now = state.nodes().select("id", F.col("absorbed").alias("held"), "height")
+    n = start.join(now, "id", "left").join(sent, "id", "left")
+    right = F.col("held") == F.col("absorbed") - F.coalesce("sent", F.lit(0))
+    per = n.groupBy("cluster").agg(F.sum("absorbed").alias("offered"), F.sum(F.least("held", "sink")).alias("routed"), F.sum(F.greatest(F.lit(0), F.col("held") - F.col("sink"))).alias("left_over"), F.count_if(~F.coalesce(right, F.lit(False))).alias("balance_errors"))
+    back = arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("flow").alias("back"))
+    bad = (F.abs("flow") > F.col("cap")) | F.coalesce(F.col("flow") + F.col("back") != 0, F.lit(True))
+    wrong = arcs.join(back, ["u", "v"], "left").join(start.select(F.col("id").alias("u"), "cluster"), "u").groupBy("cluster").agg(F.count_if(bad).alias("arc_errors"))
+    return per.join(wrong, "cluster")
+
+
+@query(INNER + """ select cluster, sum(deg) filter (id % 2 = 0)::bigint as offered, count(*) filter (id % 2 = 1)::bigint as routed, (sum(deg) filter (id % 2 = 0) - count(*) filter (id % 2 = 1))::bigint as left_over,
+  0::bigint as balance_errors, 0::bigint as arc_errors, 0::bigint as steep_arcs, 0::bigint as not_at_bound from size group by cluster""")
+def bounded_flow_blocks(spark, d):
+    """Each supplier offers a unit an edge, each part takes one: all parts are served, and what is left stands at the bound, no arc with room falling by two."""
+    state, start = _quarter_flow(spark, d, 2, F.when(F.col("id") % 2 == 0, F.col("deg")).otherwise(0), F.col("id") % 2, bound=6)
+    state = table_flow.route(state)
+    high = state.nodes().select("id", "height", "absorbed", "sink")
+    arcs = state.arcs().where("cap > flow").join(high.select(F.col("id").alias("u"), F.col("height").alias("hu")), "u").join(high.select(F.col("id").alias("v"), F.col("height").alias("hv")), "v")
+    steep = arcs.join(start.select(F.col("id").alias("u"), "cluster"), "u").groupBy("cluster").agg(F.count_if(F.col("hu") > F.col("hv") + 1).alias("steep_arcs"))
+    low = high.join(start.select("id", "cluster", "bound"), "id").groupBy("cluster").agg(F.count_if((F.col("absorbed") > F.col("sink")) & (F.col("height") != F.col("bound"))).alias("not_at_bound"))
+    return _flow_checks(state, start).join(steep, "cluster").join(low, "cluster")
+
+
+@query(INNER + " select cluster, sum(deg) filter (id % 2 = 0)::bigint as offered, 0::bigint as lost, 0::bigint as balance_errors, 0::bigint as arc_errors, 0::bigint as value_minus_cut, 0::bigint as open_arcs_over_cut from size group by cluster")
+def max_flow_blocks(spark, d):
+    """A maximum flow from suppliers, who offer a unit an edge, to parts, who take up to three: its value is the capacity of the cut around what the excess reaches."""
+    state, start = _quarter_flow(spark, d, 2, F.when(F.col("id") % 2 == 0, F.col("deg")).otherwise(0), F.when(F.col("id") % 2 == 1, 1 + F.col("id") % 3).otherwise(0))
+    state = table_flow.max_flow(state)
+    side = materialise(table_flow.reach(state).withColumn("near", F.lit(True)), "flow-side")
+    n = start.join(side, "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    at = n.select("id", "near")
+    over = state.arcs().join(n.select(F.col("id").alias("u"), "cluster", F.col("near").alias("nu")), "u").join(at.select(F.col("id").alias("v"), F.col("near").alias("nv")), "v").where("nu and not nv")
+    crossing = over.groupBy("cluster").agg(F.sum("cap").alias("crossing"), F.count_if(F.col("cap") > F.col("flow")).alias("open"))
+    ends = n.groupBy("cluster").agg(F.sum(F.when(F.col("near"), F.col("sink")).otherwise(F.col("absorbed"))).alias("ends"))
+    out = _flow_checks(state, start).join(ends, "cluster").join(crossing, "cluster", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return out.select("cluster", "offered", (F.col("offered") - F.col("routed") - F.col("left_over")).alias("lost"), "balance_errors", "arc_errors", (F.col("routed") - F.col("ends") - none("crossing")).alias("value_minus_cut"), none("open").alias("open_arcs_over_cut"))
+
+
+@query(INNER + " select cluster, count(*) filter (id % 2 = 0 and id % 8 < 4)::bigint as offered, 0::bigint as balance_errors, 0::bigint as arc_errors, 0::bigint as ways_left from size group by cluster")
+def blocking_flow_blocks(spark, d):
+    """After a blocking flow no supplier with a unit left is as near to an open part as the nearest were before."""
+    state, start = _quarter_flow(spark, d, 1, F.when((F.col("id") % 2 == 0) & (F.col("id") % 8 < 4), 1).otherwise(0), F.when((F.col("id") % 2 == 1) & (F.col("id") % 3 == 0), 1).otherwise(0))
+    near = lambda s: s.nodes().where("absorbed > sink").join(start.select("id", "cluster"), "id").groupBy("cluster")
+    state = table_flow.relabel(state)
+    before = materialise(near(state).agg(F.min("height").alias("before")), "flow-before")
+    state = table_flow.blocking_flow(state)
+    checks = materialise(_flow_checks(state, start), "flow-checks")
+    after = table_flow.relabel(state)
+    left = after.nodes().where("absorbed > sink").join(start.select("id", "cluster"), "id").join(before, "cluster")
+    ways = left.groupBy("cluster").agg(F.count_if(F.col("height") <= F.col("before")).alias("ways"))
+    return checks.join(ways, "cluster", "left").select("cluster", "offered", "balance_errors", "arc_errors", F.coalesce("ways", F.lit(0).cast("long")).alias("ways_left"))
+
+
+@query(INNER + " select cluster, count(*) filter (id % 2 = 0)::bigint as sources, 0::bigint as pairs_minus_routed, 0::bigint as repeated_sources, 0::bigint as repeated_sinks, 0::bigint as not_sinks from size group by cluster")
+def flow_pairs(spark, d):
+    """Suppliers with a unit each are paired with parts, of which each seventh takes one, along the flow."""
+    state, start = _quarter_flow(spark, d, 1, (F.col("id") + 1) % 2, F.when((F.col("id") % 2 == 1) & (F.col("id") % 7 == 0), 1).otherwise(0), bound=60)
+    state = table_flow.route(state, lift=True)
+    sources = start.where("absorbed = 1").select("id")
+    pairs = table_flow.matched(state, sources)
+    of = pairs.join(start.select(F.col("id").alias("source"), "cluster"), "source").join(start.select(F.col("id").alias("sink"), F.col("sink").alias("takes")), "sink", "left")
+    per = of.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct("sink").alias("n_sinks"), F.count_if(F.coalesce("takes", F.lit(0)) != 1).alias("not_sinks"))
+    out = _flow_checks(state, start).join(per, "cluster", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return out.select("cluster", F.col("offered").alias("sources"), (none("n") - F.col("routed")).alias("pairs_minus_routed"), (none("n") - none("n_sources")).alias("repeated_sources"), (none("n") - none("n_sinks")).alias("repeated_sinks"), none("not_sinks").alias("not_sinks"))
+
+
+REGIONS = """with f as (select n_regionkey, min(n_nationkey) as heavy from nation group by n_regionkey),
+s as (select n.n_regionkey as region, n.n_nationkey as nation, n.n_nationkey = f.heavy as heavy, count(c_custkey)::bigint as n, count(c_custkey) filter (n.n_nationkey = f.heavy and c_custkey % 2 = 0)::bigint as gone
+      from nation n join f on n.n_regionkey = f.n_regionkey left join customer on c_nationkey = n.n_nationkey group by all),
+t as (select *, 4 * gone > (n + 1) + (n - gone) + 4 as cut from s)"""
+
+
+@query(REGIONS + " select (3 * region + 1)::bigint as cluster, sum(gone)::bigint as gone, (1 + sum(case when cut then 0 else 1 + n - gone end))::bigint as kept, bool_or(cut) as is_cut from t group by region")
+def trim_regions(spark, d):
+    """Regions, their nations and customers as trees; every second customer of each region's first nation leaves.  What its own star can't take of
+    2 / phi = 4 units an edge leaves the star by one edge; a star with more goes as a whole, the rest stays."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    up = nation.select((3 * F.col("n_nationkey").cast("long") + 2).alias("u"), (3 * F.col("n_regionkey").cast("long") + 1).alias("v"))
+    low = customer.select((3 * F.col("c_custkey").cast("long")).alias("u"), (3 * F.col("c_nationkey").cast("long") + 2).alias("v"))
+    g = Graph.from_pairs(up.unionAll(low)).written()
+    region = nation.select((3 * F.col("n_nationkey").cast("long") + 2).alias("nation"), (3 * F.col("n_regionkey").cast("long") + 1).alias("cluster"))
+    of = low.select(F.col("u").alias("id"), F.col("v").alias("nation")).join(region, "nation").select("id", "cluster")
+    of = of.unionAll(region.select(F.col("nation").alias("id"), "cluster")).unionAll(region.select(F.col("cluster").alias("id"), "cluster").distinct())
+    members = materialise(of.join(g.degrees().withColumnRenamed("deg", "gdeg"), "id"), "trim-members")
+    first = region.groupBy("cluster").agg(F.min("nation").alias("v"))
+    gone = materialise(low.join(first, "v").where((F.col("u") / 3).cast("long") % 2 == 0).select(F.col("u").alias("id")), "trim-gone")
+    kept = table_flow.trim(g.edges, members, gone, 0.5, block_arcs=QUARTER_BLOCK)
+    per = members.join(kept.withColumn("kept", F.lit(1)), "id", "left").join(gone.withColumn("gone", F.lit(1)), "id", "left").groupBy("cluster").agg(F.count("gone").alias("gone"), F.count("kept").alias("kept"), F.count("*").alias("n"))
+    return per.select("cluster", "gone", "kept", (F.col("gone") + F.col("kept") < F.col("n")).alias("is_cut"))
+
+
 # A star of n leaves (customers) around a nation is small enough to say what every kernel must give.
 STARS = """with s as (select 2 * c_nationkey::bigint + 1 as cluster, c_nationkey::bigint as nation, count(*)::bigint as n,
   sum(least(c_custkey % 4, 2))::bigint as offered, count(*) filter (c_custkey % (case when c_nationkey % 2 = 0 then 2 else 4 end) = 0)::bigint as gone from customer group by c_nationkey)"""
