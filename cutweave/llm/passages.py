@@ -6,8 +6,8 @@ the consecutive windows that picked it, its segment: up to LENGTH - SEED words f
 
 1. Anchors are counted; those that occur twice are marked in a filter.
 2. Segments of marked anchors meet by anchor and by a hash of the whole extension.  Equal ones repeat as a whole.
-3. Where the segments of an anchor differ, they repeat in part: there each way of extending the anchor to LENGTH words is compared,
-   j words to the left and the rest to the right, by 128-bit hashes.
+3. Where the segments of an anchor differ, they may repeat in part: there each way of extending the anchor to LENGTH words is compared,
+   j words to the left and the rest to the right, by 128-bit hashes.  Of equal segments one stands for all.
 
 Windows that repeat are joined to maximal passages.  Documents are known by a 128-bit hash of their text, so each pass may read
 them anew: no row numbers are needed, and texts are shuffled once, to meet their passages.  No pairs of places are made.
@@ -126,7 +126,10 @@ def _anchors(length: int, seed: int):
 
 
 def _marked(shared, length: int, seed: int, windows: bool):
-    """(k1, k2, text) -> segments (h, g, k1, k2, start, more) of marked anchors, or their windows (w1, w2, k1, k2, start)."""
+    """(k1, k2, text) -> segments (h, g, k1, k2, start, more, place) of marked anchors, or windows (w1, w2, k1, k2, start) of marked segments.
+
+    h is of the anchor, g of the segment and how it lies about the anchor, place of g and where it stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -134,25 +137,28 @@ def _marked(shared, length: int, seed: int, windows: bool):
             keys = [batch.column(k).to_numpy() for k in (0, 1)]
             for a, texts in slices(batch.column(2)):
                 offsets, words = _word_hashes(texts)
-                hashes = Hashes(words, _BASES[0])
+                hashes, other = Hashes(words, _BASES[0]), Hashes(mixed(words ^ _BASES[1]), _BASES[1])
                 s = segments(offsets, hashes, length, seed)
-                some = np.flatnonzero(_through(bits, s.anchor))
+                lies = mixed(((s.lead << 32) + s.more).astype(np.uint64))
+                kind = mixed(other.of(s.at, s.more + length) ^ lies)
+                place = kind
+                for part in (*(k[a + s.text].view(np.uint64) for k in keys), s.start.astype(np.uint64)):
+                    place = mixed(place * _BASES[0] + part)
+                some = np.flatnonzero(_through(bits, kind) | _through(bits, place) if windows else _through(bits, s.anchor))
                 if not len(some):
                     continue
                 text, start, at, more = s.text[some], s.start[some], s.at[some], s.more[some]
                 if windows:
                     each = np.repeat(np.arange(len(some)), more + 1)
                     step = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                    other = Hashes(mixed(words ^ _BASES[1]), _BASES[1])
                     text, start, at = text[each], start[each] + step, at[each] + step
                     names, columns = ["w1", "w2"], [hashes.of(at, length), other.of(at, length)]
                 else:
-                    place = mixed(((s.lead[some] << 32) + more).astype(np.uint64))
-                    names, columns = ["h", "g"], [s.anchor[some], mixed(Hashes(mixed(words ^ _BASES[1]), _BASES[1]).of(at, more + length) ^ place)]
+                    names, columns = ["h", "g"], [s.anchor[some], kind[some]]
                 columns = [pa.array(c.view(np.int64)) for c in columns] + [pa.array(k[a + text]) for k in keys] + [pa.array(start.astype(np.int32))]
                 if not windows:
-                    columns.append(pa.array(more.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "k1", "k2", "start", *([] if windows else ["more"])])
+                    columns += [pa.array(more.astype(np.int32)), pa.array(place[some].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "k1", "k2", "start", *([] if windows else ["more", "place"])])
         hand_back()
 
     return run
@@ -171,11 +177,13 @@ def repeated_spans(texts: DataFrame, *, length: int = LENGTH, seed: int = SEED)
     sc = texts.sparkSession.sparkContext
     counted = texts.select("text").mapInArrow(_anchors(length, seed), "h long").groupBy("h").agg(F.count("*").alias("n"))
     twice = filter_of(counted.where("n > 1"))
-    found = texts.mapInArrow(_marked(sc.broadcast(twice), length, seed, False), "h long, g long, k1 long, k2 long, start int, more int")
+    found = texts.mapInArrow(_marked(sc.broadcast(twice), length, seed, False), "h long, g long, k1 long, k2 long, start int, more int, place long")
     found = materialise(found, "passage-segments")
-    kinds = materialise(found.groupBy("h", "g").agg(F.count("*").alias("n")), "passage-kinds")
+    kinds = materialise(found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("place")), "passage-kinds")
     whole = found.join(kinds.where("n > 1").select("h", "g"), ["h", "g"]).select("k1", "k2", "start", (F.col("start") + F.col("more") + length).alias("stop")).distinct()
-    differing = filter_of(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    one = F.when(F.col("n") == 1, F.col("g")).otherwise(F.col("place"))
+    differing = filter_of(kinds.join(several, "h", "left_semi").select(one.alias("h")))
     windows = texts.mapInArrow(_marked(sc.broadcast(differing), length, seed, True), "w1 long, w2 long, k1 long, k2 long, start int")
     windows = materialise(windows.distinct(), "passage-windows")
     same = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
