@@ -73,7 +73,11 @@ def possible(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, thresh
 
 def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (in x, in y) of all pairs with cosine >= threshold, in bounded chunks; with y None, pairs i < j within x."""
-    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+
+    def unit(a: np.ndarray) -> np.ndarray:
+        a = a / np.abs(a).max(axis=1)[:, None]  # squares of very great or small components are beyond doubles
+        return a / np.linalg.norm(a, axis=1)[:, None]
+
     ux = unit(x)
     uy = ux if y is None else unit(y)
     for a, b, mask in possible(quantised(ux), None if y is None else quantised(uy), threshold):

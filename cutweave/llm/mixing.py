@@ -2,9 +2,8 @@
 
 Every document gets a key that is a hash of its id; within a source the documents are taken in the
 order of the keys until the source's budget of words is met, whole epochs first.  The positions
-are distributed prefix sums: a source's key range is cut into about sqrt(documents) equal ranges,
-each range is summed on its own, and only the ranges' sums are summed up in order.  So a source
-that holds a third of all rows is never sorted in one task.
+are distributed prefix sums: rows are dealt by ranges of (source, key, id, size), each range is sorted and summed on its own, and
+only the ranges' sums are summed up in order.  So neither a source nor an id that holds a third of all rows is sorted in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cutweave.functions.columns import named
 from cutweave.functions.storage import materialise, scratch
+from cutweave.operators.sweeps import dealt, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source is taken more often than this.
@@ -45,41 +45,35 @@ def targets(sizes: DataFrame, weights: Sequence[int], *, epochs: int = EPOCHS) -
     all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     s = sizes.withColumn("_w", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("long"))
-    s = s.withColumn("_cap", F.col("source_size") * epochs)
+    wide = lambda c: c.cast("decimal(24,0)")
+    s = s.withColumn("_cap", (wide(F.col("source_size")) * epochs).cast("decimal(24,0)"))  # products of sizes and weights are beyond 64 bits
     by_level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.col("source"))
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_total", F.sum("source_size").over(all_rows))
-    s = s.withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
+    s = s.withColumn("_total", wide(F.sum(wide(F.col("source_size"))).over(all_rows)))
+    s = s.withColumn("_left", wide(F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0))))
     s = s.withColumn("_weights", F.sum("_w").over(all_rows) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
     # Capped while the level that would be left for this source and all after it reaches its cap.
     s = s.withColumn("_open", F.col("_cap") * F.col("_weights") > F.col("_left") * F.col("_w"))
     s = s.withColumn("_first", F.max(F.when(F.col("_open"), F.col("_weights"))).over(all_rows))
     s = s.withColumn("_l", F.max(F.when(F.col("_open") & (F.col("_weights") == F.col("_first")), F.col("_left"))).over(all_rows))
-    target = F.when(F.col("_open"), F.col("_l") * F.col("_w") / F.col("_first")).otherwise(F.col("_cap").cast("double"))
+    target = F.when(F.col("_open"), (F.col("_l") * F.col("_w")).cast("double") / F.col("_first")).otherwise(F.col("_cap").cast("double"))
     return s.select("source", "source_size", target.alias("target"))
 
 
 def _taken(docs: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
-    """For written ``docs(doc_id, source, size, key, tie, ...)``: adds source_size, target and taken."""
+    """For written ``docs(doc_id, source, size, key, tie, ...)``: adds source_size, target and taken.  ``tie`` tells rows apart."""
     own = [c for c in docs.columns if c not in ("key", "tie")]
-    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    plan = targets(sources.select("source", "source_size"), weights, epochs=epochs)
-    plan = plan.join(sources.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", F.ceil(F.sqrt("docs")).cast("long").alias("ranges"))
-    plan = materialise(plan, "mix-targets")
+    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = materialise(targets(sources, weights, epochs=epochs).withColumnRenamed("source", "s"), "mix-targets")
     # One row per source on the right; the documents of a hot source can be split on the left.
-    at = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    at = at.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")).cast("long"))
-    each = ["source", "range"]
-    sums = at.groupBy(*each).agg(F.sum("size").alias("sum"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*each).orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    at = at.withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    at = at.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("tie")]
+    rows = dealt(docs.withColumn("own", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).withColumn("upto", F.col("size")), ["own"], order)
+    at = running(rows, ["own"], order, {"upto": F.col("size")})
+    at = at.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     at = at.withColumn("whole", whole).withColumn("rest", budget - F.col("whole") * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("here")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
     return at.select(*own, "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
@@ -94,7 +88,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), *, seed: int =
     """
     with scratch() as own:
         docs = documents.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), words_in(named(text_col)).alias("size"))
-        docs = own.keep(materialise(docs.withColumn("key", random_key(F.col("doc_id"), seed)).withColumn("tie", F.lit(0)), "mix-sizes"))
+        docs = own.keep(materialise(docs.withColumn("key", random_key(F.col("doc_id"), seed)).withColumn("tie", F.monotonically_increasing_id()), "mix-sizes"))
         out = _taken(docs, weights, epochs)
         return _keep_all(own, out)
 
@@ -121,7 +115,8 @@ def mixed_documents(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), *,
         docs = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("row"))
         docs = docs.select("row", words_in(text).alias("size"), F.monotonically_increasing_id().alias("n"))
         docs = own.keep(materialise(docs, "mix-documents"))
-        sizes = docs.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["source"].alias("source"), "size", "n", F.xxhash64(text).alias("tie"))
+        tie = F.struct(F.xxhash64(text), "n")
+        sizes = docs.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["source"].alias("source"), "size", "n", tie.alias("tie"))
         sizes = materialise(sizes.withColumn("key", random_key(F.col("doc_id"), seed)), "mix-sizes")
         taken = own.keep(materialise(_taken(sizes, weights, epochs).where("taken > 0").select("n", "taken"), "mix-taken"))
     docs = docs.join(taken, "n")

@@ -1,6 +1,7 @@
 """Divergence audit, periodic runs and substring dedup against brute force, and their edge cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import table
-from cutweave.llm import divergence, passages, periodic, queries
+from cutweave.llm import divergence, embeddings, mixing, passages, periodic, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string"
@@ -268,3 +269,42 @@ def test_least_values_and_hashes_by_brute_force():
     w = rng.integers(0, 1 << 63, 50).astype(np.uint64)
     h = passages.Hashes(np.concatenate([w, w[:20], w]), passages._BASES[0])
     assert np.array_equal(h.of(np.arange(10), 10), h.of(np.arange(10) + 70, 10)) and len(set(h.of(np.arange(40), 10).tolist())) == 40
+
+
+# -- mends of 5 and 6 ------------------------------------------------------------------------------
+
+
+def test_mix_of_one_id_is_dealt_over_ranges(spark):
+    """20,000 rows without an id, and as many of one id, are summed in several ranges and still meet the budget in order of size."""
+    rows = [(None, "n " * (1 + k % 7), "a") for k in range(20_000)] + [(7, "n " * (1 + k % 5), "a") for k in range(20_000)] + [(k, "m " * 30, "b") for k in range(9_000)]
+    df = make(spark, rows, "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        got = mixing.mix(df).toPandas()
+        at = mixing.dealt(df.withColumn("n", F.monotonically_increasing_id()), ["source"], [mixing.random_key(F.col("doc_id"), 0), F.col("n")])
+        per = [r["count"] for r in at.where("doc_id is null").groupBy("range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) > 1 and max(per) < 20_000
+    assert len(got) == len(rows) and got.groupby("source")["taken"].sum().round().tolist() == [math.floor(t) for t in got.groupby("source")["target"].first()]
+    assert ((got["taken"] >= 0) & (got["taken"] <= 3 * got["size"])).all()
+
+
+def test_mix_of_very_great_sources_is_exact(spark):
+    sizes = [("a", 10**18), ("b", 10**18), ("c", 3)]
+    got = {r["source"]: r["target"] for r in mixing.targets(make(spark, sizes, "source string, source_size long"), (5, 2, 1)).collect()}
+    assert got["c"] == 9 and got["a"] == pytest.approx(10 / 7 * 10**18, rel=1e-9) and got["b"] == pytest.approx(4 / 7 * 10**18, rel=1e-9)
+
+
+def test_links_of_very_great_and_small_doubles(spark):
+    rows = []
+    for k, unit in enumerate((1.0, 1e200, 1e-200, 1e300)):
+        rows += [(10 * k + 1, [unit, 2 * unit]), (10 * k + 2, [1.001 * unit, 2 * unit])]
+    rows += [(90, [-1e200, 1e-200]), (91, [0.0, 0.0]), (92, [float("inf"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(make(spark, rows, "vec_id long, vec array<double>").withColumnRenamed("vec", vector_column(spark))).collect()}
+    assert {v: n for v, (n, _) in got.items()} == {**{10 * k + j: 7 for k in range(4) for j in (1, 2)}, 90: 0, 91: 0, 92: 0}
+    assert {got[v][1] for v in (1, 2, 11, 12, 21, 22, 31, 32)} == {1}
+
+
+def vector_column(spark):
+    return [f.name for f in table(spark, "/root/testdata/sf0.001", "embeddings").schema if f.dataType.typeName() == "array"][0]
