@@ -311,6 +311,16 @@ def _mapped(state: Flow, **columns: Column) -> Flow:
     return Flow(rows, state.blocks, state.far)
 
 
+def restart(state: Flow, start: DataFrame) -> Flow:
+    """No flow and heights of 0 over the same arcs; ``start(id, absorbed, sink)``, 0 where a node has no row; bounds stay.  The old state's table stays too."""
+    new = start.select(F.col("id").alias("a"), F.lit(NODE).alias("kind"), F.col("absorbed").alias("new_p"), F.col("sink").alias("new_q"))
+    rows = state.rows.join(new, ["a", "kind"], "left")
+    node, zero = F.col("kind") == NODE, F.lit(0).cast("long")
+    fresh = {"p": F.when(node, F.coalesce("new_p", zero)).otherwise(F.col("p")), "q": F.when(node, F.coalesce("new_q", zero)).otherwise(zero), "r": zero, "s": F.when(node, F.col("s")).otherwise(zero)}
+    after = materialise(rows.select(*[fresh.get(c, F.col(c)).cast(t).alias(c) for c, t in state.rows.dtypes]), "flow")
+    return Flow(after, state.blocks, state.far)
+
+
 def relabel(state: Flow) -> Flow:
     """Heights become residual distances to open sinks, ``far`` where there is no way."""
     far = state.far

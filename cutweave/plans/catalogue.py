@@ -15,7 +15,7 @@ from cutweave.operators import components as cc
 from cutweave.operators import decompose as dec
 from cutweave.operators import experiments as ex
 from cutweave.operators import graph as gr
-from cutweave.operators import heuristics, outcomes, studies, sweeps, table_flow, traversal
+from cutweave.operators import heuristics, outcomes, studies, sweeps, table_flow, table_game, traversal
 from cutweave.operators.cut_matching import Cluster, Outcome, Parameters, trim, trim_fake
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
@@ -615,6 +615,43 @@ def flow_pairs(spark, d):
     return out.select("cluster", F.col("offered").alias("sources"), (none("n") - F.col("routed")).alias("pairs_minus_routed"), (none("n") - none("n_sources")).alias("repeated_sources"), (none("n") - none("n_sinks")).alias("repeated_sinks"), none("not_sinks").alias("not_sinks"))
 
 
+MATCHED = """with c as (select c_nationkey::bigint as cluster, c_custkey::bigint as eid, row_number() over (partition by c_nationkey order by c_custkey) - 1 as r, count(*) over (partition by c_nationkey) as s from customer),
+f0 as (select cluster, eid, eid as col, 1.0::double as x, r, s from c),
+f1 as (select cluster, eid, col, x from f0),
+p1 as (select cluster, eid, (r // 2)::bigint as pair from c where r // 2 < s // 2),
+p2 as (select cluster, eid, (r % (s // 2))::bigint as pair from c where r < 2 * (s // 2)),
+m1 as (select cluster, pair, col, sum(x) / 2 as x from f1 join p1 using (cluster, eid) group by cluster, pair, col),
+f2 as (select p1.cluster, p1.eid, m1.col, m1.x from p1 join m1 using (cluster, pair) union all select f1.* from f1 anti join p1 using (cluster, eid)),
+m2 as (select cluster, pair, col, sum(x) / 2 as x from f2 join p2 using (cluster, eid) group by cluster, pair, col),
+f3 as (select p2.cluster, p2.eid, m2.col, m2.x from p2 join m2 using (cluster, pair) union all select f2.* from f2 anti join p2 using (cluster, eid)),
+f as (select 0 as round, * from f1 union all select 1, * from f2 union all select 2, * from f3),
+d as (select q.round, a.cluster, a.eid, b.eid as col, coalesce(f.x, 0) as x from c a join c b on a.cluster = b.cluster cross join (select unnest([0, 1, 2]) as round) q
+      left join f on f.round = q.round and f.cluster = a.cluster and f.eid = a.eid and f.col = b.eid),
+m as (select round, cluster, col, avg(x) as mean from d group by round, cluster, col)"""
+
+
+@query(MATCHED + " select d.round::int as round, d.cluster, round(sum((d.x - m.mean) * (d.x - m.mean)), 6) as potential from d join m using (round, cluster, col) group by d.round, d.cluster")
+def matrix_potential_rounds(spark, d):
+    """The potential of the whole matrix over the customers of each nation, at the start and after two matchings."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("cluster"), F.col("c_custkey").cast("long").alias("eid"))
+    order = [F.col("eid")]
+    ranked = sweeps.running(sweeps.dealt(c, ["cluster"], order), ["cluster"], order, {}, "rank").withColumn("r", F.col("rank") - 1)
+    ranked = materialise(ranked.join(c.groupBy("cluster").agg(F.floor(F.count("*") / 2).alias("half")), "cluster"), "matrix-ranks")
+
+    def pairs(pair):
+        ends = ranked.where(F.col("r") < 2 * F.col("half")).withColumn("pair", pair)
+        return ends.groupBy("cluster", "pair").agg(F.min("eid").alias("a"), F.max("eid").alias("b")).select("cluster", "a", "b")
+
+    matrix = materialise(c.select("cluster", "eid", F.col("eid").alias("col"), F.lit(1.0).alias("x")), "matrix")
+    out = None
+    for number, pair in enumerate((None, F.floor(F.col("r") / 2), F.col("r") % F.col("half"))):
+        if pair is not None:
+            matrix = materialise(table_game.average_rows(matrix, pairs(pair)), "matrix")
+        now = table_game.matrix_potential(matrix, c).select(F.lit(number).alias("round"), "cluster", F.round("potential", 6).alias("potential"))
+        out = now if out is None else out.unionAll(now)
+    return out
+
+
 REGIONS = """with f as (select n_regionkey, min(n_nationkey) as heavy from nation group by n_regionkey),
 s as (select n.n_regionkey as region, n.n_nationkey as nation, n.n_nationkey = f.heavy as heavy, count(c_custkey)::bigint as n, count(c_custkey) filter (n.n_nationkey = f.heavy and c_custkey % 2 = 0)::bigint as gone
       from nation n join f on n.n_regionkey = f.n_regionkey left join customer on c_nationkey = n.n_nationkey group by all),
