@@ -5,13 +5,15 @@ worked on by the cut-matching kernel in a group of its own.  Clusters of up to `
 decomposed to the end there; of larger ones one step is made, which gives a final part or two smaller
 clusters for the next round, so that those are worked on in parallel.  Clusters with more than ``max_arcs`` arcs are first
 cut by distributed PageRank sweeps from several seeds, all such clusters in the same jobs; where no sweep is sparse, the kernel
-takes the whole cluster all the same, so that no part is final without the cut-matching game.
+takes the whole cluster all the same, so that no part is final without the cut-matching game.  ``local_arcs`` only says where a cluster is
+played: its random numbers follow from its members, so the parts are the same.
 """
 
 from __future__ import annotations
 
 import logging
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -47,15 +49,13 @@ def kernel(phi: float, p: Parameters, seed: int, local_arcs: int = LOCAL_ARCS):
         at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
         right = np.where(ids[at] == dst, at, -1)
         once = (right < 0) | (left < right)  # inner edges come from both ends
-        order = np.lexsort((dst[once], src[once]))
-        c = Cluster(ids, gdeg, left[once][order], right[once][order])
-        rng = np.random.default_rng([seed, int(ids[0]) & 0x7FFFFFFF, len(ids)])
+        c = in_order(ids, gdeg, left[once], right[once])
         if len(c.left) + int(c.inner.sum()) <= local_arcs:
-            label, congestion, kinds = local_decompose(c, phi, p, rng)
+            label, congestion, kinds = local_decompose(c, phi, p, seed)
             first = np.full(len(congestion), np.iinfo(np.int64).max)
             np.minimum.at(first, label, ids)
             return pd.DataFrame({"id": ids, "child": first[label], "final": True, "congestion": np.array(congestion)[label], "kind": np.array(kinds, object)[label]})
-        final, removed, congestion, kind = solve(c, phi, p, rng)
+        final, removed, congestion, kind = solve(c, phi, p, stream(seed, ids))
         child = np.empty(len(ids), np.int64)
         for mask in (removed, ~removed):
             if mask.any():
@@ -65,6 +65,17 @@ def kernel(phi: float, p: Parameters, seed: int, local_arcs: int = LOCAL_ARCS):
     return work
 
 
+def in_order(ids: np.ndarray, gdeg: np.ndarray, left: np.ndarray, right: np.ndarray) -> Cluster:
+    """A cluster with its edges in an order that follows from its members alone; edges that leave it by one vertex are alike."""
+    order = np.lexsort((right, left))
+    return Cluster(ids, gdeg, left[order], right[order])
+
+
+def stream(seed: int, ids: np.ndarray) -> np.random.Generator:
+    """Random numbers of a cluster, by its members: the same wherever and in whatever round it is played."""
+    return np.random.default_rng([seed, zlib.crc32(np.ascontiguousarray(ids, np.int64).tobytes())])
+
+
 def solve(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, int, str]:
     """(which vertices are final, which are on the removed side, congestion of the final part, kind)."""
     n = len(c.ids)
@@ -87,7 +98,7 @@ def solve(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> tu
     return kept, ~kept, 0, out.kind
 
 
-def local_decompose(c: Cluster, phi: float, p: Parameters, rng: np.random.Generator) -> tuple[np.ndarray, list[int], list[str]]:
+def local_decompose(c: Cluster, phi: float, p: Parameters, seed: int) -> tuple[np.ndarray, list[int], list[str]]:
     """A cluster's decomposition inside one worker, by a work list: part of each vertex, congestion and kind of each part."""
     label = np.full(len(c.ids), -1)
     congestions: list[int] = []
@@ -104,7 +115,7 @@ def local_decompose(c: Cluster, phi: float, p: Parameters, rng: np.random.Genera
         a, b = inside[c.left], np.where(c.inner, inside[c.right], -1)
         touch = (a >= 0) | (b >= 0)
         left, right = np.where(a >= 0, a, b)[touch], np.where((a >= 0) & (b >= 0), b, -1)[touch]
-        final, removed, congestion, kind = solve(Cluster(members, c.gdeg[members], left, right), phi, p, rng)
+        final, removed, congestion, kind = solve(in_order(members, c.gdeg[members], left, right), phi, p, stream(seed, c.ids[members]))
         if final.any():
             label[members[final]] = len(congestions)
             congestions.append(congestion)
@@ -169,7 +180,7 @@ def decompose(g: Graph, phi: float = 0.001, params: Parameters | None = None, *,
                 rows = rows.unionAll(labelled.select("cluster", F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("gdeg")))
                 if cut is not None:
                     rows = rows.join(cut.select("cluster").distinct(), "cluster", "left_anti")
-                found = rows.groupBy("cluster").applyInPandas(kernel(phi, params, seed + number, local_arcs), _OUT)
+                found = rows.groupBy("cluster").applyInPandas(kernel(phi, params, seed, local_arcs), _OUT)
                 found = materialise(found if cut is None else found.unionAll(cut.drop("cluster")), "decompose-found")
             done.append(found.where("final").select("id", F.col("child").alias("cluster"), "congestion", "kind"))
             rest = materialise(found.where("not final").join(degrees, "id").select("id", F.col("child").alias("cluster"), "gdeg"), "decompose-open")
@@ -191,7 +202,7 @@ def cut_large(tagged: DataFrame, members: DataFrame, phi: float) -> DataFrame:
     """Sparse cuts of the clusters of ``members(id, cluster, gdeg)``: cluster and the columns of a kernel's result.
 
     Pushes start from up to four seeds of each cluster: that of the greatest degree, the least id, and the least and the
-    greatest hash.  Of all sweeps the best is taken, if its conductance is at most 1.7 phi log10(volume)^2; clusters
+    greatest hash, and end after 60 rounds, as any scores give a sweep.  Of all sweeps the best is taken, if its conductance is at most 1.7 phi log10(volume)^2; clusters
     without such a sweep have no rows.
     """
     arcs = materialise(tagged.where("inner").join(members.select(F.col("id").alias("u")), "u", "left_semi").select("u", "v"), "decompose-large-arcs")

@@ -93,7 +93,7 @@ def play_file(path: str, options: dict) -> tuple[int, int]:
         n = int(f.readline().split()[0])
     pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
     c = Cluster(np.arange(n), np.bincount(pairs.ravel(), minlength=n), pairs[:, 0], pairs[:, 1])
-    label, congestion, _ = local_decompose(c, options["phi"], parameters_of(options), np.random.default_rng(options["seed"]))
+    label, congestion, _ = local_decompose(c, options["phi"], parameters_of(options), int(options["seed"]))
     return int((label[c.left] != label[c.right]).sum()), len(congestion)
 
 

@@ -66,7 +66,7 @@ def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdf.itertuples(index=False):
             began = time.time()
             c = local_graph(p.kind, p.n, p.k, p.r, p.seed)
-            out = play(c, p.phi, _options(p.strategy, p.balance), np.random.default_rng(p.seed))
+            out = play(c, p.phi, _options(p.strategy, p.balance), int(p.seed))
             left = int(c.gdeg[out.removed].sum())
             right = int(c.gdeg.sum()) - left
             cut, low = int((out.removed[c.left] != out.removed[c.right]).sum()), min(left, right)
@@ -80,7 +80,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdf.itertuples(index=False):
             began = time.time()
             c = local_graph(p.kind, p.n, p.k, p.r, p.seed)
-            label, congestion, _ = local_decompose(c, p.phi, _options(p.strategy, p.balance), np.random.default_rng(p.seed))
+            label, congestion, _ = local_decompose(c, p.phi, _options(p.strategy, p.balance), int(p.seed))
             worst = min(1 / x if x else 0.0 for x in congestion)
             rows.append((*p, len(c.left), int((label[c.left] != label[c.right]).sum()), len(congestion), int(np.bincount(label).max()), worst, time.time() - began))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")])

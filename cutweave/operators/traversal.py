@@ -49,19 +49,22 @@ def personalised_pagerank(arcs: DataFrame, degrees: DataFrame, seeds: DataFrame,
     """Synchronous push for every seed at once: (seed, id, p, r).
 
     A vertex with r >= eps * deg adds alpha * r to p, keeps (1 - alpha) r / 2 and spreads as much over
-    its neighbours.  Ends when no vertex is active, or after ``rounds``.  ``seeds(seed)`` start with r = 1.
+    its neighbours.  Ends when no vertex is active, or after ``rounds``; an error if neither is so after ``max_rounds``.
+    ``seeds(seed)`` start with r = 1.
     """
     state = materialise(seeds.select("seed", F.col("seed").alias("id"), F.lit(0.0).alias("p"), F.lit(1.0).alias("r")), "ppr")
     deg = degrees.select("id", "deg")
     for done in range(max_rounds):
         if done == rounds:
-            break
+            return state
         s = state.join(deg, "id").withColumn("active", (F.col("deg") > 0) & (F.col("r") >= F.lit(eps) * F.col("deg")))
         if rounds is None and not s.where("active").take(1):
-            break
+            return state
         own = s.select("seed", "id", F.when(F.col("active"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("active"), (1 - alpha) * F.col("r") / 2).otherwise(F.col("r")).alias("r"))
         sent = s.where("active").select("seed", F.col("id").alias("u"), ((1 - alpha) * F.col("r") / 2 / F.col("deg")).alias("r")).join(arcs, "u").select("seed", F.col("v").alias("id"), F.lit(0.0).alias("p"), "r")
         after = materialise(own.unionAll(sent).groupBy("seed", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r")), "ppr")
         discard(state)
         state = after
-    return state
+    if max_rounds == rounds:
+        return state
+    raise RuntimeError(f"not ended after {max_rounds} rounds")

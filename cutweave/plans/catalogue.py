@@ -528,8 +528,8 @@ def unit_flow_value(spark, d):
 
 # -- flow over tables ----------------------------------------------------------------------------
 
-#: Arcs of a block in the queries: a quarter of the graph is several blocks on each of the data folders.
-QUARTER_BLOCK = 2_000
+#: Arcs of a block in the queries: a quarter of the graph is several blocks from sf0.01 on.
+QUARTER_BLOCK = 4_000
 INNER = SP + """, i as (select x.cluster, src, dst from e join a x on x.id = src join a y on y.id = dst where x.cluster = y.cluster),
 ends as (select cluster, src as id from i union all select cluster, dst from i), size as (select cluster, id, count(*)::bigint as deg from ends group by cluster, id)"""
 

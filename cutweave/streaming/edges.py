@@ -17,7 +17,14 @@ def stream_degrees(pairs: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
 
 
-def stream_edge_windows(pairs: DataFrame, *, window: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Arcs per window of event time; windows close when the watermark has passed them."""
+def stream_edge_windows(pairs: DataFrame, *, window: str = "10 minutes", watermark: str = "1 hour", exact: bool = False) -> DataFrame:
+    """Arcs per window of event time; windows close when the watermark has passed them.
+
+    ``n_edges`` is estimated from a sketch of bounded size, or, if ``exact``, counted, with a row of state for each edge of the
+    open windows; write that one in append mode.
+    """
     e = pairs.where("u is not null and v is not null and u <> v").withWatermark("ts", watermark)
+    if exact:
+        each = e.groupBy(F.window("ts", window), F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count("*").alias("n"))
+        return each.groupBy(F.window(F.window_time("window"), window)).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_edges"))
     return e.groupBy(F.window("ts", window)).agg(F.count("*").alias("n_pairs"), F.approx_count_distinct(F.struct(F.least("u", "v"), F.greatest("u", "v"))).alias("n_edges"))

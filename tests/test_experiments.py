@@ -36,3 +36,17 @@ def test_streamed_degrees(spark, tmp_path):
     q = edges.stream_degrees(stream).writeStream.format("memory").queryName("degs").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["id"], r["deg"]) for r in spark.table("degs").collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_streamed_windows_count_edges_exactly(spark, tmp_path):
+    rows = [(k % 40, 100 + k % 23, f"2024-01-01 00:{k % 30:02d}:00") for k in range(3_000)] + [(100, 0, "2024-01-01 00:00:30"), (1, 1, "2024-01-01 00:00:00"), (5, 6, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "u long, v long, at string").selectExpr("u", "v", "cast(at as timestamp) as ts")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = edges.stream_edge_windows(stream, exact=True).writeStream.format("memory").queryName("exact_windows").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["window"]["start"].minute, r["n_pairs"], r["n_edges"]) for r in spark.table("exact_windows").collect())
+    want: dict = {}
+    for u, v, at in rows[:-2]:
+        want.setdefault(int(at[14:16]) // 10 * 10, []).append((min(u, v), max(u, v)))
+    assert got == sorted((m, len(x), len(set(x))) for m, x in want.items())

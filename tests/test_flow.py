@@ -10,6 +10,7 @@ from cutweave.operators.decompose import decompose
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
 from cutweave.operators.heuristics import Adjacency, bisect, local_search, pagerank, sparse_cut, sweep
+from cutweave.operators.traversal import personalised_pagerank
 from cutweave.sources import generators
 
 
@@ -132,3 +133,16 @@ def test_a_cut_that_the_sweep_misses_is_found_by_the_game(spark, monkeypatch):
     monkeypatch.setattr(at + "best_sweep_cut", lambda sweep: sweep.limit(0))
     got = decompose(generators.clique_path(spark, 20, 2), 0.01, Parameters(num_flow_vectors=5), max_arcs=500).collect()
     assert {r["id"]: r["cluster"] for r in got} == {i: i - i % 20 for i in range(40)} and all(r["congestion"] > 0 for r in got)
+
+
+def test_parts_do_not_depend_on_where_a_cluster_is_played(spark):
+    g = generators.lattice(spark, 7)
+    here, there = ({r["id"]: (r["cluster"], r["congestion"]) for r in decompose(g, 0.05, Parameters(num_flow_vectors=2), local_arcs=n).collect()} for n in (100_000, 0))
+    assert here == there and len({c for c, _ in here.values()}) > 1
+
+
+def test_pagerank_that_does_not_end_is_an_error(spark):
+    g = generators.clique(spark, 5)
+    with pytest.raises(RuntimeError):
+        personalised_pagerank(g.arcs(), g.degrees(), spark.range(1).withColumnRenamed("id", "seed"), max_rounds=2)
+    assert personalised_pagerank(g.arcs(), g.degrees(), spark.range(1).withColumnRenamed("id", "seed"), rounds=2).count() == 5

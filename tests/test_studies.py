@@ -27,7 +27,7 @@ def test_volumes_add_up(spark):
 
 
 def test_local_decomposition_covers_all():
-    label, congestion, _ = local_decompose(studies.local_graph("clique-path", 20, 4), 0.01, Parameters(num_flow_vectors=5), np.random.default_rng(1))
+    label, congestion, _ = local_decompose(studies.local_graph("clique-path", 20, 4), 0.01, Parameters(num_flow_vectors=5), 1)
     assert sorted(np.bincount(label)) == [20] * 4 and len(congestion) == 4
     assert studies.fewest_vectors(studies.local_graph("clique", 8), 0.01, Parameters()) is not None
 

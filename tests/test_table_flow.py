@@ -129,26 +129,27 @@ def members_of(g: Graph):
     return g.degrees().select("id", F.lit(0).cast("long").alias("cluster"), F.col("deg").alias("gdeg"))
 
 
-def test_game_finds_the_planted_cut_from_any_round_on(spark):
-    g = generators.clique_path(spark, 8, 2).written()
+def test_game_finds_the_planted_cut_round_by_round(spark):
+    """Two cliques with one edge between: the level cut of a round takes one of them off."""
+    g = generators.clique_path(spark, 6, 2).written()
     p = Parameters(num_flow_vectors=2)
-    game = table_game.begin(g.edges, members_of(g), 0.02, p, block_arcs=60)
-    while game.running():
-        game = table_game.play(game, p, rounds=1)
+    game, rounds = table_game.begin(g.edges, members_of(g), 0.05, p), 0
+    while game.running() and rounds < 4:
+        game, rounds = table_game.play(game, p, rounds=1), rounds + 1
     out = table_game.outcomes(game).first()
-    assert out["kind"] == "balanced"
+    assert out["kind"] == "balanced" and out["rounds"] == rounds
     removed = sorted(r["id"] for r in table_game.sides(game).where("removed").collect())
-    assert removed in (list(range(8)), list(range(8, 16)))
+    assert removed in (list(range(6)), list(range(6, 12)))
 
 
-def test_game_leaves_an_expander_whole_with_a_certificate(spark):
-    g = generators.clique(spark, 8).written()
+def test_game_leaves_an_expander_whole_and_mixes(spark):
+    g = generators.clique(spark, 7).written()
     p = Parameters(num_flow_vectors=2, sample_potential=True, adaptive=True)
-    game = table_game.play(table_game.begin(g.edges, members_of(g), 0.02, p), p, rounds=3)
+    game = table_game.play(table_game.begin(g.edges, members_of(g), 0.02, p), p, rounds=2)
     out = table_game.outcomes(game).first()
-    assert out["kind"] == "expander" and out["gone"] == 0 and out["rounds"] == 3 and 1 / out["congestion"] >= 0.02
+    assert out["kind"] == "expander" and out["gone"] == 0 and out["rounds"] == 2 and 1 / out["congestion"] >= 0.02
     potentials = [r["potential"] for r in game.potentials.orderBy("rounds").collect()]
-    assert potentials[0] == pytest.approx(27) and all(a > b for a, b in zip(potentials, potentials[1:]))
+    assert potentials[0] == pytest.approx(20) and potentials[1] < 20
 
 
 def test_game_refuses_what_it_does_not_play(spark):
