@@ -43,6 +43,8 @@ FIRST_BUCKET = MEMBERS - BUCKETS
 HIDDEN, WINDOW, LANES = 16, 16, 512
 #: Rows of class scores that are held at once, so that they stay in a core's cache, and states whose softmaxes are worked out together.
 ROWS, STATES = 4_096, 32_768
+#: Documents that are scored abreast: their states stay in a core's cache.
+ABREAST = 1_024
 #: Scoring rounds states and weights to multiples of these; weights are kept within 16.  See ``_product``.
 STATE_UNIT, WEIGHT_UNIT = 2.0**-24, 2.0**-20
 #: Training cuts documents into stretches of this many tokens, each from the zero state; all are learnt from.
@@ -220,14 +222,19 @@ class Gru:
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """log10 of the members' probability of each document, its state carried through all windows."""
-        unit = self.fixed()
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        lengths = np.array([len(documents[i]) for i in order], np.int64)
-        total = np.zeros(len(order))
-        if not len(order):
-            return total
-        flat, base = np.concatenate([documents[i] for i in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        s = np.zeros((len(order), HIDDEN), np.float32)
+        unit, out = self.fixed(), np.empty(len(order))
+        for a in range(0, len(order), ABREAST):
+            some = order[a : a + ABREAST]
+            out[some] = unit.score_abreast([documents[i] for i in some])
+        return out / math.log(10)
+
+    def score_abreast(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Natural logs of documents' probabilities, a step of all of them at a time; the longest come first."""
+        lengths = np.array([len(d) for d in documents], np.int64)
+        total = np.zeros(len(documents))
+        flat, base = np.concatenate(documents), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        s = np.zeros((len(documents), HIDDEN), np.float32)
         states, tokens, rows = [], [], 0
         for t in range(int(lengths[0])):
             active = int(np.searchsorted(-lengths, -t))  # documents with a token at t
@@ -237,15 +244,13 @@ class Gru:
             tokens.append(y)
             rows += active
             if rows >= STATES or t + 1 == lengths[0]:
-                logs, at = unit.log_probabilities(np.concatenate(states), np.concatenate(tokens)), 0
+                logs, at = self.log_probabilities(np.concatenate(states), np.concatenate(tokens)), 0
                 for y_ in tokens:
                     total[: len(y_)] += logs[at : at + len(y_)]
                     at += len(y_)
                 states, tokens, rows = [], [], 0
-            s = unit.step(s, y)[0]
-        out = np.empty(len(order))
-        out[order] = total / math.log(10)
-        return out
+            s = self.step(s, y)[0]
+        return total
 
 
 def _fixed(weights: np.ndarray) -> np.ndarray:
