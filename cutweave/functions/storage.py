@@ -101,11 +101,26 @@ def materialise(df: DataFrame, name: str, *, by: tuple[str, ...] = ()) -> DataFr
     return back
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """As :func:`materialise`, dealt and sorted by ``by`` into as many buckets as a shuffle has partitions: joins and groups by it don't move these rows."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, called = fresh_path(spark, name), f"cutweave_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(called)
+    back = spark.table(called)
+    back._cutweave_path, back._cutweave_table = path, called
+    scopes = _scopes()
+    (scopes[-1].tables if scopes else _left.setdefault(spark.sparkContext.applicationId, [])).append(back)
+    return back
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialise` that no plan needs any more."""
+    """Delete the files of a table made by :func:`materialise` or :func:`bucketed` that no plan needs any more."""
     path = getattr(df, "_cutweave_path", None)
     if path:
         df._cutweave_path = None
         spark = df.sparkSession
+        if called := getattr(df, "_cutweave_table", None):
+            spark.sql(f"drop table if exists {called}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

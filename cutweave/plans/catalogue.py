@@ -15,7 +15,7 @@ from cutweave.operators import components as cc
 from cutweave.operators import decompose as dec
 from cutweave.operators import experiments as ex
 from cutweave.operators import graph as gr
-from cutweave.operators import heuristics, outcomes, studies, sweeps, table_flow, table_game, traversal
+from cutweave.operators import heuristics, outcomes, studies, sweeps, table_flow, table_game, table_search, traversal
 from cutweave.operators.cut_matching import Cluster, Outcome, Parameters, trim, trim_fake
 from cutweave.operators.flow import Net
 from cutweave.operators.graph import Graph
@@ -782,6 +782,114 @@ def sparse_cut_heuristics(spark, d):
     return _per_cluster(spark, d, work, "cluster long, method string, cut long, volume long, conductance double")
 
 
+# Customers of a region in two halves by turns; neighbours in a half are 1, 2, 4, ... places apart, and one link joins the halves' first ones.
+HALVES = """with c as (select n_regionkey::bigint as cluster, c_custkey::bigint as id, row_number() over (partition by n_regionkey order by c_custkey) - 1 as r, count(*) over (partition by n_regionkey) as s from customer join nation on c_nationkey = n_nationkey),
+h as (select cluster, id, r % 2 as half, r // 2 as r, (s - r % 2 + 1) // 2 as n from c),
+raw as (select x.id as u, y.id as v from h x cross join (select unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) as gap) join h y on y.cluster = x.cluster and y.half = x.half and y.r = (x.r + gap) % x.n where gap < x.n
+  union all select x.id, y.id from h x join h y on x.cluster = y.cluster where x.half = 0 and y.half = 1 and x.r = 0 and y.r = 0),
+e as (select distinct least(u, v) as src, greatest(u, v) as dst from raw where u <> v), arcs as (select src as u, dst as v from e union all select dst, src from e),
+deg as (select u as id, count(*)::bigint as deg from arcs group by u),
+vols as (select cluster, half, min(id) as name, sum(deg)::bigint as volume from h join deg using (id) group by cluster, half)"""
+
+
+def halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Arcs, and members(id, cluster, gdeg, half, r)."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("long").alias("cluster"), F.col("c_custkey").cast("long").alias("id"))
+    ranked = sweeps.running(sweeps.dealt(c, ["cluster"], [F.col("id")]), ["cluster"], [F.col("id")], {}, "rank").withColumn("rank", F.col("rank") - 1)
+    h = ranked.join(c.groupBy("cluster").agg(F.count("*").alias("s")), "cluster").withColumn("half", F.col("rank") % 2)
+    h = materialise(h.select("cluster", "id", "half", F.floor(F.col("rank") / 2).alias("r"), F.floor((F.col("s") - F.col("half") + 1) / 2).alias("n")), "halves")
+    gaps = h.withColumn("gap", F.explode(F.array(*[F.lit(1 << k) for k in range(13)]))).where("gap < n")
+    near = gaps.select("cluster", "half", F.col("id").alias("u"), ((F.col("r") + F.col("gap")) % F.col("n")).alias("r")).join(h.select("cluster", "half", "r", F.col("id").alias("v")), ["cluster", "half", "r"])
+    link = h.where("r = 0").groupBy("cluster").agg(F.min("id").alias("u"), F.max("id").alias("v"))
+    g = Graph.from_pairs(near.select("u", "v").unionAll(link.select("u", "v")), h).written()
+    members = h.join(g.degrees().withColumnRenamed("deg", "gdeg"), "id")
+    return materialise(g.arcs(), "halves-arcs"), materialise(members.select("id", "cluster", "gdeg", "half", "r"), "halves-members")
+
+
+def _named_sides(members: DataFrame, sides: DataFrame) -> DataFrame:
+    """(id, cluster, side): sides named by their smallest id."""
+    names = sides.groupBy("cluster", "inside").agg(F.min("id").alias("side"))
+    return sides.join(names, ["cluster", "inside"]).join(members.select("id"), "id").select("id", "cluster", "side")
+
+
+@query(HALVES + " select h.id, h.cluster, name as side from h join vols using (cluster, half)")
+def bisection_halves(spark, d):
+    """The balanced bisection finds each region's halves."""
+    arcs, members = halves(spark, d)
+    return _named_sides(members, table_search.bisect(arcs, members))
+
+
+@query(HALVES + " select h.id, h.cluster, name as side from h join vols using (cluster, half)")
+def local_search_halves(spark, d):
+    """From halves of which each fifth vertex stands on the wrong side the local search comes to the halves."""
+    arcs, members = halves(spark, d)
+    start = members.withColumn("inside", (F.col("half") == 0) != (F.col("r") % 5 == 3))
+    return _named_sides(members, table_search.local_search(arcs, start, width=16, patience=48))
+
+
+@query(HALVES + " select cluster, 1::bigint as cut, min(volume)::bigint as volume, round(1 / min(volume), 9) as conductance, true as reached from vols group by cluster")
+def sparse_cut_halves(spark, d):
+    """Of nibbles and local searches the best cut is the link between the halves."""
+    arcs, members = halves(spark, d)
+    goals = members.select("cluster").distinct().select("cluster", F.lit(1.0).alias("goal"), F.lit(1).alias("balance"))
+    sides = table_search.sparse_cuts(arcs, members, goals, trials=2)
+    return table_search.measured(arcs, members, sides).select("cluster", "cut", "volume", F.round("conductance", 9).alias("conductance"), F.lit(True).alias("reached"))
+
+
+SEARCH = {"tabu": 40, "patience": 60, "width": 16}
+
+
+def _search_sql(batches: int) -> str:
+    phi = lambda c, v: f"({c}) / nullif(least({v}, total - ({v})), 0)"
+    sql = SP + f""", inner_arcs as materialized (select u, v from arcs join a x on u = x.id join a y on v = y.id where x.cluster = y.cluster),
+k as (select u as id, count(*)::bigint as deg, count(*) filter (v % 3 = 0)::bigint as aff from inner_arcs group by u),
+n0 as materialized (select a.id, cluster, deg.deg as gdeg, coalesce(k.deg, 0) as deg, a.id % 3 = 0 as inside, coalesce(aff, 0) as affinity, null::bigint as moved_at from a join deg on a.id = deg.id left join k on a.id = k.id),
+s0 as (select cluster, sum(case when inside then deg - affinity else 0 end)::bigint as cut, sum(case when inside then gdeg else 0 end)::bigint as volume, sum(gdeg)::bigint as total from n0 group by cluster),
+c0 as materialized (select *, 0::bigint as step, 0::bigint as idle, coalesce({phi("cut", "volume")}, 'inf'::double) as best, true as running from s0)"""
+    for k in range(batches):
+        sql += f""", b{k} as materialized (select n.id, n.cluster, inside, case when inside then -1 else 1 end as t, t * (deg - 2 * affinity) as dcut, t * gdeg as dvol, {phi("cut + dcut", "volume + dvol")} as key from n{k} n join c{k} c on n.cluster = c.cluster
+  where running and case when inside then affinity < deg else affinity > 0 end and (moved_at is null or step - moved_at > {SEARCH["tabu"]})),
+w{k} as (select distinct x.id from inner_arcs join b{k} x on u = x.id join b{k} y on v = y.id where y.key < x.key or (y.key = x.key and y.id < x.id)),
+p{k} as (select b.id, b.cluster, t, row_number() over o as rank, cut + sum(dcut) over o as cut, volume + sum(dvol) over o as volume, total, step, idle, best from b{k} b join c{k} c on b.cluster = c.cluster
+  where key is not null and b.id not in (select id from w{k}) window o as (partition by b.cluster order by key, b.id rows between unbounded preceding and current row)),
+q{k} as materialized (select *, {phi("cut", "volume")} as phi from p{k}),
+f{k} as (select cluster, phi, rank, row_number() over (partition by cluster order by phi, rank) as place, best from q{k} where phi is not null),
+u{k} as (select cluster, max(rank) as up from q{k} where phi is not null and rank <= least({SEARCH["width"]}, {SEARCH["patience"]} - idle) group by cluster),
+g{k} as (select f.cluster, f.phi < f.best as better, case when f.phi < f.best then f.rank else up end as take from f{k} f join u{k} u on f.cluster = u.cluster where place = 1),
+m{k} as materialized (select q.*, better, take from q{k} q join g{k} g on q.cluster = g.cluster where rank <= take),
+c{k + 1} as materialized (select c.cluster, coalesce(m.cut, c.cut)::bigint as cut, coalesce(m.volume, c.volume)::bigint as volume, c.total, c.step + coalesce(take, 0) as step, case when better then 0 else c.idle + coalesce(take, 0) end as idle,
+  case when better then phi else c.best end as best, running and take is not null and case when better then 0 else c.idle + coalesce(take, 0) end < {SEARCH["patience"]} as running from c{k} c left join (select * from m{k} where rank = take) m on c.cluster = m.cluster),
+z{k} as (select v as id, sum(t) as change from inner_arcs join m{k} on u = m{k}.id group by v),
+n{k + 1} as materialized (select n.id, n.cluster, gdeg, deg, inside <> (m.id is not null) as inside, (affinity + coalesce(change, 0))::bigint as affinity, coalesce((m.step + m.rank - 1)::bigint, moved_at) as moved_at from n{k} n left join m{k} m on n.id = m.id left join z{k} z on n.id = z.id)"""
+    return sql + f", o as (select n.id, n.cluster, inside, affinity, moved_at, cut, volume, c.step::bigint as step, c.idle::bigint as idle, round(best, 9) as best from n{batches} n join c{batches} c on n.cluster = c.cluster) select * from o"
+
+
+@query(_search_sql(4))
+def local_search_batches(spark, d):
+    """Four batches of moves from ids that three divides: what is kept of each vertex and cluster."""
+    g = supplier_part(spark, d).written()
+    members = quarters(g).join(g.degrees().withColumnRenamed("deg", "gdeg"), "id").withColumn("inside", F.col("id") % 3 == 0)
+    state = table_search.begin(materialise(g.arcs(), "arcs"), materialise(members, "members"))
+    for _ in range(4):
+        state = table_search.batch(state, **SEARCH)
+    per = state.clusters.select("cluster", "cut", "volume", "step", "idle", F.round("best", 9).alias("best"))
+    return state.nodes.select("id", "cluster", "inside", "affinity", "moved_at").join(per, "cluster")
+
+
+@query(SP + " select cluster, 0::bigint as affinity_errors, 0::bigint as sum_errors, true as no_worse, false as running from a group by cluster")
+def local_search_checked(spark, d):
+    """A whole search on the quarters of the trade graph: nothing that is kept differs from a new count, and no cut gets worse."""
+    g = supplier_part(spark, d).written()
+    members = materialise(quarters(g).join(g.degrees().withColumnRenamed("deg", "gdeg"), "id").withColumn("inside", F.col("id") % 3 == 0), "members")
+    state = table_search.begin(materialise(g.arcs(), "arcs"), members)
+    first = materialise(state.clusters.select("cluster", F.col("best").alias("first")), "first")
+    while state.clusters.where("running").take(1):
+        state = table_search.batch(state, **SEARCH)
+    after = table_search.measured(state.arcs, members, table_search.best_sides(state)).select("cluster", "conductance")
+    checks = table_search.errors(state).join(state.clusters.select("cluster", "best", "running"), "cluster").join(first, "cluster").join(after, "cluster")
+    return checks.select("cluster", "affinity_errors", "sum_errors", ((F.col("best") <= F.col("first")) & (F.col("best") == F.col("conductance"))).alias("no_worse"), "running")
+
+
 @query(CN + ", reach(id, r) as (select u, u from arcs union select arcs.v, reach.r from reach join arcs on arcs.u = reach.id) select id::bigint as id, min(r)::bigint as cluster from reach group by id")
 def decompose_stars(spark, d):
     """Stars are expanders, so the parts are the components."""
