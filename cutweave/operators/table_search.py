@@ -16,7 +16,7 @@ from cutweave.operators.sweeps import best_sweep_cut, dealt, running, sweep_cut
 from cutweave.operators.traversal import personalised_pagerank
 
 #: Rounds of the power iteration that are one plan, and the unit of its fixed-point numbers.
-STRIDE, UNIT = 5, 1 << 32
+STRIDE, UNIT = 2, 1 << 32
 
 
 @dataclass(frozen=True)
@@ -227,7 +227,7 @@ def nibble(arcs: DataFrame, members: DataFrame, seeds: DataFrame, *, eps: float
         return own.keep(materialise(sweep.join(best, "cluster").select("id", "cluster", (F.col("rank") <= F.col("last")).alias("inside")), "nibble-sides"))
 
 
-def sparse_cuts(arcs: DataFrame, members: DataFrame, goals: DataFrame, *, bisection: bool = False, trials: int = 10, seed: int = 555) -> DataFrame:
+def sparse_cuts(arcs: DataFrame, members: DataFrame, goals: DataFrame, *, bisection: bool = False, trials: int = 10, seed: int = 555, eps: float = 1e-6, patience: int = 300) -> DataFrame:
     """(id, cluster, inside, method): for each cluster of ``goals(cluster, goal, balance)`` the best cut found, if its conductance is at most ``goal``.
 
     A bisection is taken at once where it reaches both goals.  Else each trial starts a nibble at a vertex drawn by hash, and a local search from its
@@ -251,10 +251,10 @@ def sparse_cuts(arcs: DataFrame, members: DataFrame, goals: DataFrame, *, bisect
             if not left.take(1):
                 break
             seeds = materialise(left.groupBy("cluster").agg(F.min_by("id", F.struct(F.xxhash64(F.lit(seed), F.lit(trial), "id"), "id")).alias("seed")), "sparse-seeds")
-            sides = nibble(arcs, left, seeds)
+            sides = nibble(arcs, left, seeds, eps=eps)
             put("nibble", sides)
             start = left.join(sides.select("id", "inside"), "id", "left").join(seeds, "cluster").select("id", "cluster", "gdeg", F.coalesce("inside", F.col("id") == F.col("seed")).alias("inside"))
-            put("local search", local_search(arcs, start))
+            put("local search", local_search(arcs, start, patience=patience))
         if not tried:
             return own.keep(materialise(members.select("id", "cluster", F.lit(True).alias("inside"), F.lit("").alias("method")).limit(0), "sparse-sides"))
         found, sides = tried[0][2], tried[0][1].select("*", F.lit(0).alias("number"), F.lit(tried[0][0]).alias("method"))

@@ -816,7 +816,7 @@ def _named_sides(members: DataFrame, sides: DataFrame) -> DataFrame:
 def bisection_halves(spark, d):
     """The balanced bisection finds each region's halves."""
     arcs, members = halves(spark, d)
-    return _named_sides(members, table_search.bisect(arcs, members))
+    return _named_sides(members, table_search.bisect(arcs, members, rounds=30))
 
 
 @query(HALVES + " select h.id, h.cluster, name as side from h join vols using (cluster, half)")
@@ -824,7 +824,7 @@ def local_search_halves(spark, d):
     """From halves of which each fifth vertex stands on the wrong side the local search comes to the halves."""
     arcs, members = halves(spark, d)
     start = members.withColumn("inside", (F.col("half") == 0) != (F.col("r") % 5 == 3))
-    return _named_sides(members, table_search.local_search(arcs, start, width=16, patience=48))
+    return _named_sides(members, table_search.local_search(arcs, start, width=16, patience=24))
 
 
 @query(HALVES + " select cluster, 1::bigint as cut, min(volume)::bigint as volume, round(1 / min(volume), 9) as conductance, true as reached from vols group by cluster")
@@ -832,11 +832,11 @@ def sparse_cut_halves(spark, d):
     """Of nibbles and local searches the best cut is the link between the halves."""
     arcs, members = halves(spark, d)
     goals = members.select("cluster").distinct().select("cluster", F.lit(1.0).alias("goal"), F.lit(1).alias("balance"))
-    sides = table_search.sparse_cuts(arcs, members, goals, trials=2)
+    sides = table_search.sparse_cuts(arcs, members, goals, trials=1, eps=1e-4, patience=16)
     return table_search.measured(arcs, members, sides).select("cluster", "cut", "volume", F.round("conductance", 9).alias("conductance"), F.lit(True).alias("reached"))
 
 
-SEARCH = {"tabu": 40, "patience": 60, "width": 16}
+SEARCH = {"tabu": 40, "patience": 32, "width": 16}
 
 
 def _search_sql(batches: int) -> str:
