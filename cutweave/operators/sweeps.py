@@ -60,6 +60,12 @@ def best_sweep_cut(sweep: DataFrame) -> DataFrame:
     return s.groupBy("cluster").agg(F.min(F.struct("conductance", "rank", "cut", "volume")).alias("b")).select("cluster", F.col("b.rank").alias("rank"), F.col("b.cut").alias("cut"), F.col("b.volume").alias("volume"), F.col("b.conductance").alias("conductance"))
 
 
+def sweep_sides(sweep: DataFrame, best: DataFrame) -> DataFrame:
+    """(cluster, id, inside): both sides of the prefixes that ``best(cluster, rank)`` names; clusters without one have no rows."""
+    last = best.select("cluster", F.col("rank").alias("last"))
+    return sweep.join(last, "cluster").select("cluster", "id", (F.col("rank") <= F.col("last")).alias("inside"))
+
+
 def level_cut(arcs: DataFrame, heights: DataFrame) -> DataFrame:
     """Threshold cuts on ``heights(id, height, gdeg)``: per height >= 1 the cut and volume of all vertices that high.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutweave.functions.storage import bucketed, discard, materialise, scratch
-from cutweave.operators.sweeps import best_sweep_cut, dealt, running, sweep_cut
+from cutweave.operators.sweeps import best_sweep_cut, dealt, running, sweep_cut, sweep_sides
 from cutweave.operators.traversal import personalised_pagerank
 
 #: Rounds of the power iteration that are one plan, and the unit of its fixed-point numbers.
@@ -198,8 +198,8 @@ def bisect(arcs: DataFrame, members: DataFrame, *, imbalance: float = 1.2, round
         arcs = materialise(inner_arcs(arcs, members), "bisect-arcs")
         sweep = materialise(sweep_cut(arcs, spectral_order(arcs, members, rounds=rounds, seed=seed)), "bisect-sweep")
         low = F.least(F.col("volume"), F.col("total") - F.col("volume"))
-        best = best_sweep_cut(sweep.where(low > F.col("total") * (1 - imbalance / 2))).select("cluster", F.col("rank").alias("last"))
-        return own.keep(materialise(sweep.join(best, "cluster").select("id", "cluster", (F.col("rank") <= F.col("last")).alias("inside")), "bisect-sides"))
+        best = best_sweep_cut(sweep.where(low > F.col("total") * (1 - imbalance / 2)))
+        return own.keep(materialise(sweep_sides(sweep, best).select("id", "cluster", "inside"), "bisect-sides"))
 
 
 # -- the best of several cuts ----------------------------------------------------------------------
@@ -223,8 +223,8 @@ def nibble(arcs: DataFrame, members: DataFrame, seeds: DataFrame, *, eps: float
         scores = scores.select("cluster", "id", (F.coalesce("p", F.lit(0.0)) / F.greatest("gdeg", F.lit(1))).alias("score"), "gdeg", F.col("p").isNotNull().alias("some"))
         scores = materialise(scores, "nibble-scores")
         sweep = materialise(sweep_cut(arcs, scores.drop("some")), "nibble-sweep")
-        best = best_sweep_cut(sweep.join(scores.where("some").select("id"), "id", "left_semi")).select("cluster", F.col("rank").alias("last"))
-        return own.keep(materialise(sweep.join(best, "cluster").select("id", "cluster", (F.col("rank") <= F.col("last")).alias("inside")), "nibble-sides"))
+        best = best_sweep_cut(sweep.join(scores.where("some").select("id"), "id", "left_semi"))
+        return own.keep(materialise(sweep_sides(sweep, best).select("id", "cluster", "inside"), "nibble-sides"))
 
 
 def sparse_cuts(arcs: DataFrame, members: DataFrame, goals: DataFrame, *, bisection: bool = False, trials: int = 10, seed: int = 555, eps: float = 1e-6, patience: int = 300) -> DataFrame:

@@ -412,6 +412,13 @@ def best_sweep_cut(spark, d):
     return sweeps.best_sweep_cut(sweeps.sweep_cut(g.arcs(), s)).withColumn("conductance", F.round("conductance", 9))
 
 
+@query(SWEEP + ", b as (select cluster, rank as last, row_number() over (partition by cluster order by cut / least(volume, total - volume), rank) as rn from sw where least(volume, total - volume) > 0) select sw.cluster, sw.id, sw.rank <= last as inside from sw join b on sw.cluster = b.cluster where rn = 1")
+def sweep_sides(spark, d):
+    g, s = ranked(spark, d)
+    sweep = materialise(sweeps.sweep_cut(g.arcs(), s), "sweep")
+    return sweeps.sweep_sides(sweep, sweeps.best_sweep_cut(sweep))
+
+
 @query(SP + """, m as (select id, id % 3 = 0 as inside, deg as gdeg from deg), f as (select u as id, count(*) as deg, count(*) filter (v % 3 = 0) as aff from arcs group by u),
 g as (select m.id, inside, gdeg, coalesce(deg, 0) as deg, coalesce(aff, 0) as aff from m left join f on m.id = f.id),
 t as (select sum(gdeg) as total, sum(case when inside then gdeg else 0 end) as vol, sum(case when inside then deg - aff else 0 end) as cut from g),
@@ -450,6 +457,14 @@ def residual_reach(spark, d):
     return traversal.residual_reach(materialise(flow, "arcs"), g.vertices.agg(F.min("id").alias("id")))
 
 
+@query(SP.replace("with raw", "with recursive raw") + ", r(id, level) as (select id, 0 from vtx where id % 29 = 5 union select u, level + 1 from r join arcs on v = id where (u * 31 + v * 17) % 3 <> 0 and level < 12) select id::bigint as id, min(level)::int as level from r group by id")
+def sink_distances(spark, d):
+    """Residual distances to sinks, on the trade graph with some arcs full."""
+    g = supplier_part(spark, d)
+    flow = g.arcs().select("u", "v", F.lit(1).alias("cap"), F.when((F.col("u") * 31 + F.col("v") * 17) % 3 == 0, 1).otherwise(0).alias("flow"))
+    return traversal.distance_to_sinks(materialise(flow, "arcs"), g.vertices.where("id % 29 = 5"))
+
+
 def _ppr_sql(rounds: int) -> str:
     sql = SP + ", s0 as (select id as seed, id, 0.0::double as p, 1.0::double as r from vtx where id in (2, 3))"
     for k in range(rounds):
@@ -1047,6 +1062,14 @@ def speedup_vs_baseline(spark, d):
     return s.select("graph", "name", F.round("own", 4).alias("own"), F.round("base", 4).alias("base"), F.round("speedup", 6).alias("speedup"))
 
 
+@query(RUNS + ", x as (select graph || ' ' || k as graph, name, time from runs), m as (select graph, name, median(time) as own from x group by graph, name) select m.graph, m.name, round(m.own, 4) as own, round(b.own, 4) as base, round(b.own / nullif(m.own, 0), 6) as speedup from m join m b on m.graph = b.graph and b.name = 'base' where b.own <= 250000")
+def speedup_of_short_baselines(spark, d):
+    """Speedups only on graphs where the baseline stays within a time."""
+    r = runs(spark, d).withColumn("graph", F.concat_ws(" ", "graph", "k"))
+    s = ex.speedups(r, "base", most=250000)
+    return s.select("graph", "name", F.round("own", 4).alias("own"), F.round("base", 4).alias("base"), F.round("speedup", 6).alias("speedup"))
+
+
 @query("select l_orderkey, l_linenumber, round(l_discount / nullif(l_quantity, 0), 9) as l_discount_share, round(l_tax / nullif(l_quantity, 0), 9) as l_tax_share, round(1 - l_discount / nullif(l_quantity, 0) - l_tax / nullif(l_quantity, 0), 9) as other_share from lineitem")
 def phase_share(spark, d):
     s = ex.phase_shares(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity"), ["l_discount", "l_tax"], "l_quantity")
