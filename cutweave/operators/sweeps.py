@@ -158,14 +158,22 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
 
 
 def average_matched(vectors: DataFrame, matching: DataFrame) -> DataFrame:
-    """Both ends of each pair of ``matching(cluster, a, b)`` get their mean in every vector; pairs are disjoint.
+    """Both ends of each pair of ``matching(cluster, a, b)`` get their mean in every vector.
 
-    The ends of a pair meet under its smaller id, so the vectors are shuffled twice and never joined with themselves.
+    Ids may stand for several rows: then each row meets each pair of its id and each row of the other end.  The vectors of an
+    id are one row on the way, so they are shuffled twice.
     """
-    ends = F.explode(F.array("a", "b")).alias("eid")
-    v = vectors.join(matching.select("cluster", F.least("a", "b").alias("pair"), ends), ["cluster", "eid"], "left")
-    mean = F.avg("x").over(Window.partitionBy("cluster", F.coalesce("pair", "eid"), "k"))  # two rows at most
-    return v.select("cluster", "eid", "k", F.when(F.col("pair").isNotNull(), mean).otherwise(F.col("x")).alias("x"))
+    known = vectors.where("cluster is not null and eid is not null")
+    rows = known.groupBy("cluster", "eid").agg(F.collect_list(F.struct("k", "x")).alias("xs"))
+    turn = F.explode(F.array(F.struct(F.col("a").alias("eid"), F.col("b").alias("p")), F.struct(F.col("b").alias("eid"), F.col("a").alias("p")))).alias("q")
+    ends = matching.select("cluster", turn).select("cluster", "q.eid", "q.p")
+    other = rows.select("cluster", F.col("eid").alias("p"), F.col("xs").alias("ys"))
+    v = rows.join(ends, ["cluster", "eid"], "left").join(other, ["cluster", "p"], "left").select("cluster", "eid", F.explode("xs").alias("r"), "ys")
+    of = F.filter(F.coalesce("ys", F.array()), lambda y: y["k"] == F.col("r.k"))
+    means = F.transform(of, lambda y: (F.col("r.x") + y["x"]) / 2)
+    v = v.select("cluster", "eid", F.col("r.k").alias("k"), F.explode(F.when(F.size(means) > 0, means).otherwise(F.array("r.x"))).alias("m"), F.col("r.x").alias("x"))
+    alone = vectors.where("cluster is null or eid is null").select("cluster", "eid", "k", "x")
+    return v.select("cluster", "eid", "k", F.coalesce("m", "x").alias("x")).unionAll(alone)
 
 
 def fake_matching(terminals: DataFrame, matching: DataFrame, seed: int = 0) -> DataFrame:

@@ -38,6 +38,19 @@ def test_whole_halves_are_paired(spark):
         assert len(pairs) == s // 2 and len({e for p in pairs for e in p}) == 2 * (s // 2)
 
 
+def test_average_of_edges_with_the_same_number(spark, tmp_path):
+    """Edges 2-100009 and 3-6 of one cluster have the same number: rows as many as in the SQL."""
+    con = duckdb.connect()
+    con.execute("create table lineitem as select * from (values (1, 50004), (3, 1), (1, 7), (1, 9), (5, 12), (5, 33), (5, 34)) t(l_suppkey, l_partkey)")
+    con.execute("create table supplier as select distinct l_suppkey as s_suppkey from lineitem")
+    con.execute("create table part as select distinct l_partkey as p_partkey from lineitem")
+    for t in ("lineitem", "supplier", "part"):
+        con.execute(f"copy (select columns(*)::bigint from {t}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = [tuple(r) for r in catalogue.QUERIES["matching_average"](spark, str(tmp_path)).select("cluster", "eid", "k", "x").collect()]
+    want = con.execute(f"select cluster, eid, k, x from ({catalogue.ORACLE_SQL['matching_average']})").fetchall()
+    assert len(want) > 21 and sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_graph_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
