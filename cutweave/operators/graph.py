@@ -119,6 +119,11 @@ class Graph:
         edges = mids.select(halves.alias("_h")).select(F.col("_h.a").alias("src"), F.col("_h.b").alias("dst"))
         return Graph(self.vertices.select("id").unionAll(mids.select(F.col("mid").alias("id"))), edges)
 
+    def subdivision_degrees(self) -> DataFrame:
+        """(id, deg) of :meth:`subdivision`: vertices keep their degrees and each midpoint has two, so midpoints are neither shuffled nor counted."""
+        mids = self.edges.select(midpoint(F.col("src"), F.col("dst")).alias("id"), F.lit(2).cast("long").alias("deg"))
+        return self.degrees().select("id", F.col("deg").cast("long").alias("deg")).unionAll(mids)
+
 
 def midpoint(src: Column, dst: Column) -> Column:
     """A negative id for the midpoint of an edge, one-to-one: -1 - (src * 2**31 + dst); an error for ids beyond 31 bits."""

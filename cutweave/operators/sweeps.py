@@ -93,15 +93,18 @@ def best_level(levels: DataFrame) -> DataFrame:
 
 
 def centred(vectors: DataFrame) -> DataFrame:
-    """Adds avg and d = x - avg per cluster and vector."""
-    avg = vectors.groupBy("cluster", "k").agg(F.avg("x").alias("avg"))
+    """Adds avg and d = x - avg per cluster and vector.
+
+    The averages are written: then their size is known, and few of them are sent to the vectors instead of these being dealt by cluster.
+    """
+    avg = materialise(vectors.groupBy("cluster", "k").agg(F.avg("x").alias("avg")), "sweep-averages")
     return vectors.join(avg, ["cluster", "k"]).withColumn("d", F.col("x") - F.col("avg"))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Centred and scaled to length 1 per cluster and vector."""
     c = centred(vectors)
-    norm = c.groupBy("cluster", "k").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
+    norm = materialise(c.groupBy("cluster", "k").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm")), "sweep-norms")
     return c.join(norm, ["cluster", "k"]).select("cluster", "eid", "k", F.when(F.col("norm") > 0, F.col("d") / F.col("norm")).otherwise(0.0).alias("x"))
 
 
@@ -134,12 +137,13 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
     deviation.  Balanced: both sides get as many as left has; else left stops at an eighth of all.
     """
     vector = materialise(vector.select("cluster", "eid", "x"), "sweep-vector")  # read for the averages, the sums and the ranges
-    whole = vector.groupBy("cluster").agg(F.avg("x").alias("avg"), F.count("*").alias("s"))
+    whole = materialise(vector.groupBy("cluster").agg(F.avg("x").alias("avg"), F.count("*").alias("s")), "sweep-averages")  # written, as in centred
     v = vector.join(whole, "cluster").select("cluster", "eid", "s", (F.col("x") - F.col("avg")).alias("d"))
     low, square = F.col("d") < 0, F.col("d") * F.col("d")
     of = lambda f: [F.sum(F.when(low, f).otherwise(0.0)), F.sum(F.when(low, 0.0).otherwise(f))]
     (sq_low, sq_high), (abs_low, abs_high) = of(square), of(F.abs("d"))
     sums = v.groupBy("cluster").agg(F.count_if(low).alias("nlow"), sq_low.alias("sq_low"), sq_high.alias("sq_high"), abs_low.alias("abs_low"), abs_high.alias("abs_high"))
+    sums = materialise(sums, "sweep-sums")
     v = v.join(sums, "cluster")
     swap = F.col("nlow") > F.col("s") - F.col("nlow")
     potl, l = F.when(swap, F.col("sq_high")).otherwise(F.col("sq_low")), F.when(swap, F.col("abs_high")).otherwise(F.col("abs_low"))
@@ -149,8 +153,9 @@ def rst_split(vector: DataFrame, *, balanced: bool = True) -> DataFrame:
     keys, order = ["cluster", "side"], [F.desc(F.abs("d")), F.col("eid")]
     with scratch() as own:
         rows = own.keep(dealt(v, keys, order))
-    discard(vector)
-    sizes = rows.groupBy("cluster").agg(F.count_if(F.col("side") == "L").alias("nl"), F.count_if(F.col("side") == "R").alias("nr"))
+    for t in (vector, whole, sums):
+        discard(t)
+    sizes = materialise(rows.groupBy("cluster").agg(F.count_if(F.col("side") == "L").alias("nl"), F.count_if(F.col("side") == "R").alias("nr")), "sweep-sizes")
     ranked = running(rows, keys, order, {}, "rank").join(sizes, "cluster")
     left = F.least("nl", "nr") if balanced else F.least(F.floor(F.col("s") / 8), F.col("nl"), F.col("nr"))
     right = F.least("nl", "nr") if balanced else F.col("nr")

@@ -163,3 +163,20 @@ def test_edge_list_files(spark, tmp_path):
     p.write_text("%%MatrixMarket x\n3 2 1\n1 2\n")
     with pytest.raises(ValueError, match="not square"):
         edge_lists.read_matrix_market(spark, str(p))
+
+
+def test_vectors_are_not_dealt_by_cluster(spark):
+    """Few averages are sent to the vectors: a cluster's vectors are no task of their own."""
+    key, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "20000")
+    try:
+        v = spark.range(100_000).selectExpr("id % 2 as cluster", "id as eid", "0 as k", "cast(id % 11 as double) as x")
+        for df in (sweeps.centred(v), sweeps.unit_vectors(v)):
+            assert "hashpartitioning(cluster" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_degrees_of_a_subdivision(spark):
+    g = Graph.from_pairs(spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "u long, v long"), spark.createDataFrame([(i,) for i in range(5)], "id long"))
+    assert rows(g.subdivision_degrees(), "id", "deg") == rows(g.subdivision().degrees(), "id", "deg")
