@@ -114,6 +114,11 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     return back
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` for joins in which it grows with the input: both sides are shuffled, and it is never sent whole through the driver."""
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` or :func:`bucketed` that no plan needs any more."""
     path = getattr(df, "_cutweave_path", None)

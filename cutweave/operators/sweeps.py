@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import discard, materialise, scratch
+from cutweave.functions.storage import apart, discard, materialise, scratch
 
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -43,11 +43,11 @@ def sweep_cut(arcs: DataFrame, scores: DataFrame) -> DataFrame:
     with scratch() as own:
         rows = dealt(scores.select("cluster", "id", "score", "gdeg"), ["cluster"], order)
         ranked = own.keep(materialise(running(rows, ["cluster"], order, {"volume": F.col("gdeg")}, "rank"), "sweep-ranked"))
-    r = ranked.select("cluster", F.col("id").alias("u"), F.col("rank").alias("ru"))
+    r = apart(ranked.select("cluster", F.col("id").alias("u"), F.col("rank").alias("ru")))
     e = arcs.join(r, "u").join(r.select("cluster", F.col("u").alias("v"), F.col("ru").alias("rv")), ["cluster", "v"])
     delta = e.groupBy("cluster", F.col("u").alias("id")).agg(F.sum(F.when(F.col("rv") > F.col("ru"), 1).otherwise(-1)).alias("delta"))
     with scratch() as own:
-        out = own.keep(materialise(ranked.join(delta, ["cluster", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0))), "sweep-deltas"))
+        out = own.keep(materialise(ranked.join(apart(delta), ["cluster", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0))), "sweep-deltas"))
     out = running(out, ["cluster"], [F.col("rank")], {"cut": F.col("delta")})
     total = ranked.groupBy("cluster").agg(F.sum("gdeg").cast("long").alias("total"))
     return out.join(total, "cluster").select("cluster", F.col("rank").cast("int").alias("rank"), "id", "cut", "volume", "total")
