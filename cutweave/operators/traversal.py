@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.functions.storage import discard, materialise
+from cutweave.functions.storage import bucketed, discard, materialise, scratch
 
 #: Levels that are tables of their own before they are merged into one.
 MERGED = 16
@@ -50,8 +50,14 @@ def personalised_pagerank(arcs: DataFrame, degrees: DataFrame, seeds: DataFrame,
 
     A vertex with r >= eps * deg adds alpha * r to p, keeps (1 - alpha) r / 2 and spreads as much over
     its neighbours.  Ends when no vertex is active, or after ``rounds``; an error if neither is so after ``max_rounds``.
-    ``seeds(seed)`` start with r = 1.
+    ``seeds(seed)`` start with r = 1.  Arcs are bucketed by their tails once, so that rounds shuffle what is sent but not the arcs.
     """
+    with scratch() as own:
+        arcs = bucketed(arcs.select("u", "v"), "ppr-arcs", "u")
+        return own.keep(_pushed(arcs, degrees, seeds, alpha, eps, rounds, max_rounds))
+
+
+def _pushed(arcs: DataFrame, degrees: DataFrame, seeds: DataFrame, alpha: float, eps: float, rounds: int | None, max_rounds: int) -> DataFrame:
     state = materialise(seeds.select("seed", F.col("seed").alias("id"), F.lit(0.0).alias("p"), F.lit(1.0).alias("r")), "ppr")
     deg = degrees.select("id", "deg")
     for done in range(max_rounds):

@@ -180,3 +180,14 @@ def test_vectors_are_not_dealt_by_cluster(spark):
 def test_degrees_of_a_subdivision(spark):
     g = Graph.from_pairs(spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "u long, v long"), spark.createDataFrame([(i,) for i in range(5)], "id long"))
     assert rows(g.subdivision_degrees(), "id", "deg") == rows(g.subdivision().degrees(), "id", "deg")
+
+
+def test_pagerank_buckets_its_arcs_once(spark, monkeypatch):
+    """Arcs are laid out once and not shuffled in each round; their table is dropped at the end, the result is read after it."""
+    seen, real = [], traversal.bucketed
+    monkeypatch.setattr(traversal, "bucketed", lambda df, name, by: seen.append(real(df, name, by)) or seen[-1])
+    g = Graph.from_pairs(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "u long, v long"))
+    before = len(spark.catalog.listTables())
+    out = traversal.personalised_pagerank(g.arcs(), g.degrees(), spark.createDataFrame([(1,)], "seed long"), eps=1e-2)
+    assert len(seen) == 1 and len(spark.catalog.listTables()) == before
+    assert out.agg(F.sum(F.col("p") + F.col("r"))).first()[0] == pytest.approx(1)
