@@ -200,14 +200,27 @@ class Gru:
         out.U, out.O, out.M = _fixed(out.U), _fixed(out.O), _fixed(out.M)
         return out
 
-    def step(self, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The state after member ``y``, with what backpropagation needs."""
+    def step(self, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state after member ``y``, with what backpropagation needs; as arrays of their own, since columns of wider ones are slow to work on."""
         a = _product(s, self.U)
+        after, gates, n = self.onward(s, a, y)
+        return after, gates[:, :HIDDEN].copy(), gates[:, HIDDEN:].copy(), n, a[:, 2 * HIDDEN :].copy()
+
+    def onward(self, s: np.ndarray, a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state after member ``y``, the gates and the new part, with the product ``a`` of the state and U."""
         x = self.X[y]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + x[:, : 2 * HIDDEN])))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (s - n), gates, n, a[:, 2 * HIDDEN :]
+        gates = a[:, : 2 * HIDDEN] + x[:, : 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.divide(1, gates, out=gates)
+        n = gates[:, HIDDEN:] * a[:, 2 * HIDDEN :]
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = s - n
+        after *= gates[:, :HIDDEN]
+        after += n
+        return after, gates, n
 
     def log_probabilities(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the members' probabilities: class, then member within the class."""
@@ -240,7 +253,8 @@ class Gru:
             active = int(np.searchsorted(-lengths, -t))  # documents with a token at t
             s = s[:active]
             y = flat[base[:active] + t].astype(np.int64)
-            states.append(s)
+            exact = _rounded(s)  # once for all three products
+            states.append(exact)
             tokens.append(y)
             rows += active
             if rows >= STATES or t + 1 == lengths[0]:
@@ -249,7 +263,7 @@ class Gru:
                     total[: len(y_)] += logs[at : at + len(y_)]
                     at += len(y_)
                 states, tokens, rows = [], [], 0
-            s = self.step(s, y)[0]
+            s = self.onward(s, _exact_product(exact, self.U), y)[0]
         return total
 
 
@@ -266,7 +280,19 @@ def _product(states: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """
     if weights.dtype == np.float32:
         return states @ weights
-    return (np.rint(states / np.float32(STATE_UNIT)).astype(float) * STATE_UNIT @ weights).astype(np.float32)
+    return _exact_product(states if states.dtype == np.float64 else _rounded(states), weights)
+
+
+def _rounded(states: np.ndarray) -> np.ndarray:
+    """States as doubles, rounded to STATE_UNIT."""
+    out = (states / np.float32(STATE_UNIT)).astype(float)
+    np.rint(out, out=out)
+    out *= STATE_UNIT
+    return out
+
+
+def _exact_product(rounded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return (rounded @ weights).astype(np.float32)
 
 
 def _scores(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -346,15 +372,27 @@ class Trainer:
         dS = dS.reshape(steps, lanes, HIDDEN)
         rows, carry = [], np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 2, -1, -1):
-            gates, n, hun = held[t]
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            up = dS[t + 1] + carry
-            dn = up * (1 - z) * (1 - n * n)
-            dz = up * (states[t] - n) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
+            z, r, n, hun = held[t]
+            up = dS[t + 1]
+            up += carry
+            rest = 1 - z
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= up
+            dz = states[t] - n
+            dz *= z
+            dz *= rest
+            dz *= up
+            dr = 1 - r
+            dr *= r
+            dr *= hun
+            dr *= dn
             da = np.concatenate([dz, dr, dn * r], axis=1)
             d.U += states[t].T @ da
-            carry = up * z + da @ g.U.T
+            carry = da @ g.U.T
+            up *= z
+            carry += up
             rows.append(np.concatenate([dz, dr, dn], axis=1))
         if rows:
             dx, read = np.concatenate(rows), np.concatenate([y[:, t] for t in range(steps - 2, -1, -1)])
@@ -369,10 +407,18 @@ class Trainer:
     def apply(self, grad: np.ndarray) -> None:
         grad *= min(1.0, 1.0 / (float(np.sqrt(np.dot(grad, grad))) + 1e-12))
         self.n += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
+        self.m *= 0.9
+        self.m += 0.1 * grad
+        self.v *= 0.99
+        grad *= grad
+        grad *= 0.01
+        self.v += grad
         step = self.rate * math.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)
-        self.gru.flat -= step * self.m / (np.sqrt(self.v) + 1e-8)
+        np.sqrt(self.v, out=grad)
+        grad += 1e-8
+        np.divide(self.m, grad, out=grad)
+        grad *= step
+        self.gru.flat -= grad
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:

@@ -826,3 +826,17 @@ def test_flat_forest_equals_walking():
             want += val[i - 7]
         assert got == pytest.approx(want)
     assert ((forest.score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_lm_states_are_rounded_once_for_all_products():
+    """Products of states that were rounded before are those of the states, bit for bit; scoring rounds once a step."""
+    gru = language_model.Gru.fresh(3).fixed()
+    states = np.tanh(np.random.default_rng(3).standard_normal((300, language_model.HIDDEN))).astype(np.float32)
+    rounded = language_model._rounded(states)
+    for weights in (gru.U, gru.O, gru.M[5]):
+        assert np.array_equal(language_model._exact_product(rounded, weights), language_model._product(states, weights))
+        assert np.array_equal(language_model._product(rounded, weights), language_model._product(states, weights))
+    y = np.arange(300)
+    whole, *saved = gru.step(states, y)
+    assert np.array_equal(gru.onward(states, language_model._exact_product(rounded, gru.U), y)[0], whole)
+    assert all(x.flags.c_contiguous for x in saved)
