@@ -101,12 +101,16 @@ def materialise(df: DataFrame, name: str, *, by: tuple[str, ...] = ()) -> DataFr
     return back
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """As :func:`materialise`, dealt and sorted by ``by`` into as many buckets as a shuffle has partitions: joins and groups by it don't move these rows."""
+def bucketed(df: DataFrame, name: str, by: str, *, dealt: bool = False) -> DataFrame:
+    """As :func:`materialise`, dealt and sorted by ``by`` into as many buckets as a shuffle has partitions: joins and groups by it don't move these rows.
+
+    Rows that are ``dealt`` already, as those that come out of groups by it, are neither moved nor sorted.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path, called = fresh_path(spark, name), f"cutweave_{uuid.uuid4().hex}"
-    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(called)
+    writer = df.write.bucketBy(n, by) if dealt else df.repartition(n, by).write.bucketBy(n, by).sortBy(by)
+    writer.option("path", path).saveAsTable(called)
     back = spark.table(called)
     back._cutweave_path, back._cutweave_table = path, called
     scopes = _scopes()

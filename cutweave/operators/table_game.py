@@ -81,7 +81,8 @@ def begin(edges: DataFrame, members: DataFrame, phi: float, p: Parameters | None
         nodes = alive.join(clusters.select("cluster", "bound"), "cluster").select("id", "cluster", F.lit(0).alias("absorbed"), F.lit(0).alias("sink"), "bound")
         arcs = halves.join(clusters.select("cluster", "cap"), "cluster").select(F.col("mid").alias("src"), F.col("id").alias("dst"), "cap")
         flow = table_flow.lay_out(arcs, nodes, block_arcs=block_arcs)
-        own.keep(flow.rows)
+        for t in flow.tables():
+            own.keep(t)
         none = own.keep(materialise(alive.limit(0), "game-removed"))
         congestion = own.keep(materialise(flow.arcs().limit(0).select("u", "v", F.col("flow").alias("n")), "game-congestion"))
         matrix = potentials = None
@@ -178,8 +179,9 @@ def play_round(game: Game, p: Parameters) -> Game:
         if p.break_at_empty_terminals:
             on &= F.coalesce("both", F.lit(False))
         clusters = own.keep(materialise(c.withColumn("running", on).select(*game.clusters.columns), "game-clusters"))
-        own.keep(flow.rows)
-    for old in (game.alive, game.removed, game.vectors, game.congestion, game.clusters, game.flow.rows, *(x for x in (game.matrix, game.potentials) if x is not None)):
+        for t in flow.tables():
+            own.keep(t)
+    for old in (game.alive, game.removed, game.vectors, game.congestion, game.clusters, *game.flow.tables(), *(x for x in (game.matrix, game.potentials) if x is not None)):
         discard(old)
     return Game(alive, removed, after, congestion, clusters, flow, matrix, potentials)
 
