@@ -118,6 +118,11 @@ def bucketed(df: DataFrame, name: str, by: str, *, dealt: bool = False) -> DataF
     return back
 
 
+def written(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of :func:`materialise` or :func:`bucketed` itself, whose files are still there."""
+    return getattr(df, "_cutweave_path", None) is not None
+
+
 def apart(df: DataFrame) -> DataFrame:
     """``df`` for joins in which it grows with the input: both sides are shuffled, and it is never sent whole through the driver."""
     return df.hint("merge")
