@@ -9,8 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Candidates whose arcs a batch reads first, and by how much it reads more if these don't settle it.
-FIRST, MORE = 1024, 8
+#: Candidates that a batch looks at first, and by how much it looks at more if these don't settle it.
+FIRST, MORE = 2048, 4
+#: Arcs of a candidate that are read one by one, before the rest of them: most candidates are known by these not to be picked.
+PROBES = 8
 #: Step of the last move of a vertex that never moved.
 NEVER = -(1 << 62)
 
@@ -95,6 +97,12 @@ def play(w: Whole, *, tabu: int, patience: int, width: int, first: int = FIRST)
     return batches
 
 
+def _before(keys: np.ndarray, other: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether ``other`` are candidates that come before ``ids``, whose keys are ``key``."""
+    theirs = keys[other]
+    return (theirs < key) | ((theirs == key) & (other <= ids))
+
+
 def _picked(w: Whole, able: np.ndarray, key: np.ndarray, keys: np.ndarray, dcut: np.ndarray, dvol: np.ndarray, most: int, first: int) -> tuple[np.ndarray, ...]:
     """Candidates before all their neighbours, in order, with cuts, volumes and conductances of their prefixes: all, or as many as settle the batch.
 
@@ -107,13 +115,15 @@ def _picked(w: Whole, able: np.ndarray, key: np.ndarray, keys: np.ndarray, dcut:
     while True:
         near = key <= np.partition(key, count - 1)[count - 1] if count < len(key) else np.ones(len(key), bool)
         ids, own = able[near], key[near]
+        for k in range(PROBES):
+            other = w.head[w.start[ids] + k * (w.start[ids + 1] - w.start[ids]) // PROBES]  # each has an arc, as it is at the border
+            free = ~_before(keys, other, own, ids)
+            ids, own = ids[free], own[free]
         at, opens = _arcs_of(w, ids)
-        other = w.head[at]
         lengths = np.diff(np.append(opens, len(at)))
-        theirs, mine = keys[other], np.repeat(own, lengths)
-        before = (theirs < mine) | ((theirs == mine) & (other <= np.repeat(ids, lengths)))
-        free = ~np.logical_or.reduceat(before, opens) if len(ids) else np.ones(0, bool)  # each has an arc, as it is at the border
-        ids, own = ids[free], own[free]
+        if len(ids):
+            free = ~np.logical_or.reduceat(_before(keys, w.head[at], np.repeat(own, lengths), np.repeat(ids, lengths)), opens)
+            ids, own = ids[free], own[free]
         picked = ids[np.argsort(own, kind="stable")]
         cuts, volumes = w.cut + np.cumsum(dcut[picked]), w.volume + np.cumsum(dvol[picked])
         phi = conductance(cuts, volumes, w.total)
